@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference is a monthly batch job: it has no stream source, watermark,
+window, state or late-data handling.  Its only time-sensitive idea, dropping a
+provisional ("flex") last month, is the batch parameter
+``Params.exclude_from_month``.  Nothing here, by design.
+"""
