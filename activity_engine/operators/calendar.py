@@ -6,6 +6,8 @@ month), so they are safe to broadcast into the fact-derived joins.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,37 +23,50 @@ def _active_session(df: DataFrame | None) -> SparkSession:
     return df.sparkSession if df is not None else SparkSession.getActiveSession()
 
 
-def calendar_bounds(tables: Tables, params: Params) -> DataFrame:
-    """One row ``(start_date, end_date)``: explicit parameters, else the data span."""
+def resolve_bounds(tables: Tables, params: Params) -> tuple[dt.date, dt.date]:
+    """Calendar range: explicit parameters, else the span of the data.
+
+    The data span is one tiny action (a min/max over one date column, two
+    values back to the driver), done once per pipeline; the calendar plans then
+    start from literals and no query re-scans the fact for it.
+    """
     if params.calendar_start is not None and params.calendar_end is not None:
-        spark = _active_session(tables.attendance)
-        return spark.range(1).select(
-            F.lit(params.calendar_start).alias("start_date"), F.lit(params.calendar_end).alias("end_date")
-        )
+        return params.calendar_start, params.calendar_end
     if tables.calendar_bounds is None:
         raise ValueError("no calendar range: set Params.calendar_start/end or Tables.calendar_bounds")
-    return tables.calendar_bounds
+    row = tables.calendar_bounds.first()
+    return row["start_date"], row["end_date"]
 
 
-def holiday_events(tables: Tables, params: Params) -> DataFrame:
+def holiday_events(tables: Tables, params: Params, bounds: tuple[dt.date, dt.date] | None = None) -> DataFrame:
     """Holiday dates: the literal extra rows in front, then the source list.
 
     Duplicates are kept (``rbind``); membership tests use the distinct set.
+    ``tables.holidays`` is a table of dates, or a callable of the calendar
+    range returning one (rule-based holidays).
     """
     spark = _active_session(tables.attendance)
     extra = spark.createDataFrame([(d,) for d in params.extra_holidays], "date string").select(
         F.to_date("date").alias("date")
     )
-    if tables.holidays is None:
+    src = tables.holidays
+    if src is None:
         return extra
-    return extra.unionByName(tables.holidays.select(F.col("date").cast("date").alias("date")))
+    if callable(src):
+        src = src(spark, *(bounds or resolve_bounds(tables, params)))
+    return extra.unionByName(src.select(F.col("date").cast("date").alias("date")))
 
 
-def calendar(tables: Tables, params: Params) -> DataFrame:
+def calendar(tables: Tables, params: Params, bounds: tuple[dt.date, dt.date] | None = None) -> DataFrame:
     """One row per day with labels, financial year/month and working-day flag."""
-    bounds = calendar_bounds(tables, params)
-    days = bounds.select(F.explode(F.sequence("start_date", "end_date", F.expr("interval 1 day"))).alias("date"))
-    hol = holiday_events(tables, params).distinct().select(F.col("date").alias("h_date"), F.lit(True).alias("is_holiday"))
+    start, end = bounds or resolve_bounds(tables, params)
+    spark = _active_session(tables.attendance)
+    days = spark.range(1).select(
+        F.explode(F.sequence(F.lit(start), F.lit(end), F.expr("interval 1 day"))).alias("date")
+    )
+    hol = holiday_events(tables, params, (start, end)).distinct().select(
+        F.col("date").alias("h_date"), F.lit(True).alias("is_holiday")
+    )
     # bounded: a handful of dates per year of the range
     days = days.join(F.broadcast(hol), days.date == hol.h_date, "left")
     dow = F.dayofweek("date")

@@ -74,13 +74,31 @@ def baseline_and_goal(baseline: DataFrame, mwd: DataFrame, target_fy: str, facto
     return b.withColumn("adj_activity", adj).withColumn("target", F.col("adj_activity") * F.lit(factor))
 
 
-def stack_periods(rebased: DataFrame, actual: DataFrame, tgt: DataFrame, cal: DataFrame) -> DataFrame:
-    """Baseline, actual and target rows (two distinct unions) keyed by month label.
+def baseline_and_target_rows(rebased: DataFrame, factor: float, label: str = "target") -> DataFrame:
+    """D13 + D14 in one pass: each rebased row as a 'baseline' row and a target row.
 
-    The year is dropped, so the baseline year and the actual year line up by
-    month name and financial month.
+    Equal to the union of ``rebased`` and ``target(rebased)``; the baseline is
+    scanned once instead of twice.
     """
-    rows = union_distinct(union_distinct(rebased, actual), tgt)
+    two = F.explode(
+        F.array(
+            F.struct(F.col("activity").alias("a"), F.lit("baseline").alias("p")),
+            F.struct((F.col("activity") * F.lit(factor)).alias("a"), F.lit(label).alias("p")),
+        )
+    ).alias("r")
+    return rebased.select("month_commencing", "provider_code", two).select(
+        "month_commencing", "provider_code", F.col("r.a").alias("activity"), F.col("r.p").alias("period")
+    )
+
+
+def stack_periods(rebased: DataFrame, actual: DataFrame, factor: float, cal: DataFrame, label: str = "target") -> DataFrame:
+    """Baseline, actual and target rows (a distinct union) keyed by month label.
+
+    The reference takes two distinct unions; a distinct union does not depend
+    on order or grouping, so one is enough.  The year is dropped, so the
+    baseline year and the actual year line up by month name and financial month.
+    """
+    rows = union_distinct(baseline_and_target_rows(rebased, factor, label), actual)
     c = cal.select("date", "month_name_short", "fin_month")
     rows = left_join(rows, c, {"month_commencing": "date"}, broadcast=True)
     return rows.select("month_name_short", "fin_month", "provider_code", "activity", "period")
@@ -123,9 +141,15 @@ def enrich_names(rows: DataFrame, provider_lookup: DataFrame, system_lookup: Dat
 
 
 def gap_by_month_per_day(enriched: DataFrame, mwd: DataFrame, target_fy: str, target_label: str = "target") -> DataFrame:
-    """The enriched rows pivoted again, with per-working-day columns of the target year."""
+    """The enriched rows pivoted again, with per-working-day columns of the target year.
+
+    The reference pivots the rows including the appended variance period and
+    then recomputes ``variance``; the variance rows carry no new ids, so
+    ``enriched`` may equally be the enriched *distinct stacked* rows (no
+    variance rows), which keeps one copy of the stacked plan.
+    """
     ids = ["month_name_short", "fin_month", "provider", "acute_full_name", "icb", "month_of_actual"]
-    wide = pivot_periods(enriched, ids, ["baseline", "actual", target_label, "variance"], target_label)
+    wide = pivot_periods(enriched, ids, ["baseline", "actual", target_label], target_label)
     wide = left_join(wide, year_working_days(mwd, target_fy, "wd_target"), ["month_name_short"], broadcast=True)
     return wide.select(
         "month_name_short",

@@ -70,6 +70,32 @@ def provider_case(code: str, rules, else_len: int | None = None) -> str:
     return "CASE " + " ".join(parts) + f" ELSE {other} END"
 
 
+def re(x: str, digits: int) -> str:
+    """Half-even rounding of a double (R ``round``)."""
+    return f"round_even(CAST({x} AS DOUBLE), {digits})"
+
+
+def pct(x: str) -> str:
+    """``scales::percent(x, 1)``: whole percent text, 'Inf' / '-Inf', NULL for NA/NaN."""
+    r = re(f"({x}) * 100", 0)
+    return (
+        f"(CASE WHEN ({x}) IS NULL OR isnan({x}) THEN NULL "
+        f"WHEN ({x}) = CAST('infinity' AS DOUBLE) THEN 'Inf' "
+        f"WHEN ({x}) = CAST('-infinity' AS DOUBLE) THEN '-Inf' "
+        f"ELSE printf('%.0f', CASE WHEN {r} = 0 THEN 0.0 ELSE {r} END) || '%' END)"
+    )
+
+
+def titlecase(x: str) -> str:
+    words = f"list_transform(string_split(lower({x}), ' '), lambda w: upper(left(w, 1)) || substr(w, 2))"
+    return f"regexp_replace(array_to_string({words}, ' '), '^(.*?)Nhs', '\\1NHS')"
+
+
+def nse(a: str, b: str, cols) -> str:
+    """Null-safe equality on several columns (dplyr join keys)."""
+    return " AND ".join(f"{a}.{c} IS NOT DISTINCT FROM {b}.{c}" for c in cols)
+
+
 def rounded(cols) -> str:
     if not cols:
         return "*"
@@ -81,6 +107,8 @@ class Oracle:
         self.p = p or test_params()
         self.ctes: dict[str, tuple[str, tuple[str, ...]]] = {}
         self._define()
+        self._define_specialty()
+        self._define_other()
 
     # -- assembly -----------------------------------------------------------
     def add(self, name: str, sql: str, *deps: str) -> None:
@@ -405,11 +433,514 @@ FROM (SELECT provider_code, {narm('baseline')} AS baseline, {narm('actual')} AS
                 f"scalars{sfx}",
             )
 
+    def _define_specialty(self) -> None:  # noqa: C901
+        p = self.p
+        A = self.add
+        acute = "der_provider_code IN (SELECT provider_code FROM acutes)"
+        # Share of the provider-month total, by a join to the totals
+        A(
+            "ss",
+            f"""SELECT c.month_name_short, c.fin_month, a.stp_code, a.der_provider_code AS provider_code,
+       a.treatment_function_code, a.treatment_function, a.activity AS speciality_activity,
+       t.activity AS total_activity, a.activity / t.activity AS proportion_of_total
+FROM (SELECT * FROM actuals WHERE {acute}) a
+LEFT JOIN pmt t ON a.month_commencing IS NOT DISTINCT FROM t.month_commencing
+               AND a.der_provider_code IS NOT DISTINCT FROM t.provider_code
+LEFT JOIN calendar c ON a.month_commencing IS NOT DISTINCT FROM c.date""",
+            "actuals",
+            "acutes",
+            "pmt",
+            "calendar",
+        )
+        for sfx, label, by_icb in (("", p.target_label, True), ("_v2", p.v2_target_label, False)):
+            A(
+                f"sg{sfx}",
+                f"""SELECT s.month_name_short, s.fin_month, sl.short_name AS icb, pl.provider_short_name AS provider,
+       s.treatment_function_code, s.treatment_function, s.speciality_activity, s.total_activity,
+       g.baseline, g.{label}, g.variance, s.proportion_of_total
+FROM ss s
+LEFT JOIN gbm{sfx} g ON {nse('s', 'g', ['month_name_short', 'fin_month', 'provider_code'])}
+LEFT JOIN provider_lookup pl ON {nse('s', 'pl', ['provider_code', 'stp_code'])}
+LEFT JOIN system_lookup sl ON s.stp_code IS NOT DISTINCT FROM sl.stp_code""",
+                "ss",
+                f"gbm{sfx}",
+                "provider_lookup",
+                "system_lookup",
+            )
+            keys = ["icb", "provider", "treatment_function_code"] if by_icb else ["provider", "treatment_function_code"]
+            kl = ", ".join(keys)
+            A(
+                f"coh{sfx}",
+                f"""SELECT * FROM (
+  SELECT sp.*, tt.total_activity, sp.speciality_activity / tt.total_activity AS proportion_of_activity,
+         ty.month_tally, sp.speciality_activity / ty.month_tally AS avg_monthly_activity
+  FROM (SELECT {kl}, {strict('speciality_activity')} AS speciality_activity FROM sg{sfx} GROUP BY {kl}) sp
+  LEFT JOIN (SELECT provider, {strict('total_activity')} AS total_activity
+             FROM (SELECT DISTINCT month_name_short, provider, total_activity FROM sg{sfx}) d GROUP BY provider) tt
+         ON sp.provider IS NOT DISTINCT FROM tt.provider
+  LEFT JOIN (SELECT provider, treatment_function_code, count(*) AS month_tally
+             FROM sg{sfx} GROUP BY provider, treatment_function_code) ty
+         ON {nse('sp', 'ty', ['provider', 'treatment_function_code'])}
+) x
+WHERE month_tally > {p.min_month_tally}
+  AND (proportion_of_activity >= {p.min_share} OR avg_monthly_activity >= {p.min_avg_monthly})""",
+                f"sg{sfx}",
+            )
+            A(
+                f"members{sfx}",
+                f"""SELECT * FROM sg{sfx} s WHERE EXISTS (
+  SELECT 1 FROM coh{sfx} c WHERE {nse('c', 's', ['provider', 'treatment_function_code'])})""",
+                f"sg{sfx}",
+                f"coh{sfx}",
+            )
+            A(
+                f"crows{sfx}",
+                f"""SELECT m.*, t.cohort_activity, m.speciality_activity / t.cohort_activity AS cohort_proportion,
+       m.variance * (m.speciality_activity / t.cohort_activity) AS monthly_reduction
+FROM members{sfx} m
+LEFT JOIN (SELECT month_name_short, fin_month, icb, provider, {strict('speciality_activity')} AS cohort_activity
+           FROM members{sfx} GROUP BY month_name_short, fin_month, icb, provider) t
+       ON {nse('m', 't', ['month_name_short', 'fin_month', 'icb', 'provider'])}""",
+                f"members{sfx}",
+            )
+            ck = "icb, provider" if by_icb else "provider"
+            A(
+                f"coverage{sfx}",
+                f"SELECT {ck}, {strict('proportion_of_activity')} AS cohort_activity FROM coh{sfx} GROUP BY {ck}",
+                f"coh{sfx}",
+            )
+            A(
+                f"cmpd{sfx}",
+                f"""SELECT r.icb, r.provider, r.month_name_short, r.treatment_function_code, r.treatment_function,
+       r.total_activity, r.baseline, r.{label}, r.variance, r.variance / w.working_days AS variance_per_wd,
+       r.cohort_activity, r.cohort_proportion, r.monthly_reduction, w.working_days AS wd_target,
+       r.speciality_activity, r.speciality_activity / w.working_days AS activity_per_wd,
+       r.variance / w.working_days * r.cohort_proportion AS wd_variance_by_spec
+FROM crows{sfx} r LEFT JOIN wd_target{sfx} w ON r.month_name_short IS NOT DISTINCT FROM w.month_name_short""",
+                f"crows{sfx}",
+                f"wd_target{sfx}",
+            )
+            sums = ", ".join(
+                f"{strict(c)} AS {c}"
+                for c in ("total_activity", "baseline", label, "variance", "cohort_activity", "speciality_activity")
+            )
+            A(
+                f"fsy{sfx}",
+                f"""SELECT icb, provider, treatment_function_code, treatment_function, {sums}
+FROM crows{sfx} GROUP BY icb, provider, treatment_function_code, treatment_function""",
+                f"crows{sfx}",
+            )
+            share = "(y.speciality_activity / y.cohort_activity)"
+            if by_icb:
+                A(
+                    "fair",
+                    f"""SELECT y.icb, y.provider, y.treatment_function,
+       {re('y.speciality_activity / s.month_count', 1)} AS avg_monthly_activity,
+       {re(f'y.variance / s.month_count * {share}', 1)} AS share_of_monthly_variance,
+       {re('y.speciality_activity / s.total_wd', 1)} AS avg_activity_per_wd,
+       {re(f'y.variance / s.total_wd * {share}', 1)} AS share_of_daily_variance
+FROM fsy y CROSS JOIN scalars s""",
+                    "fsy",
+                    "scalars",
+                )
+            else:
+                A(
+                    "fair_v2",
+                    f"""SELECT y.icb, y.provider, y.treatment_function,
+       y.speciality_activity / s.total_wd AS avg_activity_per_wd,
+       y.variance / s.total_wd * {share} AS avg_variance_from_ambition
+FROM fsy_v2 y CROSS JOIN scalars_v2 s""",
+                    "fsy_v2",
+                    "scalars_v2",
+                )
+        months = ",\n       ".join(f'{pv("month_name_short", m, "wd_variance_by_spec")} AS "{m}"' for m in FIN_MONTHS)
+        A(
+            "sgpdw",
+            f"SELECT icb, provider, treatment_function,\n       {months}\nFROM cmpd GROUP BY icb, provider, treatment_function",
+            "cmpd",
+        )
+
+    def _define_other(self) -> None:  # noqa: C901
+        p = self.p
+        A = self.add
+        acute = "der_provider_code IN (SELECT provider_code FROM acutes)"
+        t = p.target_label
+        # workbook (D31)
+        A(
+            "bag",
+            f"""SELECT *, activity / working_days_base * working_days_target AS adj_activity,
+       activity / working_days_base * working_days_target * CAST({p.workbook_target_factor} AS DOUBLE) AS target
+FROM bl_wd""",
+            "bl_wd",
+        )
+        # D3
+        A(
+            "normalise",
+            f"""SELECT der_provider_code AS raw_provider_code,
+       {provider_case('der_provider_code', p.select_rules)} AS provider_code,
+       {provider_case('der_provider_code', p.select_rules, 3)} AS provider_code_3,
+       {provider_case('der_provider_code', p.join_rules)} AS hierarchy_key
+FROM (SELECT DISTINCT der_provider_code FROM att) d""",
+            "att",
+        )
+        # D9
+        A(
+            "hrg_baseline",
+            f"""SELECT left(der_activity_month, 4) || '-' || right(der_activity_month, 2) || '-' || '01' AS month_commencing,
+       provider_or_is_ccg_code_a AS provider_code, stp_ics, centralised_nhse_commissioned, tfc, activity
+FROM hrg_ts
+WHERE provider_or_is_ccg_code_a IN (SELECT provider_code FROM acutes) AND activity_type = 'OPA'
+  AND der_appointment_type = 'FUp' AND left(hrg, 2) = 'WF'
+  AND der_activity_month BETWEEN {q(p.hrg_month_from)} AND {q(p.hrg_month_to)}""",
+            "hrg_ts",
+            "acutes",
+        )
+        # D10
+        code = "a.der_provider_code"
+        merged_code = "CASE " + " ".join(f"WHEN {code} IN {in_list(c)} THEN {q(tg)}" for c, tg, _ in p.tracking_merges) + f" ELSE {code} END"
+        merged_name = "CASE " + " ".join(f"WHEN {code} IN {in_list(c)} THEN {q(nm)}" for c, _, nm in p.tracking_merges) + " ELSE f.organisation_name END"
+        key = (
+            "CASE "
+            + " ".join(f"WHEN {code} = {q(a)} THEN {q(b)}" for a, b in p.tracking_key_exact)
+            + f" WHEN right({code}, 2) = '00' THEN left({code}, 3) WHEN left({code}, 1) = 'R' THEN left({code}, 3) ELSE {code} END"
+        )
+        month_text = "strftime(date_trunc('month', a.appointment_date), '%d/%m/%Y')"
+        A(
+            "tracking",
+            f"""SELECT {month_text} AS activity_month_year,
+       CASE WHEN a.der_financial_year = {q(p.baseline_fy)} THEN 'Y' ELSE 'N' END AS is_baseline,
+       {merged_code} AS provider_org_code_mapped,
+       f.stp_code AS ics_code, f.stp_name AS ics_name,
+       {merged_name} AS provider_name_mapped,
+       a.treatment_function_code AS tfc,
+       CASE WHEN a.treatment_function_code NOT IN {in_list(p.excluded_tfc)} THEN 'Y' ELSE 'N' END AS tfc_scope,
+       CASE WHEN a.attendance_status IN ('5', '6') AND a.first_attendance IN ('1', '2') THEN 'F2F' ELSE 'NF2F' END AS appointment_type,
+       CASE WHEN a.attendance_status IN ('5', '6') AND a.first_attendance IN ('1', '3') THEN 'First' ELSE 'Follow_Up' END AS attendance_type,
+       CASE WHEN a.der_number_procedure > 0 THEN 'Procedure' ELSE 'No_Procedure' END AS procedure,
+       CASE WHEN c.hrg_code_other LIKE 'WF%' THEN 'Y' ELSE 'N' END AS wf_flag,
+       count(a.opa_ident) AS appointments
+FROM att a
+LEFT JOIN att_cost c ON a.opa_ident = c.opa_ident AND a.der_financial_year = c.der_financial_year
+LEFT JOIN tfc_ref d ON d.treatment_function_code = a.treatment_function_code
+LEFT JOIN hier f ON f.organisation_code = {key}
+WHERE a.administrative_category = '01' AND a.attendance_status IN ('5', '6')
+  AND a.first_attendance IN ('1', '2', '3', '4') AND a.treatment_function_code <> '812'
+  AND a.der_financial_year IN {in_list(p.tracking_fys)} AND a.der_activity_month NOT IN ({q(p.excluded_month)})
+  AND f.region_code = {q(p.tracking_region_code)} AND a.der_provider_code LIKE 'R%'
+GROUP BY {month_text}, a.der_financial_year, {merged_code}, {merged_name}, a.treatment_function_code,
+         a.attendance_status, a.first_attendance, a.der_number_procedure, c.hrg_code_other, f.stp_code, f.stp_name""",
+            "att",
+            "att_cost",
+            "tfc_ref",
+            "hier",
+        )
+        vis = ("activity_month_year, is_baseline, provider_org_code_mapped, ics_code, ics_name, provider_name_mapped, "
+               "tfc, tfc_scope, appointment_type, attendance_type, procedure, wf_flag")
+        A(
+            "tracking_rolled",
+            f"SELECT {vis}, CAST(sum(appointments) AS BIGINT) AS appointments FROM tracking GROUP BY {vis}",
+            "tracking",
+        )
+        # D32
+        A(
+            "comparison",
+            f"""SELECT a.month_commencing, c.year_num, c.fin_year, c.month_name_short, c.fin_month,
+       left(a.der_provider_code, 3) AS der_provider_code, a.stp_code,
+       {strict('CAST(a.activity AS DOUBLE)')} AS activity
+FROM extract_3y a LEFT JOIN (SELECT * FROM calendar WHERE day_num = 1) c
+     ON a.month_commencing IS NOT DISTINCT FROM c.date
+GROUP BY a.month_commencing, c.year_num, c.fin_year, c.month_name_short, c.fin_month,
+         left(a.der_provider_code, 3), a.stp_code""",
+            "extract_3y",
+            "calendar",
+        )
+
+        # D33-D35 (older method)
+        def no_spec(src: str) -> str:
+            return f"""SELECT month_commencing, der_provider_code, stp_code, {strict('CAST(activity AS DOUBLE)')} AS activity
+FROM {src} WHERE {acute} GROUP BY month_commencing, der_provider_code, stp_code"""
+
+        A(
+            "hist_pm",
+            f"""SELECT h.*, m.working_days FROM ({no_spec('extract_history')}) h
+LEFT JOIN mwd m ON h.month_commencing IS NOT DISTINCT FROM m.month_commencing""",
+            "extract_history",
+            "acutes",
+            "mwd",
+        )
+        A(
+            "mcf",
+            f"""SELECT DATE {q(p.march_counterfactual_date.isoformat())} AS month_commencing, der_provider_code, stp_code,
+       {strict('activity / working_days')} / CAST({p.march_divisor} AS DOUBLE) AS activity
+FROM hist_pm GROUP BY der_provider_code, stp_code""",
+            "hist_pm",
+        )
+        A(
+            "v1_base",
+            f"""SELECT b.month_commencing, b.der_provider_code, b.stp_code, b.activity / m.working_days AS activity
+FROM ({no_spec('extract_excl_march')}) b LEFT JOIN mwd m ON b.month_commencing IS NOT DISTINCT FROM m.month_commencing
+UNION
+SELECT month_commencing, der_provider_code, stp_code, activity FROM mcf""",
+            "extract_excl_march",
+            "acutes",
+            "mwd",
+            "mcf",
+        )
+        A(
+            "v1_act",
+            f"""SELECT b.month_commencing, b.der_provider_code, b.stp_code, b.activity / m.working_days AS activity
+FROM ({no_spec('actuals')}) b LEFT JOIN mwd m ON b.month_commencing IS NOT DISTINCT FROM m.month_commencing""",
+            "actuals",
+            "acutes",
+            "mwd",
+        )
+        amb = p.v2_target_label
+        A(
+            "v1_rows",
+            f"""SELECT month_commencing, der_provider_code, stp_code, activity, 'baseline' AS period FROM v1_base
+UNION SELECT month_commencing, der_provider_code, stp_code, activity, 'actual' AS period FROM v1_act
+UNION SELECT month_commencing, der_provider_code, stp_code, activity * CAST({p.target_factor} AS DOUBLE) AS activity,
+             {q(amb)} AS period FROM v1_base""",
+            "v1_base",
+            "v1_act",
+        )
+        A(
+            "v1_wide",
+            f"""SELECT *, actual - {amb} AS variance FROM (
+  SELECT fin_month, month, provider, icb,
+         {pv('period', 'baseline', 'activity')} AS baseline,
+         {pv('period', 'actual', 'activity')} AS actual,
+         {pv('period', amb, 'activity')} AS {amb}
+  FROM (SELECT c.fin_month, c.month_name_short AS month, pl.provider_short_name AS provider, sl.short_name AS icb,
+               r.activity, r.period
+        FROM v1_rows r
+        LEFT JOIN calendar c ON r.month_commencing IS NOT DISTINCT FROM c.date
+        LEFT JOIN provider_lookup pl ON r.der_provider_code IS NOT DISTINCT FROM pl.provider_code
+        LEFT JOIN system_lookup sl ON r.stp_code IS NOT DISTINCT FROM sl.stp_code) x
+  GROUP BY fin_month, month, provider, icb) w""",
+            "v1_rows",
+            "calendar",
+            "provider_lookup",
+            "system_lookup",
+        )
+        A(
+            "v1_tot",
+            f"""SELECT t.month_commencing, t.der_provider_code, t.stp_code, t.activity AS total_activity, m.working_days
+FROM ({no_spec('actuals')}) t LEFT JOIN mwd m ON t.month_commencing IS NOT DISTINCT FROM m.month_commencing""",
+            "actuals",
+            "acutes",
+            "mwd",
+        )
+        wdt = "(t.total_activity / t.working_days)"
+        A(
+            "v1_split_rows",
+            f"""SELECT sl.short_name AS icb, pl.provider_short_name AS provider, a.treatment_function, a.month_commencing,
+       {re(f'({wdt} - {wdt} * CAST({p.target_factor} AS DOUBLE)) * (a.activity / t.total_activity)', 1)} AS reduction_per_day
+FROM (SELECT * FROM actuals WHERE {acute}) a
+LEFT JOIN v1_tot t ON {nse('a', 't', ['month_commencing', 'der_provider_code', 'stp_code'])}
+LEFT JOIN provider_lookup pl ON a.der_provider_code IS NOT DISTINCT FROM pl.provider_code
+LEFT JOIN system_lookup sl ON a.stp_code IS NOT DISTINCT FROM sl.stp_code""",
+            "actuals",
+            "acutes",
+            "v1_tot",
+            "provider_lookup",
+            "system_lookup",
+        )
+        mnames = [m.isoformat() for m in p.actual_fy_months()]
+        cells = ",\n       ".join(f'{pv("month_commencing", m, "reduction_per_day")} AS "{m}"' for m in mnames)
+        total = " + ".join(f'(CASE WHEN "{m}" IS NULL OR isnan("{m}") THEN 0.0 ELSE "{m}" END)' for m in mnames)
+        A(
+            "v1_split",
+            f"""SELECT *, {re(f'total / CAST({p.v1_year_divisor} AS DOUBLE)', 1)} AS average_needed FROM (
+  SELECT *, {total} AS total FROM (
+    SELECT icb, provider, treatment_function,
+       {cells}
+    FROM v1_split_rows GROUP BY icb, provider, treatment_function) w) x""",
+            "v1_split_rows",
+        )
+
+        # reports (D37-D42)
+        A(
+            "gap_table",
+            f"""SELECT icb, provider, {re('baseline', 0)} AS baseline, {re('actual', 0)} AS actual, {re(t, 0)} AS {t},
+       {re('variance', 0)} AS variance, {pct('percent_vs_actual')} AS percent_vs_actual,
+       CASE WHEN actual > baseline THEN 'red' WHEN actual = baseline THEN 'highlight'
+            WHEN actual < baseline THEN 'green' END AS rag
+FROM gap_by_year""",
+            "gap_by_year",
+        )
+        A(
+            "scope",
+            f"""SELECT 'system' AS report_level, short_name AS report, {titlecase('stp_name')} AS title
+FROM system_lookup WHERE short_name <> {q(p.excluded_system)}
+UNION ALL SELECT 'region', {q(p.region_report_name)}, {q(p.region_report_title)}
+UNION ALL SELECT 'trust', provider_short_name, acute_full_name FROM provider_lookup
+WHERE provider_code IN (SELECT provider_code FROM acutes)""",
+            "system_lookup",
+            "provider_lookup",
+            "acutes",
+        )
+        A(
+            "system_feed",
+            f"""SELECT g.*, s.report FROM gap_table g JOIN (SELECT report FROM scope WHERE report_level = 'system') s
+  ON g.icb = s.report
+UNION ALL SELECT g.*, {q(p.region_report_name)} AS report FROM gap_table g""",
+            "gap_table",
+            "scope",
+        )
+        A(
+            "trust_feed",
+            """SELECT g.*, s.report FROM gap_table g JOIN (SELECT report FROM scope WHERE report_level = 'trust') s
+  ON g.provider = s.report""",
+            "gap_table",
+            "scope",
+        )
+        A(
+            "st_rows",
+            f"""SELECT icb, provider, treatment_function,
+       {re('avg_monthly_activity', 0)} AS average_monthly_activity,
+       {re('share_of_monthly_variance', 0)} AS share_of_monthly_reduction,
+       {re('avg_activity_per_wd', 0)} AS average_daily_activity,
+       {re('share_of_daily_variance', 0)} AS share_of_daily_reduction
+FROM fair WHERE provider IS NOT NULL""",
+            "fair",
+        )
+        A(
+            "st_prop",
+            f"""SELECT r.*, r.share_of_monthly_reduction / t.tot AS proportion_contributed, 'row' AS row_kind
+FROM st_rows r JOIN (SELECT icb, provider, {strict('share_of_monthly_reduction')} AS tot FROM st_rows GROUP BY icb, provider) t
+  ON r.icb IS NOT DISTINCT FROM t.icb AND r.provider = t.provider""",
+            "st_rows",
+        )
+        nums = ["average_monthly_activity", "share_of_monthly_reduction", "average_daily_activity",
+                "share_of_daily_reduction", "proportion_contributed"]
+        A(
+            "spec_table",
+            f"""SELECT *, {pct('proportion_contributed')} AS proportion_text FROM (
+  SELECT * FROM st_prop
+  UNION ALL
+  SELECT icb, provider, 'Total' AS treatment_function, {", ".join(f"{strict(c)} AS {c}" for c in nums)}, 'total' AS row_kind
+  FROM st_prop GROUP BY icb, provider) u""",
+            "st_prop",
+        )
+
+        # data quality (D11, pivot guard)
+        def dup(name: str, src: str, keys: str) -> str:
+            return f"""SELECT {q(name)} AS pivot, count(*) AS cells,
+       CAST(coalesce(sum(CASE WHEN n > 1 THEN 1 END), 0) AS BIGINT) AS duplicated_cells,
+       CAST(coalesce(max(n), 0) AS BIGINT) AS max_rows_per_cell
+FROM (SELECT count(*) AS n FROM {src} GROUP BY {keys}) x"""
+
+        A(
+            "dq_dups",
+            "\nUNION ALL\n".join(
+                [
+                    dup("gap_by_month", "stacked", "month_name_short, fin_month, provider_code, period"),
+                    dup("gap_by_month_per_day", "enriched",
+                        "month_name_short, fin_month, provider, acute_full_name, icb, month_of_actual, period"),
+                    dup("gap_per_day_wide", "gbmpd", "icb, provider, month_name_short"),
+                    dup("specialty_gap_per_day_wide", "cmpd", "icb, provider, treatment_function, month_name_short"),
+                ]
+            ),
+            "stacked",
+            "enriched",
+            "gbmpd",
+            "cmpd",
+        )
+
+        # joins (J4-J6, J15, J17)
+        A(
+            "jn_names",
+            """SELECT p.der_provider_code, p.stp_code, pl.provider_short_name, pl.acute_full_name,
+       pl.stp_code AS lookup_stp_code, sl.stp_name, sl.short_name
+FROM (SELECT DISTINCT der_provider_code, stp_code FROM actuals) p
+LEFT JOIN provider_lookup pl ON p.der_provider_code IS NOT DISTINCT FROM pl.provider_code
+LEFT JOIN system_lookup sl ON p.stp_code IS NOT DISTINCT FROM sl.stp_code""",
+            "actuals",
+            "provider_lookup",
+            "system_lookup",
+        )
+        A(
+            "jn_composite",
+            f"""SELECT x.provider_code, x.stp_code, x.rows, pl.provider_short_name,
+       pl.provider_short_name IS NOT NULL AS matched
+FROM (SELECT provider_code, stp_code, count(*) AS rows FROM ss GROUP BY provider_code, stp_code) x
+LEFT JOIN provider_lookup pl ON {nse('x', 'pl', ['provider_code', 'stp_code'])}""",
+            "ss",
+            "provider_lookup",
+        )
+        A(
+            "jn_case",
+            f"""SELECT a.der_provider_code, a.hierarchy_key, h.organisation_code, h.stp_code, h.region_code,
+       count(*) AS attendances
+FROM (SELECT der_provider_code, {provider_case('der_provider_code', p.join_rules)} AS hierarchy_key FROM att
+      WHERE first_attendance IN ('2', '4') AND attendance_status IN ('5', '6')
+        AND der_financial_year IN ({q(p.actual_fy)}) AND left(der_provider_code, 1) = 'R') a
+LEFT JOIN hier h ON a.hierarchy_key = h.organisation_code
+GROUP BY a.der_provider_code, a.hierarchy_key, h.organisation_code, h.stp_code, h.region_code""",
+            "att",
+            "hier",
+        )
+        A(
+            "jn_cost",
+            """SELECT a.der_financial_year, CASE WHEN c.hrg_code_other LIKE 'WF%' THEN 'Y' ELSE 'N' END AS wf_flag,
+       count(*) AS attendances, count(c.hrg_code_other) AS with_cost
+FROM att a LEFT JOIN att_cost c ON a.opa_ident = c.opa_ident AND a.der_financial_year = c.der_financial_year
+GROUP BY ALL""",
+            "att",
+            "att_cost",
+        )
+
+        # scalar functions
+        y0 = p.actual_fy_start_year
+        fm = fin_month("d")
+        A(
+            "sc_calendar",
+            f"""SELECT d AS date, CAST(day(d) AS INTEGER) AS day_num, strftime(d, '%a') AS day_name,
+       CAST(dayofweek(d) + 1 AS INTEGER) AS weekday_num, CAST(month(d) AS INTEGER) AS month_num,
+       CAST(year(d) AS INTEGER) AS year_num, strftime(d, '%b') AS month_name_short,
+       {fy_label('d', '-')} AS fin_year, {fy_label('d', '/')} AS fin_year_sql, {fm} AS fin_month,
+       {first_of_month('d')} AS month_commencing, strftime(d, '%Y%m') AS activity_month,
+       strftime(d, '%Y') || '-' || strftime(d, '%m') || '-01' AS month_text,
+       CASE WHEN {fm} < 10 THEN make_date({y0}, {fm} + 3, 1) ELSE make_date({y0 + 1}, {fm} - 9, 1) END AS month_of_actual
+FROM (SELECT DISTINCT appointment_date AS d FROM att) x""",
+            "att",
+        )
+        A(
+            "sc_text",
+            f"""SELECT t.der_provider_code, t.treatment_function_code, t.core_hrg,
+       left(t.der_provider_code, 3) AS left3, right(t.der_provider_code, 2) AS right2,
+       substr(t.der_provider_code, 2) AS tail, substr(r.treatment_function_desc, 5) AS treatment_function,
+       t.der_provider_code || t.treatment_function_code AS pair_key, lower(t.der_provider_code) AS lower_code,
+       left(t.core_hrg, 2) = 'WF' AS is_wf, t.der_provider_code LIKE 'R%' AS is_r,
+       {titlecase("'NHS ' || h.stp_name || ' ' || h.organisation_name")} AS title
+FROM (SELECT DISTINCT der_provider_code, treatment_function_code, core_hrg FROM att) t
+LEFT JOIN tfc_ref r ON t.treatment_function_code = r.treatment_function_code
+LEFT JOIN hier h ON left(t.der_provider_code, 3) = h.organisation_code""",
+            "att",
+            "tfc_ref",
+            "hier",
+        )
+        A(
+            "sc_format",
+            f"""SELECT orgcode, dimdatestart, orgtype, sourcetype,
+       strftime(dimdatestart, '%d/%m/%Y') AS date_dmy, strftime(dimdatestart, '%d%m%Y') AS date_stamp,
+       {re('value / 8.0', 1)} AS value_8th_1dp, {re('value / 8.0', 0)} AS value_8th_0dp,
+       {pct('value / 1000.0')} AS value_permille_pct, format('{{:,.0f}}', value * 1000.0) AS value_thousands
+FROM planning WHERE planningref = {q(p.planning_ref)}""",
+            "planning",
+        )
+
     # -- the oracle per query -------------------------------------------------
     def queries(self) -> dict[str, str]:
         p = self.p
         t = p.target_label
+        a = p.v2_target_label
         d = self.select
+        SG = ["speciality_activity", "total_activity", "baseline", "variance", "proportion_of_total"]
+        CMPD = ["total_activity", "baseline", "variance", "variance_per_wd", "cohort_activity", "cohort_proportion",
+                "monthly_reduction", "speciality_activity", "activity_per_wd", "wd_variance_by_spec"]
+        FAIR = ["avg_monthly_activity", "share_of_monthly_variance", "avg_activity_per_wd", "share_of_daily_variance"]
         out = {
             "calendar": d("calendar"),
             "monthly_working_days": d("mwd"),
@@ -432,6 +963,64 @@ FROM (SELECT provider_code, {narm('baseline')} AS baseline, {narm('actual')} AS
             "gap_by_year_code": d(
                 "gap_by_year_code", ["baseline", "actual", t, "variance", "perc_variance", "variance_per_wd"]
             ),
+            "normalise_provider": d("normalise"),
+            "extract_activity_3y": d("extract_3y"),
+            "extract_baseline_excl_march": d("extract_excl_march"),
+            "extract_march_history": d("extract_history"),
+            "hrg_series_baseline": d("hrg_baseline"),
+            "follow_up_tracking": d("tracking"),
+            "follow_up_tracking_rolled": d("tracking_rolled"),
+            "lower_columns": d("extract"),
+            "join_working_days": d("bl_wd", ["activity"]),
+            "baseline_and_goal": d("bag", ["activity", "adj_activity", "target"]),
+            "specialty_share": d("ss", ["speciality_activity", "total_activity", "proportion_of_total"]),
+            "specialty_gap": d("sg", SG + [t]),
+            "cohort": d("coh", ["speciality_activity", "total_activity", "proportion_of_activity", "avg_monthly_activity"]),
+            "semi_cohort": d("members", SG + [t]),
+            "cohort_rows": d("crows", SG + [t, "cohort_activity", "cohort_proportion", "monthly_reduction"]),
+            "cohort_coverage": d("coverage", ["cohort_activity"]),
+            "cohort_monthly_per_day": d("cmpd", CMPD + [t]),
+            "fair_share": d("fair", FAIR),
+            "specialty_gap_per_day_wide": d("sgpdw", list(FIN_MONTHS)),
+            "activity_comparison": d("comparison", ["activity"]),
+            "march_counterfactual": d("mcf", ["activity"]),
+            "per_day_gap_v1": d("v1_wide", ["baseline", "actual", p.v2_target_label, "variance"]),
+            "specialty_split_v1": d(
+                "v1_split", [m.isoformat() for m in p.actual_fy_months()] + ["total", "average_needed"]
+            ),
+            "gap_by_month_per_day_v2": d(
+                "gbmpd_v2", ["baseline", "actual", a, "variance", "activity_per_wd", f"{a}_per_wd", "variance_per_wd"]
+            ),
+            "fair_share_v2": d("fair_v2", ["avg_activity_per_wd", "avg_variance_from_ambition"]),
+            "cohort_coverage_v2": d("coverage_v2", ["cohort_activity"]),
+            "report_chart_feed": self.build(
+                f"SELECT icb, provider, month_of_actual, period, round(activity, 6) AS activity FROM enriched "
+                f"WHERE period IN ('baseline', 'actual', {q(t)})",
+                "enriched",
+            ),
+            "report_gap_table": d("gap_table", ["baseline", "actual", t, "variance"]),
+            "report_coverage_table": self.build(
+                f"SELECT icb, provider, {pct('cohort_activity')} AS percentage_represented FROM coverage", "coverage"
+            ),
+            "report_specialty_table": d(
+                "spec_table",
+                ["average_monthly_activity", "share_of_monthly_reduction", "average_daily_activity",
+                 "share_of_daily_reduction", "proportion_contributed"],
+            ),
+            "report_scope": d("scope"),
+            "report_system_feed": d("system_feed", ["baseline", "actual", t, "variance"]),
+            "report_trust_feed": d("trust_feed", ["baseline", "actual", t, "variance"]),
+            "dq_months_reported": self.build(
+                "SELECT der_provider_code, count(*) AS n FROM hist_pm GROUP BY der_provider_code", "hist_pm"
+            ),
+            "dq_pivot_duplicates": d("dq_dups"),
+            "join_names": d("jn_names"),
+            "join_composite_lookup": d("jn_composite"),
+            "join_case_key": d("jn_case"),
+            "join_cost_flags": d("jn_cost"),
+            "scalar_calendar": d("sc_calendar"),
+            "scalar_text": d("sc_text"),
+            "scalar_format": d("sc_format", ["value_8th_1dp", "value_8th_0dp"]),
         }
         return out
 

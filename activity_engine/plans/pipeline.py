@@ -35,16 +35,25 @@ class Pipeline:
 
     def variant_v2(self) -> "Pipeline":
         """The older (v2) method: 2022-23 working days, 'ambition', cohort without icb."""
-        return Pipeline(self.t, self.p, target_fy=self.p.v2_target_wd_fy, target_label=self.p.v2_target_label, by_icb=False)
+        v2 = Pipeline(self.t, self.p, target_fy=self.p.v2_target_wd_fy, target_label=self.p.v2_target_label, by_icb=False)
+        # the calendar and the extracts do not depend on the method
+        for name in ("bounds", "holidays", "calendar", "monthly_working_days", "extract", "actuals", "baseline"):
+            if name in self.__dict__:
+                v2.__dict__[name] = self.__dict__[name]
+        return v2
 
     # -- calendar ------------------------------------------------------------
+    @cached_property
+    def bounds(self):
+        return cal_ops.resolve_bounds(self.t, self.p)
+
     @cached_property
     def holidays(self) -> DataFrame:
-        return cal_ops.holiday_events(self.t, self.p)
+        return cal_ops.holiday_events(self.t, self.p, self.bounds)
 
     @cached_property
     def calendar(self) -> DataFrame:
-        return cal_ops.calendar(self.t, self.p)
+        return cal_ops.calendar(self.t, self.p, self.bounds)
 
     @cached_property
     def monthly_working_days(self) -> DataFrame:
@@ -85,7 +94,7 @@ class Pipeline:
 
     @cached_property
     def stacked(self) -> DataFrame:
-        return gp.stack_periods(self.rebased, self.provider_month_totals, self.target, self.calendar)
+        return gp.stack_periods(self.rebased, self.provider_month_totals, self.p.target_factor, self.calendar, self.label)
 
     @cached_property
     def gap_by_month(self) -> DataFrame:
@@ -99,9 +108,14 @@ class Pipeline:
     def enriched(self) -> DataFrame:
         return gp.enrich_names(self.with_variance, self.t.provider_lookup, self.t.system_lookup, int(self.p.actual_fy[:4]))
 
+    @cached_property
+    def enriched_stacked(self) -> DataFrame:
+        """Names on the distinct stacked rows (the variance rows left out)."""
+        return gp.enrich_names(self.stacked.distinct(), self.t.provider_lookup, self.t.system_lookup, int(self.p.actual_fy[:4]))
+
     @cached_property
     def gap_by_month_per_day(self) -> DataFrame:
-        return gp.gap_by_month_per_day(self.enriched, self.monthly_working_days, self.target_fy, self.label)
+        return gp.gap_by_month_per_day(self.enriched_stacked, self.monthly_working_days, self.target_fy, self.label)
 
     @cached_property
     def gap_per_day_wide(self) -> DataFrame:

@@ -16,7 +16,8 @@ class Tables:
     whose size is bounded by the number of organisations / codes.
     ``calendar_bounds`` is a one-row frame ``(start_date, end_date)`` or None
     (then the calendar range comes from ``Params``); ``holidays`` is a one
-    column frame ``date`` or None (then only ``Params.extra_holidays``).
+    column frame ``date``, a callable ``(spark, start, end) -> frame`` for
+    rule-based holidays, or None (then only ``Params.extra_holidays``).
     """
 
     attendance: DataFrame
@@ -28,5 +29,5 @@ class Tables:
     provider_lookup: DataFrame
     system_lookup: DataFrame
     acutes: DataFrame
-    holidays: DataFrame | None = None
+    holidays: object = None
     calendar_bounds: DataFrame | None = None

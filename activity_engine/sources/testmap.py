@@ -247,19 +247,6 @@ def load_tables(spark: SparkSession, sf_dir: str, params: Params | None = None)
         F.make_date(fy_start_year("lo"), F.lit(4), F.lit(1)).alias("start_date"),
         F.make_date(fy_start_year("hi") + 1, F.lit(3), F.lit(31)).alias("end_date"),
     )
-    # Synthetic bank holidays: 1 January, 25 and 26 December of every year.
-    holidays = calendar_bounds.select(
-        F.explode(F.sequence(F.year("start_date"), F.year("end_date"))).alias("y")
-    ).select(
-        F.explode(
-            F.array(
-                F.make_date("y", F.lit(1), F.lit(1)),
-                F.make_date("y", F.lit(12), F.lit(25)),
-                F.make_date("y", F.lit(12), F.lit(26)),
-            )
-        ).alias("date")
-    )
-
     return Tables(
         attendance=attendance,
         tfc_ref=tfc_ref,
@@ -270,6 +257,20 @@ def load_tables(spark: SparkSession, sf_dir: str, params: Params | None = None)
         provider_lookup=provider_lookup,
         system_lookup=system_lookup,
         acutes=acutes,
-        holidays=holidays,
+        holidays=rule_holidays,
         calendar_bounds=calendar_bounds,
     )
+
+
+def rule_holidays(spark: SparkSession, start, end) -> DataFrame:
+    """Synthetic bank holidays: 1 January, 25 and 26 December of every year of the range."""
+    y = spark.range(1).select(F.explode(F.sequence(F.lit(start.year), F.lit(end.year))).alias("y"))
+    return y.select(
+        F.explode(
+            F.array(
+                F.make_date("y", F.lit(1), F.lit(1)),
+                F.make_date("y", F.lit(12), F.lit(25)),
+                F.make_date("y", F.lit(12), F.lit(26)),
+            )
+        ).alias("date")
+    )
