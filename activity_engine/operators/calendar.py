@@ -86,6 +86,54 @@ def calendar(tables: Tables, params: Params, bounds: tuple[dt.date, dt.date] | N
     )
 
 
+class DateDim:
+    """The calendar's per-date attributes as expressions over a date column.
+
+    Looking a date up in the generated calendar (a left join on ``date``) gives
+    its labels when the date lies in the calendar range and NULLs otherwise.
+    These attributes are functions of the date, so ``attach_calendar`` computes
+    them in place, guarded by the range: same result, no join and no calendar
+    generation in the plan.  Working-day counts still come from the calendar.
+    """
+
+    def __init__(self, start: dt.date, end: dt.date):
+        self.start, self.end = start, end
+
+    def attrs(self, d) -> dict:
+        d = F.col(d) if isinstance(d, str) else d
+        inside = d.between(F.lit(self.start), F.lit(self.end))
+        exprs = {
+            "date": d,
+            "day_num": F.dayofmonth(d),
+            "day_name": weekday_abbr(d),
+            "month_num": F.month(d),
+            "year_num": F.year(d),
+            "month_name": month_abbr(d),
+            "month_name_short": month_abbr(d),
+            "fin_year": fin_year(d, "-"),
+            "fin_month": fin_month(d),
+        }
+        return {k: F.when(inside, v) for k, v in exprs.items()}
+
+
+def attach_calendar(df: DataFrame, key: str, cal, cols: list[str], *, first_of_month_only: bool = False) -> DataFrame:
+    """Left join of ``df`` to the calendar on ``key = date``, adding ``cols``.
+
+    ``cal`` is a calendar DataFrame (joined, broadcast: bounded by the range)
+    or a ``DateDim`` (computed in place).  ``first_of_month_only`` matches only
+    calendar rows with ``day_num == 1``.
+    """
+    if isinstance(cal, DateDim):
+        a = cal.attrs(key)
+        if first_of_month_only:
+            a = {k: F.when(F.dayofmonth(F.col(key)) == 1, v) for k, v in a.items()}
+        return df.withColumns({c: a[c] for c in cols})
+    from ..functions.semantics import left_join
+
+    c = cal.where(F.col("day_num") == 1) if first_of_month_only else cal
+    return left_join(df, c.select("date", *cols), {key: "date"}, broadcast=True)
+
+
 def monthly_working_days(cal: DataFrame) -> DataFrame:
     """Count of working days per month (months without any are absent)."""
     return (

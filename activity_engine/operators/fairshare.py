@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.semantics import left_join, ratio, round_half_even, semi_join, strict_sum, strict_sum_over
 from ..params import Params
-from .calendar import year_working_days
+from .calendar import attach_calendar, year_working_days
 from .gap import months_wide, only_acutes
 
 
@@ -29,8 +29,7 @@ def specialty_share(actuals: DataFrame, acutes: DataFrame, cal: DataFrame) -> Da
         F.col("activity").alias("speciality_activity"),
         strict_sum_over("activity", w).alias("total_activity"),
     ).withColumn("proportion_of_total", ratio("speciality_activity", "total_activity"))
-    c = cal.select("date", "month_name_short", "fin_month")
-    a = left_join(a, c, {"month_commencing": "date"}, broadcast=True)
+    a = attach_calendar(a, "month_commencing", cal, ["month_name_short", "fin_month"])
     return a.select(
         "month_name_short",
         "fin_month",

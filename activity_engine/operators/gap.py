@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import month_of_fin_month
 from ..functions.semantics import left_join, ratio, strict_sum, sum_na_rm, union_distinct
 from ..params import FIN_MONTHS
-from .calendar import trimmed_working_days, year_working_days
+from .calendar import attach_calendar, trimmed_working_days, year_working_days
 
 PERIODS = ("baseline", "actual")
 
@@ -99,8 +99,7 @@ def stack_periods(rebased: DataFrame, actual: DataFrame, factor: float, cal: Dat
     baseline year and the actual year line up by month name and financial month.
     """
     rows = union_distinct(baseline_and_target_rows(rebased, factor, label), actual)
-    c = cal.select("date", "month_name_short", "fin_month")
-    rows = left_join(rows, c, {"month_commencing": "date"}, broadcast=True)
+    rows = attach_calendar(rows, "month_commencing", cal, ["month_name_short", "fin_month"])
     return rows.select("month_name_short", "fin_month", "provider_code", "activity", "period")
 
 

@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.semantics import left_join, ratio, round_half_even, strict_sum, union_distinct
 from ..params import Params
 from ..sources.tables import Tables
+from .calendar import attach_calendar
 from .gap import only_acutes
 
 
 def activity_comparison(actuals_3y: DataFrame, cal: DataFrame) -> DataFrame:
     """Three years of activity by month, provider (3 characters) and STP."""
-    months = cal.where(F.col("day_num") == 1).select("date", "year_num", "month_name_short", "fin_year", "fin_month")
     a = actuals_3y.withColumn("activity", F.col("activity").cast("double"))
-    a = left_join(a, months, {"month_commencing": "date"}, broadcast=True)
+    a = attach_calendar(
+        a, "month_commencing", cal, ["year_num", "month_name_short", "fin_year", "fin_month"], first_of_month_only=True
+    )
     keys = ["month_commencing", "year_num", "fin_year", "month_name_short", "fin_month", "der_provider_code", "stp_code"]
     a = a.select(*keys[:5], F.substring("der_provider_code", 1, 3).alias("der_provider_code"), "stp_code", "activity")
     return a.groupBy(*keys).agg(strict_sum("activity").alias("activity"))
@@ -79,8 +81,7 @@ def per_day_gap_v1(
     base = base.withColumn("period", F.lit("baseline"))
     act = _per_day(_no_spec(actuals, params_acutes(tables)), mwd).withColumn("period", F.lit("actual"))
     rows = union_distinct(union_distinct(base, act), amb)
-    c = cal.select("date", "month_name_short", "fin_month")
-    rows = left_join(rows, c, {"month_commencing": "date"}, broadcast=True)
+    rows = attach_calendar(rows, "month_commencing", cal, ["month_name_short", "fin_month"])
     pl = tables.provider_lookup.select("provider_code", "provider_short_name")
     rows = left_join(rows, pl, {"der_provider_code": "provider_code"}, broadcast=True)
     sl = tables.system_lookup.select("stp_code", "short_name")

@@ -55,6 +55,11 @@ class Pipeline:
     def calendar(self) -> DataFrame:
         return cal_ops.calendar(self.t, self.p, self.bounds)
 
+    @cached_property
+    def date_dim(self) -> cal_ops.DateDim:
+        """Per-date calendar attributes computed in place (no calendar join)."""
+        return cal_ops.DateDim(*self.bounds)
+
     @cached_property
     def monthly_working_days(self) -> DataFrame:
         return cal_ops.monthly_working_days(self.calendar)
@@ -94,7 +99,7 @@ class Pipeline:
 
     @cached_property
     def stacked(self) -> DataFrame:
-        return gp.stack_periods(self.rebased, self.provider_month_totals, self.p.target_factor, self.calendar, self.label)
+        return gp.stack_periods(self.rebased, self.provider_month_totals, self.p.target_factor, self.date_dim, self.label)
 
     @cached_property
     def gap_by_month(self) -> DataFrame:
@@ -132,7 +137,7 @@ class Pipeline:
     # -- specialty level -------------------------------------------------------
     @cached_property
     def specialty_share(self) -> DataFrame:
-        return fs.specialty_share(self.actuals, self.t.acutes, self.calendar)
+        return fs.specialty_share(self.actuals, self.t.acutes, self.date_dim)
 
     @cached_property
     def specialty_gap(self) -> DataFrame:
@@ -171,7 +176,7 @@ class Pipeline:
 
     @cached_property
     def activity_comparison(self) -> DataFrame:
-        return lg.activity_comparison(ex.extract_activity_3y(self.t, self.p), self.calendar)
+        return lg.activity_comparison(ex.extract_activity_3y(self.t, self.p), self.date_dim)
 
     @cached_property
     def march_counterfactual(self) -> DataFrame:
@@ -186,7 +191,7 @@ class Pipeline:
             self.march_counterfactual,
             self.actuals,
             self.t,
-            self.calendar,
+            self.date_dim,
             self.monthly_working_days,
             self.p,
         )
