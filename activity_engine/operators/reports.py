@@ -60,9 +60,11 @@ MEASURES = (
 
 def specialty_table(fair: DataFrame) -> DataFrame:
     """Per provider, the fair-share rows rounded to whole numbers, each row's
-    share of the monthly reduction (W3) and a 'Total' row (strict sums).
+    share of the monthly reduction (W3) and a 'Total' row (strict sums, A11).
 
-    Rows without a provider name are left out, as the per-trust filter does.
+    Detail and total rows come from one ``rollup`` over the rows, so the
+    fair-share plan is evaluated once.  Rows without a provider name are left
+    out, as the per-trust filter does.
     """
     f = fair.where(F.col("provider").isNotNull()).select(
         "icb", "provider", "treatment_function", *[round_half_even(a, 0).alias(b) for a, b in MEASURES]
@@ -73,9 +75,19 @@ def specialty_table(fair: DataFrame) -> DataFrame:
         ratio("share_of_monthly_reduction", strict_sum_over("share_of_monthly_reduction", w)),
     )
     nums = [b for _, b in MEASURES] + ["proportion_contributed"]
-    total = f.groupBy("icb", "provider").agg(*[strict_sum(c).alias(c) for c in nums])
-    total = total.select("icb", "provider", F.lit("Total").alias("treatment_function"), *nums)
-    out = f.withColumn("row_kind", F.lit("row")).unionByName(total.withColumn("row_kind", F.lit("total")))
+    r = f.rollup("icb", "provider", "treatment_function").agg(
+        *[strict_sum(c).alias(c) for c in nums], F.grouping_id().alias("_gid")
+    )
+    # 0: one specialty row (a sum of one value); 1: the provider's total; 3 and 7: coarser levels, dropped
+    r = r.where(F.col("_gid") <= 1)
+    is_total = F.col("_gid") == 1
+    out = r.select(
+        "icb",
+        "provider",
+        F.when(is_total, F.lit("Total")).otherwise(F.col("treatment_function")).alias("treatment_function"),
+        *nums,
+        F.when(is_total, F.lit("total")).otherwise(F.lit("row")).alias("row_kind"),
+    )
     return out.withColumn("proportion_text", percent_text("proportion_contributed"))
 
 
