@@ -21,6 +21,7 @@ def spark():
         .appName("activity_engine_tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="ae-test-wh-"))
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")

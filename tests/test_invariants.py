@@ -40,3 +40,15 @@ def test_working_days_match_calendar(spark):
     pl = pipeline(spark, SF_MID)
     yes = pl.calendar.where(F.col("working_day") == "yes").count()
     assert pl.monthly_working_days.agg(F.sum("working_days")).first()[0] == yes
+
+
+def test_flex_month_guard_drops_late_months(spark):
+    import datetime as dt
+
+    from activity_engine.params import test_params as make_params
+    from activity_engine.plans.pipeline import Pipeline
+
+    base = pipeline(spark, SF_MID)
+    cut = Pipeline(base.t, make_params().with_(exclude_from_month=dt.date(2000, 3, 1)))
+    assert base.actuals.where(F.col("month_commencing") >= dt.date(2000, 3, 1)).count() > 0
+    assert cut.actuals.where(F.col("month_commencing") >= dt.date(2000, 3, 1)).count() == 0

@@ -28,3 +28,13 @@ def test_write_table_csv_header(spark, tmpdir_path):
     back = spark.read.option("header", "true").csv(out)
     assert back.columns == ["a", "b"] and back.count() == 2
     assert run_stamp(dt.date(2023, 3, 5)) == "05032023"
+
+
+def test_tracking_table_is_saved_to_the_catalog(spark):
+    from activity_engine.plans.registry import pipeline
+    from activity_engine.sinks.writers import save_tracking_table
+    from conftest import SF_SMALL
+
+    t = pipeline(spark, SF_SMALL).follow_up_tracking
+    save_tracking_table(t, "follow_up_tracking_test")
+    assert spark.table("follow_up_tracking_test").count() == t.count()
