@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.semantics import left_join, ratio, round_half_even, semi_join, strict_sum, strict_sum_over
+from ..functions.semantics import left_join, ratio, round_half_even, strict_sum, strict_sum_over
 from ..params import Params
 from .calendar import attach_calendar, year_working_days
 from .gap import months_wide, only_acutes
@@ -73,7 +73,35 @@ def specialty_gap(
     )
 
 
-def cohort(spec_gap: DataFrame, params: Params, *, by_icb: bool = True) -> DataFrame:
+def cohort_flags(spec_gap: DataFrame, params: Params, *, by_icb: bool = True) -> DataFrame:
+    """D21 on every specialty row, in one pass over the rows (window aggregates).
+
+    Adds the group's yearly activity (by icb, provider, TFC; by provider, TFC
+    without icb), the provider total over distinct (month, provider, total)
+    rows, the row tally per (provider, TFC), the share and the monthly average,
+    ``in_cohort`` (the row's group passes) and ``pair_in_cohort`` (some group
+    with the row's (provider, TFC) passes: the reference's semi join on the
+    pair).  The rows are read once instead of once per aggregate.
+    """
+    keys = ["icb", "provider", "treatment_function_code"] if by_icb else ["provider", "treatment_function_code"]
+    pair = Window.partitionBy("provider", "treatment_function_code")
+    one_per_total = Window.partitionBy("month_name_short", "provider", "total_activity").orderBy("treatment_function_code")
+    per_provider = Window.partitionBy("provider")
+    f = spec_gap.withColumn("_spec_year", strict_sum_over("speciality_activity", Window.partitionBy(*keys)))
+    f = f.withColumn("_tally", F.count(F.lit(1)).over(pair))
+    f = f.withColumn("_first", F.row_number().over(one_per_total) == 1)
+    firsts = F.count(F.when(F.col("_first"), F.lit(1))).over(per_provider)
+    first_totals = F.when(F.col("_first"), F.col("total_activity"))
+    f = f.withColumn("_prov_total", F.when(F.count(first_totals).over(per_provider) == firsts, F.sum(first_totals).over(per_provider)))
+    f = f.withColumn("_share", ratio("_spec_year", "_prov_total")).withColumn("_avg", ratio("_spec_year", "_tally"))
+    passes = (F.col("_tally") > params.min_month_tally) & (
+        (F.col("_share") >= params.min_share) | (F.col("_avg") >= params.min_avg_monthly)
+    )
+    f = f.withColumn("in_cohort", F.coalesce(passes, F.lit(False)))
+    return f.withColumn("pair_in_cohort", F.max(F.col("in_cohort").cast("int")).over(pair) == 1)
+
+
+def cohort(spec_gap: DataFrame, params: Params, *, by_icb: bool = True, flags: DataFrame | None = None) -> DataFrame:
     """Specialties reported in more than ``min_month_tally`` rows and either
     at least ``min_share`` of the provider's activity or ``min_avg_monthly`` a month.
 
@@ -81,32 +109,27 @@ def cohort(spec_gap: DataFrame, params: Params, *, by_icb: bool = True) -> DataF
     the provider total sums distinct (month, provider, total) rows.
     """
     keys = ["icb", "provider", "treatment_function_code"] if by_icb else ["provider", "treatment_function_code"]
-    spec = spec_gap.groupBy(*keys).agg(strict_sum("speciality_activity").alias("speciality_activity"))
-    totals = (
-        spec_gap.select("month_name_short", "provider", "total_activity")
-        .distinct()
-        .groupBy("provider")
-        .agg(strict_sum("total_activity").alias("total_activity"))
-    )
-    c = left_join(spec, totals, ["provider"])
-    c = c.withColumn("proportion_of_activity", ratio("speciality_activity", "total_activity"))
-    tally = spec_gap.groupBy("provider", "treatment_function_code").agg(F.count(F.lit(1)).alias("month_tally"))
-    c = left_join(c, tally, ["provider", "treatment_function_code"])
-    c = c.withColumn("avg_monthly_activity", ratio("speciality_activity", "month_tally"))
-    return c.where(
-        (F.col("month_tally") > params.min_month_tally)
-        & ((F.col("proportion_of_activity") >= params.min_share) | (F.col("avg_monthly_activity") >= params.min_avg_monthly))
-    )
-
-
-def cohort_members(spec_gap: DataFrame, coh: DataFrame) -> DataFrame:
+    f = flags if flags is not None else cohort_flags(spec_gap, params, by_icb=by_icb)
+    return f.where(F.col("in_cohort")).select(
+        *keys,
+        F.col("_spec_year").alias("speciality_activity"),
+        F.col("_prov_total").alias("total_activity"),
+        F.col("_share").alias("proportion_of_activity"),
+        F.col("_tally").alias("month_tally"),
+        F.col("_avg").alias("avg_monthly_activity"),
+    ).distinct()
+
+
+def cohort_members(flags: DataFrame) -> DataFrame:
     """Specialty rows whose (provider, TFC) pair is in the cohort (NULL matches NULL)."""
-    return semi_join(spec_gap, coh, ["provider", "treatment_function_code"])
+    return flags.where(F.col("pair_in_cohort")).drop(
+        "_spec_year", "_tally", "_first", "_prov_total", "_share", "_avg", "in_cohort", "pair_in_cohort"
+    )
 
 
-def cohort_rows(spec_gap: DataFrame, coh: DataFrame) -> DataFrame:
+def cohort_rows(flags: DataFrame) -> DataFrame:
     """Cohort rows with the cohort's monthly total, share and monthly reduction."""
-    rows = cohort_members(spec_gap, coh)
+    rows = cohort_members(flags)
     w = Window.partitionBy("month_name_short", "fin_month", "icb", "provider")
     rows = rows.withColumn("cohort_activity", strict_sum_over("speciality_activity", w))
     rows = rows.withColumn("cohort_proportion", ratio("speciality_activity", "cohort_activity"))

@@ -10,6 +10,7 @@ from ..functions.formatting import date_text, percent_text, thousands
 from ..functions.semantics import left_join, round_half_even
 from ..functions.text import provider_code, title_case_nhs
 from ..operators import extract as ex
+from ..operators import fairshare as fs
 from .pipeline import Pipeline
 from .registry import QueryFn, _p, _q
 
@@ -172,7 +173,7 @@ def build() -> dict[str, QueryFn]:
     q["specialty_share"] = _p("specialty_share")
     q["specialty_gap"] = _p("specialty_gap")
     q["cohort"] = _p("cohort")
-    q["semi_cohort"] = _q(lambda pl: pl.cohort_rows.drop("cohort_activity", "cohort_proportion", "monthly_reduction"))
+    q["semi_cohort"] = _q(lambda pl: fs.cohort_members(pl.cohort_flags))
     q["cohort_rows"] = _p("cohort_rows")
     q["cohort_coverage"] = _p("cohort_coverage")
     q["cohort_monthly_per_day"] = _p("cohort_monthly_per_day")

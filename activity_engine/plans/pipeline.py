@@ -143,13 +143,17 @@ class Pipeline:
     def specialty_gap(self) -> DataFrame:
         return fs.specialty_gap(self.specialty_share, self.gap_by_month, self.t.provider_lookup, self.t.system_lookup, self.label)
 
+    @cached_property
+    def cohort_flags(self) -> DataFrame:
+        return fs.cohort_flags(self.specialty_gap, self.p, by_icb=self.by_icb)
+
     @cached_property
     def cohort(self) -> DataFrame:
-        return fs.cohort(self.specialty_gap, self.p, by_icb=self.by_icb)
+        return fs.cohort(self.specialty_gap, self.p, by_icb=self.by_icb, flags=self.cohort_flags)
 
     @cached_property
     def cohort_rows(self) -> DataFrame:
-        return fs.cohort_rows(self.specialty_gap, self.cohort)
+        return fs.cohort_rows(self.cohort_flags)
 
     @cached_property
     def cohort_coverage(self) -> DataFrame:

@@ -1,6 +1,6 @@
 """Threshold edges of the cohort rule (D21), on literal rows."""
 
-from activity_engine.operators.fairshare import cohort, cohort_rows
+from activity_engine.operators.fairshare import cohort, cohort_flags, cohort_rows
 from activity_engine.params import Params
 
 COLS = ("month_name_short string, fin_month int, icb string, provider string, treatment_function_code string, "
@@ -43,7 +43,7 @@ def test_tally_counts_rows_not_months(spark):
 def test_cohort_shares_sum_to_one_and_reductions_to_variance(spark):
     data = rows("P", "100", 12, 60.0, 100.0) + rows("P", "110", 12, 40.0, 100.0)
     df = spark.createDataFrame(data, COLS)
-    cr = cohort_rows(df, cohort(df, Params())).groupBy("month_name_short").agg(
+    cr = cohort_rows(cohort_flags(df, Params())).groupBy("month_name_short").agg(
         {"cohort_proportion": "sum", "monthly_reduction": "sum"}
     ).collect()
     for r in cr:
