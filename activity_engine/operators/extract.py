@@ -183,7 +183,8 @@ def follow_up_tracking(tables: Tables, params: Params, *, rolled: bool = False)
         date_text_first_of_month("appointment_date").alias("activity_month_year"),
         provider_code(code, (), exact_rules=params.tracking_key_exact, r_prefix_len=3).alias("_hier_key"),
     )
-    cost = tables.attendance_cost.select(
+    # the join needs equal years, so only the tracking years of the cost table can match
+    cost = tables.attendance_cost.where(c("der_financial_year").isin(*params.tracking_fys)).select(
         c("opa_ident").alias("_c_ident"), c("der_financial_year").alias("_c_fy"), "hrg_code_other"
     )
     hier = tables.provider_hierarchy.where(c("region_code") == params.tracking_region_code).select(
