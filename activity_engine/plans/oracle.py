@@ -99,7 +99,10 @@ def nse(a: str, b: str, cols) -> str:
 def rounded(cols) -> str:
     if not cols:
         return "*"
-    return "* REPLACE (" + ", ".join(f'round("{c}", 6) AS "{c}"' for c in cols) + ")"
+    # a zero prints as 0.0, never -0.0 (Spark's decimal rounding has no negative zero)
+    return "* REPLACE (" + ", ".join(
+        f'CASE WHEN "{c}" = 0 THEN CAST(0 AS DOUBLE) ELSE round("{c}", 6) END AS "{c}"' for c in cols
+    ) + ")"
 
 
 class Oracle:
@@ -994,7 +997,8 @@ FROM planning WHERE planningref = {q(p.planning_ref)}""",
             "fair_share_v2": d("fair_v2", ["avg_activity_per_wd", "avg_variance_from_ambition"]),
             "cohort_coverage_v2": d("coverage_v2", ["cohort_activity"]),
             "report_chart_feed": self.build(
-                f"SELECT icb, provider, month_of_actual, period, round(activity, 6) AS activity FROM enriched "
+                f"SELECT icb, provider, month_of_actual, period, "
+                f"CASE WHEN activity = 0 THEN CAST(0 AS DOUBLE) ELSE round(activity, 6) END AS activity FROM enriched "
                 f"WHERE period IN ('baseline', 'actual', {q(t)})",
                 "enriched",
             ),

@@ -23,11 +23,12 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
 def finalize(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round double columns (NaN and infinities pass through)."""
+    """Round double columns (NaN and infinities pass through, zero is always +0.0)."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f"`{f.name}`"), digits).alias(f.name))
+            c = F.col(f"`{f.name}`")
+            cols.append(F.when(c == 0, F.lit(0.0)).otherwise(F.round(c, digits)).alias(f.name))
         else:
             cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)
