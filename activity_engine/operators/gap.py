@@ -17,9 +17,6 @@ from ..functions.semantics import left_join, ratio, strict_sum, sum_na_rm, union
 from ..params import FIN_MONTHS
 from .calendar import attach_calendar, trimmed_working_days, year_working_days
 
-PERIODS = ("baseline", "actual")
-
-
 def only_acutes(df: DataFrame, acutes: DataFrame, code_col: str = "der_provider_code") -> DataFrame:
     """``filter(code %in% acutes)``; the acute list is bounded (one row per trust)."""
     a = acutes.select(F.col("provider_code").alias("_acute"))

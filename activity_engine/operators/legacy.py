@@ -76,10 +76,10 @@ def per_day_gap_v1(
     composite lookup); each row keeps its own STP.
     """
     label = params.v2_target_label
-    base = union_distinct(_per_day(_no_spec(baseline_excl_march, params_acutes(tables)), mwd), march_cf)
+    base = union_distinct(_per_day(_no_spec(baseline_excl_march, tables.acutes), mwd), march_cf)
     amb = base.withColumn("activity", F.col("activity") * F.lit(params.target_factor)).withColumn("period", F.lit(label))
     base = base.withColumn("period", F.lit("baseline"))
-    act = _per_day(_no_spec(actuals, params_acutes(tables)), mwd).withColumn("period", F.lit("actual"))
+    act = _per_day(_no_spec(actuals, tables.acutes), mwd).withColumn("period", F.lit("actual"))
     rows = union_distinct(union_distinct(base, act), amb)
     rows = attach_calendar(rows, "month_commencing", cal, ["month_name_short", "fin_month"])
     pl = tables.provider_lookup.select("provider_code", "provider_short_name")
@@ -100,10 +100,6 @@ def per_day_gap_v1(
     return wide.withColumn("variance", F.col("actual") - F.col(label))
 
 
-def params_acutes(tables: Tables) -> DataFrame:
-    return tables.acutes
-
-
 def specialty_split_v1(actuals: DataFrame, tables: Tables, mwd: DataFrame, params: Params) -> DataFrame:
     """Each specialty's share of the per-day reduction by month (one column
     per month of the actual year), the row total (NULL/NaN skipped) and its

@@ -21,7 +21,7 @@ from ..params import Params, test_params
 from ..session import build_session, checkpoint_dir, configure
 from ..sinks.writers import ORDER, write_report_feeds, write_table
 from ..sources.tables import Tables
-from ..sources.testmap import load_tables
+from ..sources.testmap import load_tables, prepare_fact
 from .pipeline import Pipeline
 
 
@@ -70,10 +70,15 @@ def main(argv=None) -> None:
     ap.add_argument("--out", required=True, help="output root on the shared file system")
     ap.add_argument("--format", default="parquet", choices=["parquet", "csv"])
     ap.add_argument("--master", default=None)
+    ap.add_argument("--prepare", default=None,
+                    help="shared folder: write the derived attendance there once (partitioned by year) and read it back")
     a = ap.parse_args(argv)
     spark = build_session(a.master)
     params = test_params()
-    written = run_reports(spark, load_tables(spark, a.sf_dir, params), params, a.out, fmt=a.format)
+    if a.prepare:
+        prepare_fact(spark, a.sf_dir, a.prepare, params)
+    tables = load_tables(spark, a.sf_dir, params, prepared=a.prepare)
+    written = run_reports(spark, tables, params, a.out, fmt=a.format)
     for k, v in written.items():
         print(f"{k}\t{v}")
 

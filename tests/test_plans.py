@@ -36,3 +36,19 @@ def test_no_python_and_no_cartesian(spark, name):
 def test_month_pivot_has_explicit_values(spark):
     df = QUERIES["gap_per_day_wide"](spark, SF_SMALL)
     assert df.columns == ["icb", "provider", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec", "Jan", "Feb", "Mar"]
+
+
+def test_prepared_fact_prunes_partitions_and_gives_the_same_extract(spark, tmpdir_path):
+    from activity_engine.operators.extract import extract_activity
+    from activity_engine.params import test_params as make_params
+    from activity_engine.sources.testmap import load_tables, prepare_fact
+
+    p = make_params()
+    prepare_fact(spark, SF_SMALL, tmpdir_path, p)
+    prepared = load_tables(spark, SF_SMALL, p, prepared=tmpdir_path)
+    derived = load_tables(spark, SF_SMALL, p)
+    a = extract_activity(prepared, p)
+    b = extract_activity(derived, p)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    plan = spark._jvm.PythonSQLUtils.explainString(a._jdf.queryExecution(), "formatted")
+    assert "PartitionFilters: [isnotnull(der_financial_year" in plan and "1999/00" in plan
