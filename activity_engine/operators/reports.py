@@ -112,6 +112,16 @@ def report_scope(system_lookup: DataFrame, provider_lookup: DataFrame, acutes: D
     return systems.unionByName(region).unionByName(trusts)
 
 
+def scope_filter(table: DataFrame, level: str, value: str | None, params: Params) -> DataFrame:
+    """the rows of one report: a system (``icb``), a trust (``provider``), or
+    everything for the region report.  Equality drops NULL names, as the
+    reference's ``filter`` does."""
+    if level == "region" or (level == "system" and value == params.region_report_name):
+        return table
+    col = {"system": "icb", "trust": "provider"}[level]
+    return table.where(F.col(col) == value)
+
+
 def system_feed(table: DataFrame, scope: DataFrame, params: Params) -> DataFrame:
     """D42 (K2): one copy of ``table`` per system report plus the whole table for the region."""
     s = scope.where(F.col("report_level") == "system").select(F.col("report").alias("_sys"))

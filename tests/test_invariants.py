@@ -52,3 +52,16 @@ def test_flex_month_guard_drops_late_months(spark):
     cut = Pipeline(base.t, make_params().with_(exclude_from_month=dt.date(2000, 3, 1)))
     assert base.actuals.where(F.col("month_commencing") >= dt.date(2000, 3, 1)).count() > 0
     assert cut.actuals.where(F.col("month_commencing") >= dt.date(2000, 3, 1)).count() == 0
+
+
+def test_scope_filter_matches_the_partitioned_feeds(spark):
+    from activity_engine.operators.reports import scope_filter
+
+    pl = pipeline(spark, SF_MID)
+    table = pl.report_gap_table
+    feed = pl.report_system_feed
+    one = feed.where(F.col("report") == "AMERICA").drop("report")
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, scope_filter(table, "system", "AMERICA", pl.p).collect()))
+    assert scope_filter(table, "region", None, pl.p).count() == table.count()
+    trust = scope_filter(table, "trust", "NATION_1", pl.p).collect()
+    assert len(trust) == 1 and trust[0].provider == "NATION_1"
