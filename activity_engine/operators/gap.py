@@ -88,6 +88,17 @@ def baseline_and_target_rows(rebased: DataFrame, factor: float, label: str = "ta
     )
 
 
+def distinct_stacked_rows(rebased: DataFrame, actual: DataFrame, factor: float, cal, label: str = "target") -> DataFrame:
+    """The stacked rows after the reference's later distinct union (D17), without the variance rows.
+
+    ``distinct(project(distinct(u)))`` equals ``distinct(project(u))``, so one
+    distinct over the projected union replaces two.
+    """
+    rows = baseline_and_target_rows(rebased, factor, label).unionByName(actual)
+    rows = attach_calendar(rows, "month_commencing", cal, ["month_name_short", "fin_month"])
+    return rows.select("month_name_short", "fin_month", "provider_code", "activity", "period").distinct()
+
+
 def stack_periods(rebased: DataFrame, actual: DataFrame, factor: float, cal: DataFrame, label: str = "target") -> DataFrame:
     """Baseline, actual and target rows (a distinct union) keyed by month label.
 
@@ -145,6 +156,8 @@ def gap_by_month_per_day(enriched: DataFrame, mwd: DataFrame, target_fy: str, ta
     variance rows), which keeps one copy of the stacked plan.
     """
     ids = ["month_name_short", "fin_month", "provider", "acute_full_name", "icb", "month_of_actual"]
+    # partitioned by (icb, provider): the pivot and the yearly totals by (icb, provider) share one exchange
+    enriched = enriched.repartition("icb", "provider")
     wide = pivot_periods(enriched, ids, ["baseline", "actual", target_label], target_label)
     wide = left_join(wide, year_working_days(mwd, target_fy, "wd_target"), ["month_name_short"], broadcast=True)
     return wide.select(

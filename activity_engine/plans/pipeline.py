@@ -116,7 +116,8 @@ class Pipeline:
     @cached_property
     def enriched_stacked(self) -> DataFrame:
         """Names on the distinct stacked rows (the variance rows left out)."""
-        return gp.enrich_names(self.stacked.distinct(), self.t.provider_lookup, self.t.system_lookup, int(self.p.actual_fy[:4]))
+        rows = gp.distinct_stacked_rows(self.rebased, self.provider_month_totals, self.p.target_factor, self.date_dim, self.label)
+        return gp.enrich_names(rows, self.t.provider_lookup, self.t.system_lookup, int(self.p.actual_fy[:4]))
 
     @cached_property
     def gap_by_month_per_day(self) -> DataFrame:
