@@ -87,7 +87,11 @@ def cohort_flags(spec_gap: DataFrame, params: Params, *, by_icb: bool = True) ->
     pair = Window.partitionBy("provider", "treatment_function_code")
     one_per_total = Window.partitionBy("month_name_short", "provider", "total_activity").orderBy("treatment_function_code")
     per_provider = Window.partitionBy("provider")
-    f = spec_gap.withColumn("_spec_year", strict_sum_over("speciality_activity", Window.partitionBy(*keys)))
+    # Every window here (and the cohort-row window and yearly sums after it) is keyed by a
+    # superset of the provider: one exchange by provider serves them all.  A provider has at
+    # most months x specialties rows, so even a hot provider is a small task.
+    f = spec_gap.repartition("provider")
+    f = f.withColumn("_spec_year", strict_sum_over("speciality_activity", Window.partitionBy(*keys)))
     f = f.withColumn("_tally", F.count(F.lit(1)).over(pair))
     f = f.withColumn("_first", F.row_number().over(one_per_total) == 1)
     firsts = F.count(F.when(F.col("_first"), F.lit(1))).over(per_provider)
