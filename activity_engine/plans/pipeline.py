@@ -34,12 +34,15 @@ class Pipeline:
         self.by_icb = by_icb
 
     def variant_v2(self) -> "Pipeline":
-        """The older (v2) method: 2022-23 working days, 'ambition', cohort without icb."""
+        """The older (v2) method: 2022-23 working days, 'ambition', cohort without icb (built once)."""
+        if "_v2" in self.__dict__:
+            return self.__dict__["_v2"]
         v2 = Pipeline(self.t, self.p, target_fy=self.p.v2_target_wd_fy, target_label=self.p.v2_target_label, by_icb=False)
         # the calendar and the extracts do not depend on the method
         for name in ("bounds", "holidays", "calendar", "monthly_working_days", "extract", "actuals", "baseline"):
             if name in self.__dict__:
                 v2.__dict__[name] = self.__dict__[name]
+        self.__dict__["_v2"] = v2
         return v2
 
     # -- calendar ------------------------------------------------------------
