@@ -38,10 +38,9 @@ class Pipeline:
         if "_v2" in self.__dict__:
             return self.__dict__["_v2"]
         v2 = Pipeline(self.t, self.p, target_fy=self.p.v2_target_wd_fy, target_label=self.p.v2_target_label, by_icb=False)
-        # the calendar and the extracts do not depend on the method
-        for name in ("bounds", "holidays", "calendar", "monthly_working_days", "extract", "actuals", "baseline"):
-            if name in self.__dict__:
-                v2.__dict__[name] = self.__dict__[name]
+        # the calendar and the extracts do not depend on the method: share the same plans
+        for name in ("bounds", "date_dim", "holidays", "calendar", "monthly_working_days", "extract", "actuals", "baseline"):
+            v2.__dict__[name] = getattr(self, name)
         self.__dict__["_v2"] = v2
         return v2
 
