@@ -107,7 +107,8 @@ def specialty_split_v1(actuals: DataFrame, tables: Tables, mwd: DataFrame, param
     acute = only_acutes(actuals, tables.acutes)
     totals = left_join(_no_spec(actuals, tables.acutes), _wd(mwd), ["month_commencing"], broadcast=True)
     totals = totals.withColumnRenamed("activity", "total_activity")
-    p = left_join(acute, totals, ["month_commencing", "der_provider_code", "stp_code"])
+    # one row per provider, STP and month: bounded by the organisations, broadcast
+    p = left_join(acute, totals, ["month_commencing", "der_provider_code", "stp_code"], broadcast=True)
     pl = tables.provider_lookup.select("provider_code", "provider_short_name")
     p = left_join(p, pl, {"der_provider_code": "provider_code"}, broadcast=True)
     sl = tables.system_lookup.select("stp_code", "short_name")
