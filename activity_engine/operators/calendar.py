@@ -61,7 +61,8 @@ def calendar(tables: Tables, params: Params, bounds: tuple[dt.date, dt.date] | N
     """One row per day with labels, financial year/month and working-day flag."""
     start, end = bounds or resolve_bounds(tables, params)
     spark = _active_session(tables.attendance)
-    days = spark.range(1).select(
+    # one partition: the whole calendar is a few thousand rows, and its aggregates need no exchange
+    days = spark.range(0, 1, 1, 1).select(
         F.explode(F.sequence(F.lit(start), F.lit(end), F.expr("interval 1 day"))).alias("date")
     )
     hol = holiday_events(tables, params, (start, end)).distinct().select(

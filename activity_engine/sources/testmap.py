@@ -276,7 +276,7 @@ def load_tables(spark: SparkSession, sf_dir: str, params: Params | None = None,
 
 def rule_holidays(spark: SparkSession, start, end) -> DataFrame:
     """Synthetic bank holidays: 1 January, 25 and 26 December of every year of the range."""
-    y = spark.range(1).select(F.explode(F.sequence(F.lit(start.year), F.lit(end.year))).alias("y"))
+    y = spark.range(0, 1, 1, 1).select(F.explode(F.sequence(F.lit(start.year), F.lit(end.year))).alias("y"))
     return y.select(
         F.explode(
             F.array(
