@@ -65,7 +65,8 @@ def calendar(tables: Tables, params: Params, bounds: tuple[dt.date, dt.date] | N
     days = spark.range(0, 1, 1, 1).select(
         F.explode(F.sequence(F.lit(start), F.lit(end), F.expr("interval 1 day"))).alias("date")
     )
-    hol = holiday_events(tables, params, (start, end)).distinct().select(
+    # a few dates per year: one partition, so the distinct needs no exchange
+    hol = holiday_events(tables, params, (start, end)).coalesce(1).distinct().select(
         F.col("date").alias("h_date"), F.lit(True).alias("is_holiday")
     )
     # bounded: a handful of dates per year of the range
