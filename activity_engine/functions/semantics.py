@@ -30,6 +30,24 @@ def strict_sum_over(c: str | Column, window) -> Column:
     return F.when(F.count(c).over(window) == F.count(F.lit(1)).over(window), F.sum(c).over(window))
 
 
+def pivot_strict(df: DataFrame, ids: Sequence[str], names_from: str, values: Sequence, value: str,
+                 names: Sequence[str] | None = None) -> DataFrame:
+    """``pivot_wider``: one column per value of ``names_from`` holding the strict
+    sum of ``value`` over that value's rows (the value itself when the id is
+    unique; NULL when absent or when any contributing row is NULL).
+
+    Written as conditional aggregation, one aggregate with one shuffle: Spark's
+    ``pivot`` needs two when the cell expression is not a plain aggregate.
+    """
+    names = list(names) if names is not None else [str(v) for v in values]
+    cells = []
+    for v, name in zip(values, names):
+        hit = F.col(names_from) == F.lit(v)
+        x = F.when(hit, F.col(value))
+        cells.append(F.when(F.count(F.when(hit, F.lit(1))) == F.count(x), F.sum(x)).alias(name))
+    return df.groupBy(*ids).agg(*cells)
+
+
 def sum_na_rm(c: str | Column) -> Column:
     """``sum(x, na.rm=TRUE)``: skips NULL and NaN; no value left gives 0."""
     c = _c(c)

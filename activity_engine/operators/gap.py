@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_of_fin_month
-from ..functions.semantics import left_join, ratio, strict_sum, sum_na_rm, union_distinct
+from ..functions.semantics import left_join, pivot_strict, ratio, strict_sum, sum_na_rm, union_distinct
 from ..params import FIN_MONTHS
 from .calendar import attach_calendar, trimmed_working_days, year_working_days
 
@@ -112,13 +112,13 @@ def stack_periods(rebased: DataFrame, actual: DataFrame, factor: float, cal: Dat
 
 
 def pivot_periods(df: DataFrame, ids: list[str], periods: list[str], target_label: str) -> DataFrame:
-    """``pivot_wider(names_from = period)`` then ``variance = actual - target``.
+    """``pivot_wider(names_from = period)`` (``pivot_strict``) then ``variance = actual - target``.
 
     A duplicated id would become a list column in the reference; here the
     cell is the strict sum of the duplicates (equal to the value when unique;
     ``dq_pivot_duplicates`` reports such ids).
     """
-    wide = df.groupBy(*ids).pivot("period", periods).agg(strict_sum("activity"))
+    wide = pivot_strict(df, ids, "period", periods, "activity")
     return wide.withColumn("variance", F.col("actual") - F.col(target_label))
 
 
@@ -177,7 +177,7 @@ def gap_by_month_per_day(enriched: DataFrame, mwd: DataFrame, target_fy: str, ta
 
 def months_wide(df: DataFrame, ids: list[str], value: str) -> DataFrame:
     """R2: month labels to twelve columns Apr..Mar (explicit list, no discovery job)."""
-    return df.groupBy(*ids).pivot("month_name_short", list(FIN_MONTHS)).agg(strict_sum(value))
+    return pivot_strict(df, ids, "month_name_short", list(FIN_MONTHS), value)
 
 
 def gap_per_day_wide(per_day: DataFrame) -> DataFrame:

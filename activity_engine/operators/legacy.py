@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.semantics import left_join, ratio, round_half_even, strict_sum, union_distinct
+from ..functions.semantics import left_join, pivot_strict, ratio, round_half_even, strict_sum, union_distinct
 from ..params import Params
 from ..sources.tables import Tables
 from .calendar import attach_calendar
@@ -94,9 +94,7 @@ def per_day_gap_v1(
         "activity",
         "period",
     )
-    wide = rows.groupBy("fin_month", "month", "provider", "icb").pivot("period", ["baseline", "actual", label]).agg(
-        strict_sum("activity")
-    )
+    wide = pivot_strict(rows, ["fin_month", "month", "provider", "icb"], "period", ["baseline", "actual", label], "activity")
     return wide.withColumn("variance", F.col("actual") - F.col(label))
 
 
@@ -124,10 +122,9 @@ def specialty_split_v1(actuals: DataFrame, tables: Tables, mwd: DataFrame, param
         round_half_even((wd_total - amb) * prop, 1).alias("reduction_per_day"),
     )
     months = params.actual_fy_months()
-    wide = p.groupBy("icb", "provider", "treatment_function").pivot("month_commencing", months).agg(
-        strict_sum("reduction_per_day")
-    )
     month_cols = [str(m) for m in months]
+    wide = pivot_strict(p, ["icb", "provider", "treatment_function"], "month_commencing", months, "reduction_per_day",
+                        month_cols)
     total = None
     for m in month_cols:
         v = F.when(F.col(f"`{m}`").isNull() | F.isnan(F.col(f"`{m}`")), F.lit(0.0)).otherwise(F.col(f"`{m}`"))
