@@ -106,7 +106,9 @@ def stack_periods(rebased: DataFrame, actual: DataFrame, factor: float, cal: Dat
     on order or grouping, so one is enough.  The year is dropped, so the
     baseline year and the actual year line up by month name and financial month.
     """
-    rows = union_distinct(baseline_and_target_rows(rebased, factor, label), actual)
+    # One exchange by provider code serves the distinct here and the pivot by (month, provider) after it;
+    # a provider code has months x periods rows.
+    rows = baseline_and_target_rows(rebased, factor, label).unionByName(actual).repartition("provider_code").distinct()
     rows = attach_calendar(rows, "month_commencing", cal, ["month_name_short", "fin_month"])
     return rows.select("month_name_short", "fin_month", "provider_code", "activity", "period")
 
