@@ -20,3 +20,15 @@ def test_report_run_writes_every_output(spark, tmpdir_path):
     systems = os.listdir(written["systems"])
     assert any(d.startswith("report=") for d in systems)
     assert spark.read.parquet(written["gap_by_year"]).count() > 0
+
+
+def test_report_run_cli_with_prepared_fact(spark, tmpdir_path, capsys):
+    from activity_engine.plans.run import main
+
+    out = os.path.join(tmpdir_path, "out")
+    prep = os.path.join(tmpdir_path, "prepared")
+    main(["--sf-dir", SF_SMALL, "--out", out, "--prepare", prep])
+    printed = capsys.readouterr().out
+    assert "gap_by_year\t" in printed and "trusts\t" in printed
+    assert any(d.startswith("der_financial_year=") for d in os.listdir(os.path.join(prep, "attendance")))
+    assert spark.read.parquet(os.path.join(out, "fair_share")).columns[:3] == ["icb", "provider", "treatment_function"]
