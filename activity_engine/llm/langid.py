@@ -40,6 +40,15 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
+def coded(values: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values (all below ``bound``) in order, and each value's place among them."""
+    if bound > 1 << 22:
+        return np.unique(values, return_inverse=True)
+    seen = np.zeros(bound, bool)
+    seen[values] = True
+    return np.flatnonzero(seen), (np.cumsum(seen) - 1)[values]
+
+
 def letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased letters of all texts with one 0 for each gap, and the text of each."""
     low = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
@@ -47,10 +56,10 @@ def letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), "<u4")
     length = np.asarray(pc.utf8_length(low))
     of = np.repeat(np.arange(len(low)), length)
-    kinds = np.unique(points)
-    letter = np.array([unicodedata.category(chr(p))[0] == "L" for p in kinds], bool)
+    kinds, codes = coded(points, 0x110000)
+    letter = np.array([unicodedata.category(chr(p))[0] == "L" for p in kinds.tolist()], bool)
     if len(points):
-        points = np.where(letter[np.searchsorted(kinds, points)], points, 0)
+        points = np.where(letter, kinds, 0)[codes]
     keep = np.ones(len(points), bool)
     keep[1:] = (points[1:] != 0) | (points[:-1] != 0) | (of[1:] != of[:-1])
     return points[keep], of[keep]
@@ -67,13 +76,13 @@ def letter_vectors(points: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarr
 def grams(texts: pa.Array, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct n-grams as rows of code points; then text, n-gram and count of each pair that occurs."""
     points, of = letters(texts)
-    kinds, codes = np.unique(points, return_inverse=True)
+    kinds, codes = coded(points, 0x110000)
     at = np.arange(max(0, len(points) - size + 1))
     at = at[of[at] == of[at + size - 1]]
     code = np.zeros(len(at), np.int64)
     for k in range(size):
         code = code * len(kinds) + codes[at + k]
-    seen, gram = np.unique(code, return_inverse=True)
+    seen, gram = coded(code, len(kinds) ** size)
     pair, n = np.unique(of[at] * max(1, len(seen)) + gram, return_counts=True)
     rows = np.stack([kinds[seen // len(kinds) ** (size - 1 - k) % len(kinds)] for k in range(size)], axis=1) if len(seen) else np.zeros((0, size), np.uint32)
     rows = rows.astype(np.int64)
