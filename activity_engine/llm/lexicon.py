@@ -63,6 +63,16 @@ def counts(docs: DataFrame, column: str, spaces: bool, longest: int) -> DataFram
 
 
 def frequent(docs: DataFrame, column: str, spaces: bool, size: int, longest: int = 64) -> list[str]:
-    """The ``size`` most frequent units of at most ``longest`` bytes (ties: by unit); the driver gets no more than these."""
-    top = counts(docs, column, spaces, longest)
-    return [r.unit for r in top.orderBy(F.desc("n"), "unit").limit(size).select("unit").collect()]
+    """The most frequent units of at most ``longest`` bytes, in order: those that occur at least 2**j times, with
+    the smallest j that leaves ``size`` of them or fewer. The driver gets no more than these."""
+    each = counts(docs, column, spaces, longest).persist()
+    level = F.floor(F.log2("n")).cast("int")
+    by_level = {r.level: r.n for r in each.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}
+    left, least = size, 64
+    for j in sorted(by_level, reverse=True):
+        if by_level[j] > left:
+            break
+        left, least = left - by_level[j], j
+    known = sorted(r.unit for r in each.filter(level >= least).select("unit").collect())
+    each.unpersist()
+    return known
