@@ -48,7 +48,8 @@ def lexicon_file(docs: DataFrame, path: str, column: str, size: int) -> str:
     words = sorted(w.encode() for w in frequent(docs, column, False, size))
     arrays = build(words, encode_words(path, [w.decode() for w in words]))
     name = hashlib.sha256(b"".join(arrays[k].tobytes() for k in sorted(arrays))).hexdigest()[:24]
-    file = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), f"{name}.fst")
+    # one place for one content: Spark takes a file of a name from one place only
+    file = os.path.join(tempfile.gettempdir(), f"lexicon-{os.getuid()}-{name}.fst")
     save(arrays, file)
     docs.sparkSession.sparkContext.addFile(file)
     return os.path.basename(file)

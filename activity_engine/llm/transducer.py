@@ -71,11 +71,13 @@ def build(words: list[bytes], outputs: list[list[int]]) -> dict[str, np.ndarray]
 
 def save(arrays: dict[str, np.ndarray], path: str) -> None:
     """One file: the arrays' lengths, then the arrays, each from a multiple of 8 bytes on."""
-    with open(path, "wb") as f:
+    part = f"{path}.{os.getpid()}"
+    with open(part, "wb") as f:
         f.write(np.array([len(arrays[k]) for k in NAMES], "<u8").tobytes())
         for k in NAMES:
             raw = arrays[k].tobytes()
             f.write(raw + bytes(-len(raw) % 8))
+    os.replace(part, path)
 
 
 class Transducer:
