@@ -23,6 +23,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
@@ -31,8 +32,8 @@ from .tokenizer import load
 from .transducer import Transducer, build, save
 from .words import append
 
-#: Words in the automaton: a file of some 3 MB.
-LEXICON = 65_536
+#: Words in the automaton at most: a file of some 5 MB.
+LEXICON = 131_072
 
 
 def encode_words(path: str, words: list[str], step: int = 20_000) -> list[list[int]]:
@@ -80,22 +81,17 @@ def encode_rows(automaton: Transducer, path: str, texts: pa.Array) -> tuple[np.n
     return pool[flat].astype("<u4"), total[own.first]
 
 
-def decoder(path: str) -> tuple[list[str], bool]:
-    """Token of each id, and whether decoding is joining them by a space (as it is for a vocabulary without decoder)."""
+def decode_rows(path: str, ids: pa.Array, begins: np.ndarray) -> pa.Array:
+    """The texts that the library's decode(ids, skip_special_tokens=False) gives, a row for each run of ids."""
     tokenizer = load(path)
-    return [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size(with_added_tokens=True))], (
-        tokenizer.decoder is None
-    )
-
-
-def decode_rows(path: str, ids: np.ndarray, begins: np.ndarray) -> list[str]:
-    """The texts that the library's decode(ids, skip_special_tokens=False) gives."""
-    tokens, joined = decoder(path)
-    out = []
-    for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
-        own = ids[a:b].tolist()
-        out.append(" ".join([tokens[i] for i in own]) if joined else load(path).decode(own, skip_special_tokens=False))
-    return out
+    if tokenizer.decoder is not None:
+        own = ids.to_pylist()
+        runs = [own[a:b] for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
+        return pa.array(tokenizer.decode_batch(runs, skip_special_tokens=False), pa.large_string())
+    # a vocabulary without decoder is decoded by joining the tokens by a space
+    tokens = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
+    lists = pa.LargeListArray.from_arrays(pa.array(begins, pa.int64()), pa.array(tokens, pa.large_string()).take(ids))
+    return pc.binary_join(lists, pa.scalar(" ", pa.large_string()))
 
 
 def _mapped(docs: DataFrame, path: str, column: str, lexicon: int, fields: str, columns) -> DataFrame:
@@ -123,7 +119,7 @@ def decode(encoded: DataFrame, path: str, column: str = "ids") -> DataFrame:
     def rows(part: pa.RecordBatch) -> dict:
         lists = part.column(column)
         begins = np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
-        return {"decoded": decode_rows(path, np.asarray(lists.flatten()), begins)}
+        return {"decoded": decode_rows(path, lists.flatten(), begins)}
 
     return map_rows(encoded, "decoded string", rows)
 
@@ -137,7 +133,7 @@ def round_trip_digests(docs: DataFrame, path: str, column: str = "text", lexicon
         return {
             "n_tokens": np.diff(begins),
             "ids_sha256": [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in bounds],
-            "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in decode_rows(path, ids, begins)],
+            "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in decode_rows(path, pa.array(ids), begins).to_pylist()],
         }
 
     return _mapped(docs, path, column, lexicon, "n_tokens long, ids_sha256 string, decoded_sha256 string", columns)
