@@ -8,10 +8,10 @@
    pruned if, given the matches so far (uniform prior, so the posterior is a
    beta distribution), the similarity reaches the threshold with probability
    below MISS. Survivors are verified exactly on their full shingle sets.
-4. Linked classes merge. Buckets that still hold several components are the
-   rest: members outside the bucket's largest component are queries against all
-   members of other components, verified the same way. So no candidate pair
-   between components stays unexamined.
+4. Linked classes merge. Classes of buckets that still hold several components
+   are the rest: they are compared in bounded blocks, block against block, and
+   every pair that shares a bucket and isn't connected yet is pruned or verified
+   the same way. So no candidate pair between components stays unexamined.
 
 Bands are chosen so that a pair at the threshold shares none with probability
 below MISS.
@@ -43,6 +43,10 @@ from .words import SPACES, buffer, digests, map_rows, map_texts, mixed, split, w
 #: Probability with which a pair at the threshold may be missed by the bands, and by the pruning.
 MISS = 1e-6
 
+#: A block of the rest has about so many classes, and so many bytes of shingle hashes, at most.
+BLOCK_ITEMS = 1024
+BLOCK_BYTES = 16 << 20
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -152,12 +156,17 @@ def profiles(docs: DataFrame, settings: Settings) -> DataFrame:
     return map_texts(docs, "text", schema, rows)
 
 
-def pruned(pairs: DataFrame, settings: Settings, batch: int = 16) -> DataFrame:
-    """Pairs whose similarity may reach the threshold: sizes first, then signatures batch by batch."""
+def checks(settings: Settings, batch: int = 16) -> tuple[list[int], list[int]]:
+    """After how many hashes a pair is judged, and the fewest matches with which it goes on."""
     rows_in_band, bands = settings.bands()
-    hashes = rows_in_band * bands
-    steps = [*range(batch, hashes, batch), hashes]
-    least = [least_matches(settings.percent / 100, n) for n in steps]
+    steps = [*range(batch, rows_in_band * bands, batch), rows_in_band * bands]
+    return steps, [least_matches(settings.percent / 100, n) for n in steps]
+
+
+def pruned(pairs: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs whose similarity may reach the threshold: sizes first, then signatures batch by batch."""
+    steps, least = checks(settings)
+    hashes = steps[-1]
 
     def rows(part: pa.RecordBatch) -> dict:
         left, right = (
@@ -222,27 +231,86 @@ def class_links(classes: DataFrame, docs: DataFrame, settings: Settings) -> Data
     links = verified(stars, classes, sets, settings).checkpoint()
     found = components(links, "a", "b").checkpoint()
 
-    # the rest: buckets with members of several components
     at = buckets.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("component")
-    )
-    sizes = at.groupBy("key", "component").agg(F.count("*").alias("n"))
-    split_keys = sizes.groupBy("key").agg(
-        F.count("*").alias("k"), F.max(F.struct("n", -F.col("component"))).alias("top")
-    ).filter(F.col("k") > 1).select("key", (-F.col("top")["col2"]).alias("main"))
-    open_members = at.join(split_keys, "key")
-    queries = open_members.filter(F.col("component") != F.col("main")).select(
-        "key", F.col("rep").alias("q"), F.col("component").alias("of_q")
+        "key", "hub", "rep", F.coalesce("component", "rep").alias("component")
     )
-    rest = (
-        queries.join(open_members.select("key", "rep", "component", "main"), "key")
-        .filter((F.col("of_q") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("q") > F.col("rep"))))
-        .select(F.least("q", "rep").alias("a"), F.greatest("q", "rep").alias("b"))
+    several = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
+    left = at.join(several.select("key"), "key", "left_semi").checkpoint()
+    return components(links.union(rest_links(left, classes, sets, settings)), "a", "b")
+
+
+def rest_links(left: DataFrame, classes: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """(a, b): links between components that still share a bucket; ``left`` has key, hub, rep and component.
+
+    Classes that buckets connect form a cluster, dealt into blocks. Each pair of
+    blocks is one group, in which every pair of classes with a common bucket and
+    different components is pruned or verified; a link that connects nothing
+    new is left out, so a group gives no more rows than it has classes.
+    """
+    clusters = components(left.select("hub", "rep"), "hub", "rep").withColumnsRenamed({"id": "rep", "component": "cluster"})
+    items = (
+        left.select("rep", "component")
         .distinct()
-        .join(stars, ["a", "b"], "left_anti")
+        .join(clusters, "rep")
+        .join(classes.select("rep", "signature", "bands"), "rep")
+        .join(sets, "rep")
+    )
+    sizes = items.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.octet_length("set")).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ITEMS), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1))
+    dealt = (
+        items.join(sizes.select("cluster", blocks.cast("int").alias("blocks")), "cluster")
+        .withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            "cluster",
+            F.least("block", "other").alias("i"),
+            F.greatest("block", "other").alias("j"),
+            *("block", "rep", "component", "signature", "bands", "set"),
+        )
     )
-    more = verified(rest, classes, sets, settings)
-    return components(links.union(more), "a", "b")
+    _, bands = settings.bands()
+    steps, least = checks(settings)
+
+    def compare(group: pa.Table) -> pa.Table:
+        rep, component = (np.asarray(group.column(c)) for c in ("rep", "component"))
+        signature = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(len(rep), -1)
+        keys = np.asarray(group.column("bands").combine_chunks().flatten()).reshape(len(rep), bands)
+        own = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
+        n = np.array([len(x) for x in own])
+        block, i, j = (np.asarray(group.column(c)) for c in ("block", "i", "j"))
+        left_side, right_side = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        root = dict.fromkeys(component.tolist())
+
+        def find(x: int) -> int:
+            while root[x] is not None:
+                x = root[x]
+            return x
+
+        a, b = [], []
+        for x in left_side.tolist():
+            y = right_side[(component[right_side] != component[x])]
+            if i[0] == j[0]:
+                y = y[y > x]
+            y = y[100 * np.minimum(n[y], n[x]) >= settings.percent * np.maximum(n[y], n[x])]
+            y = y[(keys[y] == keys[x]).any(axis=1)]
+            matches, done = np.zeros(len(y), np.int64), 0
+            for upto, m in zip(steps, least, strict=True):
+                matches += (signature[y, done:upto] == signature[x, done:upto]).sum(axis=1)
+                y, matches, done = y[matches >= m], matches[matches >= m], upto
+            here = find(int(component[x]))
+            for k in y.tolist():
+                there = find(int(component[k]))
+                if there == here:
+                    continue
+                at = np.minimum(np.searchsorted(own[x], own[k]), len(own[x]) - 1)
+                both = int((own[x][at] == own[k]).sum())
+                if 100 * both >= settings.percent * (n[x] + n[k] - both):
+                    a.append(int(rep[x]))
+                    b.append(int(rep[k]))
+                    root[there] = here
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
