@@ -5,7 +5,7 @@ removed. Positions p with p mod PERIOD in COVER are anchors: for any two
 positions there is a shift below PERIOD that brings both onto anchors, so two
 equal windows hold an equal anchor of WINDOW - PERIOD + 1 words at the same
 place. Only anchors are hashed and shuffled; the windows around an anchor that
-another document shares are then compared by 128-bit hashes.
+another document shares are then compared by 96-bit hashes.
 
 In both shuffles a task sends one row for each hash and slice (that of its
 smallest document), so the rows of a hash shared by any part of the corpus are
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import SPACES, buffer, digests, map_texts, mixed, split, window_hash, window_starts
+from .words import SPACES, Words, buffer, digests, map_texts, mixed, split, window_hash, window_starts
 
 WINDOW = 13
 PERIOD = 7
@@ -54,63 +54,75 @@ def first_of_each(doc: np.ndarray, *key: np.ndarray) -> tuple[np.ndarray, np.nda
     return first, several
 
 
+def anchor_hashes(words: Words, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word index and hash of every anchor of the texts that have a window."""
+    at = window_starts(words, ANCHOR)
+    of = words.of_text()[at]
+    some = np.isin((at - words.first[of]) % PERIOD, COVER) & (np.diff(words.first) >= WINDOW)[of]
+    # 48 bits: an anchor only chooses what is compared
+    return at[some], window_hash(values[:, 0], at[some], ANCHOR) >> np.uint64(16)
+
+
 def anchors(docs: DataFrame) -> DataFrame:
-    """(h, doc_id, tid, pos, known): anchors to compare, and those that their slice already found shared."""
+    """(h, doc_id, tid, known): anchors to compare; with ``known``, one that its slice already found shared, and h
+    is any number."""
 
     def rows(part: pa.RecordBatch) -> dict:
         _, words, values = hashed_words(part.column("text"))
-        long = np.diff(words.first) >= WINDOW
-        at = window_starts(words, ANCHOR)
-        of = words.of_text()
-        pos = at - words.first[of[at]]
-        some = np.isin(pos % PERIOD, COVER) & long[of[at]]
-        at, pos = at[some], pos[some]
-        doc, tid = np.asarray(part.column("doc_id"))[of[at]], np.asarray(part.column("tid"))[of[at]]
-        h = window_hash(values[:, 0], at, ANCHOR)
+        at, h = anchor_hashes(words, values)
+        of = words.of_text()[at]
+        doc, tid = np.asarray(part.column("doc_id"))[of], np.asarray(part.column("tid"))[of]
         first, several = first_of_each(doc, h)
-        h, doc, tid, pos = (np.concatenate([x[first], x[several]]) for x in (h, doc, tid, pos))
-        known = np.arange(len(h)) >= first.sum()
+        known = pa.array(np.concatenate([h[first], h[several]]).view(np.int64), mask=np.arange(first.sum() + several.sum()) < first.sum())
         # known rows are spread over all tasks
-        h = np.where(known, mixed(doc.astype(np.uint64) * np.uint64(1_000_003) + pos.astype(np.uint64)), h)
-        return {"h": h.view(np.int64), "doc_id": doc, "tid": tid, "pos": pos, "known": known}
+        spread = mixed(h[several] + mixed(tid[several].view(np.uint64)))
+        return {
+            "h": np.concatenate([h[first], spread]).view(np.int64),
+            "doc_id": np.concatenate([doc[first], doc[several]]),
+            "tid": np.concatenate([tid[first], tid[several]]),
+            "known": known,
+        }
 
-    return map_texts(docs, "text", "h long, doc_id long, tid long, pos int, known boolean", rows)
+    return map_texts(docs, "text", "h long, doc_id long, tid long, known long", rows)
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """(a, b, doc_id, tid, start, stop, known): windows at the anchors in ``at``: hash and start, or runs of starts known to be removed."""
+    """(a, b, doc_id, tid, run): the windows at the anchors in ``shared``. a and the upper half of b are the hash, the
+    lower half of b is the start; with ``run``, it and the starts behind it, so many in all, are known to be removed."""
 
     def rows(part: pa.RecordBatch) -> dict:
         _, words, values = hashed_words(part.column("text"))
-        lists = part.column("at")
-        n = np.diff(words.first)
-        of = np.repeat(np.arange(len(part)), lists.value_lengths().to_numpy(zero_copy_only=False))
-        pos = np.asarray(lists.flatten()).astype(np.int64)
+        at, h = anchor_hashes(words, values)
+        of = words.of_text()
+        lists = part.column("shared")
+        owner = np.repeat(np.arange(len(part)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        wanted = mixed(owner.astype(np.uint64) + np.uint64(1)) ^ np.asarray(lists.flatten()).view(np.uint64)
+        at = at[np.isin(mixed(of[at].astype(np.uint64) + np.uint64(1)) ^ h, wanted)]
+        # starts of the windows that hold such an anchor
+        low, high = words.first[:-1][of[at]], words.first[1:][of[at]] - WINDOW
         flags = np.zeros(len(values) + 1, np.int64)
-        np.add.at(flags, words.first[of] + np.maximum(pos - PERIOD + 1, 0), 1)
-        np.add.at(flags, words.first[of] + np.minimum(pos, n[of] - WINDOW) + 1, -1)
+        np.add.at(flags, np.maximum(at - PERIOD + 1, low), 1)
+        np.add.at(flags, np.minimum(at, high) + 1, -1)
         at = np.flatnonzero(np.cumsum(flags[:-1]) > 0)
-        of = words.of_text()[at]
+        of = of[at]
         doc, tid = np.asarray(part.column("doc_id"))[of], np.asarray(part.column("tid"))[of]
-        a, b = window_hash(values[:, 0], at, WINDOW), window_hash(values[:, 1], at, WINDOW, 0xC2B2AE3D27D4EB4F)
+        a = window_hash(values[:, 0], at, WINDOW)
+        b = window_hash(values[:, 1], at, WINDOW, 0xC2B2AE3D27D4EB4F) >> np.uint64(32) << np.uint64(32)
         first, _ = first_of_each(doc, b, a)
-        gone = at[~first]
-        cut = np.flatnonzero(np.append(True, (gone[1:] != gone[:-1] + 1) | (of[~first][1:] != of[~first][:-1]))) if len(gone) else np.zeros(0, np.int64)
-        last = np.append(cut[1:], len(gone)) - 1 if len(gone) else cut
-        run_of = of[~first][cut]
-        start = at - words.first[of]
+        b |= (at - words.first[of]).astype(np.uint64)
+        gone, of = at[~first], of[~first]
+        cut = np.flatnonzero(np.append(True, (gone[1:] != gone[:-1] + 1) | (of[1:] != of[:-1]))) if len(gone) else gone
+        run = np.diff(np.append(cut, len(gone)))
+        spread = mixed(tid[~first][cut].view(np.uint64) + gone[cut].astype(np.uint64))
         return {
-            "a": np.concatenate([a[first], mixed(tid[~first][cut].view(np.uint64) + gone[cut].astype(np.uint64))]).view(np.int64),
-            "b": np.concatenate([b[first], np.zeros(len(cut), np.uint64)]).view(np.int64),
+            "a": np.concatenate([a[first], spread]).view(np.int64),
+            "b": np.concatenate([b[first], b[~first][cut]]).view(np.int64),
             "doc_id": np.concatenate([doc[first], doc[~first][cut]]),
             "tid": np.concatenate([tid[first], tid[~first][cut]]),
-            "start": np.concatenate([start[first], gone[cut] - words.first[run_of]]),
-            "stop": np.concatenate([start[first] + 1, gone[last] + 1 - words.first[run_of]]),
-            "known": np.arange(first.sum() + len(cut)) >= first.sum(),
+            "run": pa.array(np.concatenate([np.zeros(first.sum(), np.int64), run]), mask=np.arange(first.sum() + len(cut)) < first.sum()),
         }
 
-    schema = "a long, b long, doc_id long, tid long, start int, stop int, known boolean"
-    return map_texts(docs, "text", schema, rows)
+    return map_texts(docs, "text", "a long, b long, doc_id long, tid long, run long", rows)
 
 
 def removals(known: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -122,22 +134,24 @@ def removals(known: DataFrame) -> tuple[DataFrame, DataFrame]:
         .agg(F.min("doc_id").alias("doc_id"), F.first("tid").alias("tid"))
         .select("doc_id", "tid", F.lit(True).alias("is_first"))
     )
-    real = known.join(firsts.select("doc_id", "tid"), ["doc_id", "tid"])
-    of_hash, of_window = Window.partitionBy("h"), Window.partitionBy("a", "b")
-    places = (
-        anchors(real)
+    key = ["doc_id", "tid"]
+    of_hash, of_window = Window.partitionBy("h"), Window.partitionBy("a", F.shiftright("b", 32))
+    shared = (
+        anchors(known.join(firsts.select(key), key))
         .withColumn("least", F.min("doc_id").over(of_hash))
         .withColumn("most", F.max("doc_id").over(of_hash))
-        .filter(F.col("known") | (F.col("least") < F.col("most")))
-        .groupBy("doc_id", "tid")
-        .agg(F.collect_set("pos").alias("at"))  # at most a document's words
+        .filter(F.col("known").isNotNull() | (F.col("least") < F.col("most")))
+        .groupBy(key)
+        .agg(F.collect_set(F.coalesce("known", "h")).alias("shared"))  # at most a document's words
     )
+    start = F.col("b").bitwiseAND(0xFFFFFFFF)
     runs = (
-        windows(known.join(places, ["doc_id", "tid"]))
+        windows(known.join(shared, key))
         .withColumn("least", F.min("doc_id").over(of_window))
-        .filter(F.col("known") | (F.col("least") < F.col("doc_id")))
-        .groupBy("doc_id", "tid")
-        .agg(F.collect_list(F.struct("start", "stop")).alias("runs"))  # at most a document's words
+        .filter(F.col("run").isNotNull() | (F.col("least") < F.col("doc_id")))
+        .groupBy(key)
+        # at most a document's words
+        .agg(F.collect_list(F.struct(start.alias("start"), (start + F.coalesce("run", F.lit(1))).alias("stop"))).alias("runs"))
     )
     return firsts, runs
 
