@@ -10,12 +10,12 @@ another document shares are then compared by 96-bit hashes.
 In both shuffles a task sends one row for each hash and slice (that of its
 smallest document), so the rows of a hash shared by any part of the corpus are
 no more than slices; what a slice can decide alone goes around the shuffle.
-Exact copies of a text are left out first: all but the first lose every word
-(if there are enough for a window).
+Of exact copies of a text, all but the first lose every word (if there are
+enough for a window) and go no further.
 
 Defined cases: a null text has no words; a row with a null id neither removes
 nor loses anything; rows with one id are one document (they don't remove from
-each other); each input row gives one row; other columns are not read.
+each other; different texts of one id are told apart by 20 bits of a hash); each input row gives one row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -64,13 +64,15 @@ def anchor_hashes(words: Words, values: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """(h, doc_id, tid, known): anchors to compare; with ``known``, one that its slice already found shared, and h
+    """(h, doc_id, tid, known): anchors of the rows with ``is_first`` to compare; with ``known``, one that its slice already found shared, and h
     is any number."""
 
     def rows(part: pa.RecordBatch) -> dict:
         _, words, values = hashed_words(part.column("text"))
         at, h = anchor_hashes(words, values)
         of = words.of_text()[at]
+        own = np.asarray(part.column("is_first").fill_null(False))[of]
+        at, h, of = at[own], h[own], of[own]
         doc, tid = np.asarray(part.column("doc_id"))[of], np.asarray(part.column("tid"))[of]
         first, several = first_of_each(doc, h)
         known = pa.array(np.concatenate([h[first], h[several]]).view(np.int64), mask=np.arange(first.sum() + several.sum()) < first.sum())
@@ -126,18 +128,19 @@ def windows(docs: DataFrame) -> DataFrame:
 
 
 def removals(known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of ``known`` (doc_id, text, tid): (doc_id, tid, is_first) of the texts that no smaller id has, and
-    (doc_id, tid, runs), runs of window starts to remove from them."""
+    """``known`` (doc_id, text, tid) with is_first, null for a text that a smaller id has; and (doc_id, tid, runs), runs
+    of window starts to remove from the others."""
+    key = ["doc_id", "tid"]
     firsts = (
-        known.select("doc_id", "tid", F.sha2("text", 256).alias("sha"))
+        known.select(*key, F.sha2("text", 256).alias("sha"))
         .groupBy("sha")
         .agg(F.min("doc_id").alias("doc_id"), F.first("tid").alias("tid"))
-        .select("doc_id", "tid", F.lit(True).alias("is_first"))
+        .select(*key, F.lit(True).alias("is_first"))
     )
-    key = ["doc_id", "tid"]
+    marked = known.join(firsts, key, "left")
     of_hash, of_window = Window.partitionBy("h"), Window.partitionBy("a", F.shiftright("b", 32))
     shared = (
-        anchors(known.join(firsts.select(key), key))
+        anchors(marked)
         .withColumn("least", F.min("doc_id").over(of_hash))
         .withColumn("most", F.max("doc_id").over(of_hash))
         .filter(F.col("known").isNotNull() | (F.col("least") < F.col("most")))
@@ -146,21 +149,25 @@ def removals(known: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     start = F.col("b").bitwiseAND(0xFFFFFFFF)
     runs = (
-        windows(known.join(shared, key))
+        windows(marked.join(shared, key))
         .withColumn("least", F.min("doc_id").over(of_window))
         .filter(F.col("run").isNotNull() | (F.col("least") < F.col("doc_id")))
         .groupBy(key)
         # at most a document's words
         .agg(F.collect_list(F.struct(start.alias("start"), (start + F.coalesce("run", F.lit(1))).alias("stop"))).alias("runs"))
     )
-    return firsts, runs
+    return marked, runs
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text), one row for each row of ``docs`` (doc_id, text)."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tid", F.xxhash64("text"))
+    own = docs.select("doc_id", "text")
+    if dict(own.dtypes)["doc_id"] != "bigint":  # a cast that does nothing would keep Spark from reusing the shuffle of texts
+        own = own.withColumn("doc_id", F.col("doc_id").cast("long"))
+    # with the id, it tells a row's text; few bits, as the shuffled rows carry it
+    own = own.withColumn("tid", F.xxhash64("text").bitwiseAND(0xFFFFF))
     known = own.filter(F.col("doc_id").isNotNull())
-    firsts, runs = removals(known)
+    marked, runs = removals(known)
 
     def rows(part: pa.RecordBatch) -> dict:
         data, words, _ = hashed_words(part.column("text"))
@@ -198,7 +205,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     key = ["doc_id", "tid"]
     columns = ["doc_id", "text", "copy", "runs"]
-    joined = known.join(firsts, key, "left").withColumn("copy", F.col("is_first").isNull()).join(runs, key, "left")
+    joined = marked.withColumn("copy", F.col("is_first").isNull()).join(runs, key, "left")
     nameless = own.filter(F.col("doc_id").isNull()).select(
         "doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast(runs.schema["runs"].dataType).alias("runs")
     )
