@@ -44,8 +44,8 @@ from .words import SPACES, buffer, digests, map_rows, map_texts, mixed, split, w
 MISS = 1e-6
 
 #: A block of the rest has about so many classes, and so many bytes of shingle hashes, at most.
-BLOCK_ITEMS = 1024
-BLOCK_BYTES = 16 << 20
+BLOCK_ITEMS = 4096
+BLOCK_BYTES = 24 << 20
 
 
 @dataclass(frozen=True)
