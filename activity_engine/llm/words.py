@@ -169,7 +169,7 @@ def map_rows(df: DataFrame, fields: str, rows: Callable[[pa.RecordBatch], dict])
 
 
 def append(df: DataFrame, column: str, fields: str, rows: Callable[[pa.RecordBatch], dict]) -> DataFrame:
-    """``df`` with more columns; a column of ``df`` with a new one's name (in any case) is replaced."""
+    """``df`` with more columns; a column of ``df`` with a new one's name (in any case) is replaced (``rows`` still sees it)."""
     new = T._parse_datatype_string(fields)
     taken = {f.name.lower() for f in new} - {column.lower()}
     kept = [f for f in df.schema if f.name.lower() not in taken]
@@ -177,4 +177,4 @@ def append(df: DataFrame, column: str, fields: str, rows: Callable[[pa.RecordBat
     def both(part: pa.RecordBatch) -> dict:
         return {f.name: part.column(f.name) for f in kept} | rows(part)
 
-    return map_texts(df.select(*[f"`{f.name}`" for f in kept]), column, T.StructType([*kept, *new]), both)
+    return map_texts(df, column, T.StructType([*kept, *new]), both)
