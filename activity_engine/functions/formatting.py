@@ -10,16 +10,16 @@ def _c(c):
     return F.col(c) if isinstance(c, str) else c
 
 
-def percent_text(x, accuracy_digits: int = 0) -> Column:
-    """``scales::percent(x, accuracy)``: 100*x rounded half-even, then '%'.
+def percent_text(x, digits: int = 1) -> Column:
+    """``formattable::percent(x, digits, format = 'f')``: 100*x with that many decimals, then '%' ('12.3%').
 
-    ``accuracy = 1`` is ``accuracy_digits = 0`` ('12%').  Infinite values print
-    as 'Inf' / '-Inf' without the sign, NULL and NaN stay NULL.
+    Infinite values print as 'Inf' / '-Inf' without the sign, NULL and NaN
+    stay NULL.
     """
     x = _c(x).cast("double")
-    r = F.bround(x * 100.0, accuracy_digits)
+    r = F.bround(x * 100.0, digits)
     r = F.when(r == 0, F.lit(0.0)).otherwise(r)  # no '-0'
-    body = F.format_string(f"%.{accuracy_digits}f", r)
+    body = F.format_string(f"%.{digits}f", r)
     return (
         F.when(x.isNull() | F.isnan(x), F.lit(None).cast("string"))
         .when(x == float("inf"), F.lit("Inf"))

@@ -62,9 +62,10 @@ def specialty_table(fair: DataFrame) -> DataFrame:
     """Per provider, the fair-share rows rounded to whole numbers, each row's
     share of the monthly reduction (W3) and a 'Total' row (strict sums, A11).
 
-    Detail and total rows come from one ``rollup`` over the rows, so the
-    fair-share plan is evaluated once.  Rows without a provider name are left
-    out, as the per-trust filter does.
+    Rows stay as they are, also where several share a description (the fair
+    share is per code, and unmatched codes have none); each provider's total is
+    added to them.  Rows without a provider name are left out, as the per-trust
+    filter does.
     """
     f = fair.where(F.col("provider").isNotNull()).select(
         "icb", "provider", "treatment_function", *[round_half_even(a, 0).alias(b) for a, b in MEASURES]
@@ -75,20 +76,13 @@ def specialty_table(fair: DataFrame) -> DataFrame:
         ratio("share_of_monthly_reduction", strict_sum_over("share_of_monthly_reduction", w)),
     )
     nums = [b for _, b in MEASURES] + ["proportion_contributed"]
-    r = f.rollup("icb", "provider", "treatment_function").agg(
-        *[strict_sum(c).alias(c) for c in nums], F.grouping_id().alias("_gid")
+    rows = f.select("icb", "provider", "treatment_function", *nums, F.lit("row").alias("row_kind"))
+    totals = f.groupBy("icb", "provider").agg(
+        F.lit("Total").alias("treatment_function"),
+        *[strict_sum(c).alias(c) for c in nums],
+        F.lit("total").alias("row_kind"),
     )
-    # 0: one specialty row (a sum of one value); 1: the provider's total; 3 and 7: coarser levels, dropped
-    r = r.where(F.col("_gid") <= 1)
-    is_total = F.col("_gid") == 1
-    out = r.select(
-        "icb",
-        "provider",
-        F.when(is_total, F.lit("Total")).otherwise(F.col("treatment_function")).alias("treatment_function"),
-        *nums,
-        F.when(is_total, F.lit("total")).otherwise(F.lit("row")).alias("row_kind"),
-    )
-    return out.withColumn("proportion_text", percent_text("proportion_contributed"))
+    return rows.unionByName(totals).withColumn("proportion_text", percent_text("proportion_contributed"))
 
 
 def report_scope(system_lookup: DataFrame, provider_lookup: DataFrame, acutes: DataFrame, params: Params) -> DataFrame:

@@ -76,13 +76,13 @@ def re(x: str, digits: int) -> str:
 
 
 def pct(x: str) -> str:
-    """``scales::percent(x, 1)``: whole percent text, 'Inf' / '-Inf', NULL for NA/NaN."""
-    r = re(f"({x}) * 100", 0)
+    """R ``percent(x, 1, format = 'f')`` of formattable: 100 * x to 1 digit and '%'; 'Inf' / '-Inf', NULL for NA/NaN."""
+    r = re(f"({x}) * 100", 1)
     return (
         f"(CASE WHEN ({x}) IS NULL OR isnan({x}) THEN NULL "
         f"WHEN ({x}) = CAST('infinity' AS DOUBLE) THEN 'Inf' "
         f"WHEN ({x}) = CAST('-infinity' AS DOUBLE) THEN '-Inf' "
-        f"ELSE printf('%.0f', CASE WHEN {r} = 0 THEN 0.0 ELSE {r} END) || '%' END)"
+        f"ELSE printf('%.1f', CASE WHEN {r} = 0 THEN 0.0 ELSE {r} END) || '%' END)"
     )
 
 

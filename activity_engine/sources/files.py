@@ -1,7 +1,7 @@
 """File sources of the reference (S1-S6): CSV extracts, lookups, holiday JSON.
 
-Every reader declares its schema (no inference pass over the files) and
-returns a lazy DataFrame with lower-case column names.  CSV rules follow
+Every reader declares its schema (no inference pass over the files), finds
+its columns by header name and returns a lazy DataFrame with lower-case column names.  CSV rules follow
 ``readr::read_csv``: the date column parses as ``dd/MM/yyyy`` (a bad date
 becomes NULL), empty fields and ``NA`` are NULL, a quoted empty string is
 NULL too, and surrounding spaces are trimmed.
@@ -57,7 +57,14 @@ def _blank_to_null(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    df = spark.read.options(**_CSV_OPTIONS).schema(schema).csv(path)
+    """The schema's columns, found by header name in any case and order; other columns are left out."""
+    schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    raw = spark.read.options(**_CSV_OPTIONS).csv(path)
+    found = {c.strip().lower(): c for c in raw.columns}
+    missing = [f.name for f in schema if f.name.lower() not in found]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; it has {', '.join(raw.columns)}")
+    df = raw.select(*[F.col(f"`{found[f.name.lower()]}`").try_cast(f.dataType).alias(f.name) for f in schema])
     return _blank_to_null(df)
 
 

@@ -2,7 +2,9 @@ import datetime as dt
 import json
 import os
 
-from activity_engine.sources.files import read_activity_csv, read_baseline_csv, read_holidays, read_provider_lookup
+import pytest
+
+from activity_engine.sources.files import read_activity_csv, read_baseline_csv, read_holidays, read_provider_lookup, read_system_lookup
 
 
 def test_activity_csv_rules(spark, tmpdir_path):
@@ -45,3 +47,17 @@ def test_holiday_json(spark, tmpdir_path):
         json.dump(doc, f, indent=2)
     got = sorted(r.date for r in read_holidays(spark, p).collect())
     assert got == [dt.date(2023, 1, 2), dt.date(2023, 4, 7)]
+
+
+def test_columns_are_found_by_header_name(spark, tmp_path):
+    path = tmp_path / "systems.csv"
+    path.write_text("more,short_name,STP_code,stp_name\n1,Kent,QKS,NHS Kent\n")
+    got = read_system_lookup(spark, str(path)).collect()
+    assert [r.asDict() for r in got] == [{"stp_code": "QKS", "stp_name": "NHS Kent", "short_name": "Kent"}]
+
+
+def test_a_missing_column_fails(spark, tmp_path):
+    path = tmp_path / "systems.csv"
+    path.write_text("stp_code,short_name\nQKS,Kent\n")
+    with pytest.raises(ValueError, match="stp_name"):
+        read_system_lookup(spark, str(path))

@@ -66,7 +66,8 @@ def test_title_case_fixes_first_nhs_only(spark):
 def test_percent_text(spark):
     df = spark.createDataFrame([(0.125,), (0.135,), (-0.25,), (float("inf"),), (float("-inf"),), (None,), (float("nan",),), (-0.001,)], "x double")
     got = [r.y for r in df.select(percent_text("x").alias("y")).collect()]
-    assert got == ["12%", "14%", "-25%", "Inf", "-Inf", None, None, "0%"]
+    assert got == ["12.5%", "13.5%", "-25.0%", "Inf", "-Inf", None, None, "-0.1%"]
+    assert one(spark, percent_text("x"), 0.1234, "double") == "12.3%"
 
 
 def test_thousands(spark):
