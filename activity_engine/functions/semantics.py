@@ -6,7 +6,7 @@ codegen); none of them is a UDF.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +48,13 @@ def pivot_strict(df: DataFrame, ids: Sequence[str], names_from: str, values: Seq
     return df.groupBy(*ids).agg(*cells)
 
 
+def listed(c: str | Column, values: Sequence) -> Column:
+    """``c``, which must be one of a pivot's ``values``: another value, or NULL, would be dropped, so it raises."""
+    c = _c(c)
+    other = F.raise_error(F.concat(F.lit("value without a pivot column: "), F.coalesce(c.cast("string"), F.lit("NULL"))))
+    return F.when(c.isin(*values), c).otherwise(other.cast("string") if isinstance(values[0], str) else other.cast("date"))
+
+
 def sum_na_rm(c: str | Column) -> Column:
     """``sum(x, na.rm=TRUE)``: skips NULL and NaN; no value left gives 0."""
     c = _c(c)
@@ -126,8 +133,3 @@ def union_distinct(*dfs: DataFrame) -> DataFrame:
     for d in dfs[1:]:
         out = out.unionByName(d)
     return out.distinct()
-
-
-def columns_except(df: DataFrame, drop: Iterable[str]) -> list[str]:
-    drop = set(drop)
-    return [c for c in df.columns if c not in drop]

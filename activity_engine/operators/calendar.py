@@ -6,9 +6,7 @@ month), so they are safe to broadcast into the fact-derived joins.
 
 from __future__ import annotations
 
-import datetime as dt
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import fin_month, fin_year, month_abbr, weekday_abbr
@@ -19,33 +17,29 @@ from ..sources.tables import Tables
 SATURDAY, SUNDAY = 7, 1  # dayofweek: 1 = Sunday ... 7 = Saturday
 
 
-def _active_session(df: DataFrame | None) -> SparkSession:
-    return df.sparkSession if df is not None else SparkSession.getActiveSession()
-
-
-def resolve_bounds(tables: Tables, params: Params) -> tuple[dt.date, dt.date]:
-    """Calendar range: explicit parameters, else the span of the data.
+def resolve_bounds(tables: Tables, params: Params) -> tuple[Column, Column]:
+    """Calendar range as expressions: explicit parameters, else the span of the data.
 
-    The data span is one tiny action (a min/max over one date column, two
-    values back to the driver), done once per pipeline; the calendar plans then
-    start from literals and no query re-scans the fact for it.
+    The data span is a scalar subquery (a min/max over one date column), so it
+    is part of every plan that needs it and always that of the current files.
+    Explicit parameters save that scan.
     """
     if params.calendar_start is not None and params.calendar_end is not None:
-        return params.calendar_start, params.calendar_end
+        return F.lit(params.calendar_start), F.lit(params.calendar_end)
     if tables.calendar_bounds is None:
         raise ValueError("no calendar range: set Params.calendar_start/end or Tables.calendar_bounds")
-    row = tables.calendar_bounds.first()
-    return row["start_date"], row["end_date"]
+    b = tables.calendar_bounds
+    return b.select("start_date").scalar(), b.select("end_date").scalar()
 
 
-def holiday_events(tables: Tables, params: Params, bounds: tuple[dt.date, dt.date] | None = None) -> DataFrame:
+def holiday_events(tables: Tables, params: Params, bounds: tuple[Column, Column] | None = None) -> DataFrame:
     """Holiday dates: the literal extra rows in front, then the source list.
 
     Duplicates are kept (``rbind``); membership tests use the distinct set.
     ``tables.holidays`` is a table of dates, or a callable of the calendar
     range returning one (rule-based holidays).
     """
-    spark = _active_session(tables.attendance)
+    spark = tables.provider_lookup.sparkSession
     extra = spark.createDataFrame([(d,) for d in params.extra_holidays], "date string").select(
         F.to_date("date").alias("date")
     )
@@ -53,20 +47,20 @@ def holiday_events(tables: Tables, params: Params, bounds: tuple[dt.date, dt.dat
     if src is None:
         return extra
     if callable(src):
-        src = src(spark, *(bounds or resolve_bounds(tables, params)))
+        src = src(spark, *(bounds if bounds is not None else resolve_bounds(tables, params)))
     return extra.unionByName(src.select(F.col("date").cast("date").alias("date")))
 
 
-def calendar(tables: Tables, params: Params, bounds: tuple[dt.date, dt.date] | None = None) -> DataFrame:
+def calendar(tables: Tables, params: Params, bounds: tuple[Column, Column] | None = None) -> DataFrame:
     """One row per day with labels, financial year/month and working-day flag."""
-    start, end = bounds or resolve_bounds(tables, params)
-    spark = _active_session(tables.attendance)
+    start, end = bounds if bounds is not None else resolve_bounds(tables, params)
+    spark = tables.provider_lookup.sparkSession
     # one partition: the whole calendar is a few thousand rows, and its aggregates need no exchange
     days = spark.range(0, 1, 1, 1).select(
-        F.explode(F.sequence(F.lit(start), F.lit(end), F.expr("interval 1 day"))).alias("date")
+        F.explode(F.sequence(start, end, F.expr("interval 1 day"))).alias("date")
     )
-    # a few dates per year: one partition, so the distinct needs no exchange
-    hol = holiday_events(tables, params, (start, end)).coalesce(1).distinct().select(
+    # the range's holidays only, a few dates per year: one partition, so the distinct needs no exchange
+    hol = holiday_events(tables, params, (start, end)).where(F.col("date").between(start, end)).coalesce(1).distinct().select(
         F.col("date").alias("h_date"), F.lit(True).alias("is_holiday")
     )
     # bounded: a handful of dates per year of the range
@@ -98,12 +92,12 @@ class DateDim:
     generation in the plan.  Working-day counts still come from the calendar.
     """
 
-    def __init__(self, start: dt.date, end: dt.date):
+    def __init__(self, start: Column, end: Column):
         self.start, self.end = start, end
 
     def attrs(self, d) -> dict:
         d = F.col(d) if isinstance(d, str) else d
-        inside = d.between(F.lit(self.start), F.lit(self.end))
+        inside = d.between(self.start, self.end)
         exprs = {
             "date": d,
             "day_num": F.dayofmonth(d),

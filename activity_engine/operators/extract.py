@@ -3,13 +3,14 @@
 These are the only operators that touch attendance-level rows.  Each is one
 scan of the fact with its predicates written on raw columns (so Catalyst
 pushes them below the joins and, where the column is stored, into the Parquet
-scan), broadcast joins to the bounded reference tables, and a hash aggregate
+scan), joins to the small reference tables, and a hash aggregate
 with map-side partial aggregation.  SQL semantics: plain ``=`` joins and
 three-valued ``NOT IN`` (a NULL code fails it).
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import date_text_first_of_month, first_of_month, yyyymm_to_iso
 from ..functions.text import provider_code
 from ..params import Params
-from ..sources.tables import Tables
+from ..sources.tables import Scope, Tables, fin_year_dates
 
 
 def normalise_provider(attendance: DataFrame, params: Params) -> DataFrame:
@@ -64,7 +65,8 @@ def extract_activity(
     is a predicate on raw attendance columns (D6, D7).
     """
     fys = list(fys or [params.actual_fy])
-    att = _scope(tables.attendance, params, fys)
+    raw = Scope(fin_year_dates(fys), ("2", "4"), ("5", "6"), "01")
+    att = _scope(tables.fact("attendance", raw), params, fys)
     if extra_filter is not None:
         att = att.where(extra_filter)
     att = att.select(
@@ -73,7 +75,6 @@ def extract_activity(
         provider_code("der_provider_code", params.select_rules, else_len=provider_len).alias("der_provider_code"),
         provider_code("der_provider_code", params.join_rules).alias("_hier_key"),
     )
-    # tfc_ref and the hierarchy are bounded by the number of codes / organisations
     tfc = tables.tfc_ref.select(
         F.col("treatment_function_code").alias("_tfc_code"),
         F.expr("substring(treatment_function_desc, 5)").alias("treatment_function"),
@@ -82,8 +83,8 @@ def extract_activity(
         F.col("organisation_code").alias("_org"), "stp_code"
     )
     # The WHERE on the hierarchy's region makes the outer join an inner one.
-    joined = att.join(F.broadcast(tfc), att.treatment_function_code == tfc._tfc_code, "left").join(
-        F.broadcast(hier), F.col("_hier_key") == hier._org, "inner"
+    joined = att.join(tfc, att.treatment_function_code == tfc._tfc_code, "left").join(
+        hier, F.col("_hier_key") == hier._org, "inner"
     )
     return joined.groupBy(
         "month_commencing", "treatment_function_code", "treatment_function", "der_provider_code", "stp_code"
@@ -114,7 +115,9 @@ def extract_march_history(tables: Tables, params: Params) -> DataFrame:
 
 def planning_baseline(tables: Tables, params: Params) -> DataFrame:
     """Monthly baseline values of the region's providers from the planning table."""
-    p = tables.planning
+    # planning labels a year by its second calendar year
+    years = fin_year_dates([str(int(params.planning_dimfyear) - 1)])
+    p = tables.fact("planning", Scope(years))
     return p.where(
         (F.col("planningref") == params.planning_ref)
         & (F.col("regioncode") == params.region_code)
@@ -126,7 +129,9 @@ def planning_baseline(tables: Tables, params: Params) -> DataFrame:
 
 def hrg_series_baseline(tables: Tables, params: Params) -> DataFrame:
     """Follow-up WF activity of the acute providers in a month range (no aggregation)."""
-    h = tables.hrg_time_series
+    after = int(params.hrg_month_to[:4]) * 12 + int(params.hrg_month_to[4:])  # months up to the range's end
+    dates = (dt.date(int(params.hrg_month_from[:4]), int(params.hrg_month_from[4:]), 1), dt.date(after // 12, after % 12 + 1, 1))
+    h = tables.fact("hrg_time_series", Scope((dates,), ("2", "4")))
     acutes = tables.acutes.select(F.col("provider_code").alias("_acute"))
     h = h.where(
         (F.col("activity_type") == "OPA")
@@ -134,7 +139,7 @@ def hrg_series_baseline(tables: Tables, params: Params) -> DataFrame:
         & F.col("hrg").startswith("WF")
         & F.col("der_activity_month").between(params.hrg_month_from, params.hrg_month_to)
     )
-    h = h.join(F.broadcast(acutes), h.provider_or_is_ccg_code_a == acutes._acute, "left_semi")
+    h = h.join(acutes, h.provider_or_is_ccg_code_a == acutes._acute, "left_semi")
     return h.select(
         yyyymm_to_iso("der_activity_month").alias("month_commencing"),
         F.col("provider_or_is_ccg_code_a").alias("provider_code"),
@@ -162,7 +167,8 @@ def follow_up_tracking(tables: Tables, params: Params, *, rolled: bool = False)
     fact-to-fact join in the engine: a shuffle join on (opa_ident, year).
     """
     c = F.col
-    att = tables.attendance.where(
+    years = fin_year_dates(params.tracking_fys)
+    att = tables.fact("attendance", Scope(years, ("1", "2", "3", "4"), ("5", "6"), "01")).where(
         (c("administrative_category") == "01")
         & c("attendance_status").isin("5", "6")
         & c("first_attendance").isin("1", "2", "3", "4")
@@ -184,7 +190,7 @@ def follow_up_tracking(tables: Tables, params: Params, *, rolled: bool = False)
         provider_code(code, (), exact_rules=params.tracking_key_exact, r_prefix_len=3).alias("_hier_key"),
     )
     # the join needs equal years, so only the tracking years of the cost table can match
-    cost = tables.attendance_cost.where(c("der_financial_year").isin(*params.tracking_fys)).select(
+    cost = tables.fact("attendance_cost", Scope(years)).where(c("der_financial_year").isin(*params.tracking_fys)).select(
         c("opa_ident").alias("_c_ident"), c("der_financial_year").alias("_c_fy"), "hrg_code_other"
     )
     hier = tables.provider_hierarchy.where(c("region_code") == params.tracking_region_code).select(
@@ -192,7 +198,7 @@ def follow_up_tracking(tables: Tables, params: Params, *, rolled: bool = False)
     )
     j = att.join(cost, (att.opa_ident == cost._c_ident) & (att.der_financial_year == cost._c_fy), "left")
     # tfc_ref is joined in the source but none of its columns is used; it is unique per code
-    j = j.join(F.broadcast(hier), j._hier_key == hier._org, "inner")
+    j = j.join(hier, j._hier_key == hier._org, "inner")
     mapped_code = _tracking_case(code, params, lambda t, n: F.lit(t)).otherwise(code)
     mapped_name = _tracking_case(code, params, lambda t, n: F.lit(n)).otherwise(c("organisation_name"))
     grouped = j.groupBy(

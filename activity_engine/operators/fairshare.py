@@ -52,12 +52,11 @@ def specialty_gap(
     STP differs from the lookup's gets a NULL provider.
     """
     g = gap.select("month_name_short", "fin_month", "provider_code", "baseline", "actual", target_label, "variance")
-    # the gap table has one row per provider code and month: bounded by the organisations, broadcast
-    s = left_join(share, g, ["month_name_short", "fin_month", "provider_code"], broadcast=True)
+    s = left_join(share, g, ["month_name_short", "fin_month", "provider_code"])
     pl = provider_lookup.select("provider_code", "stp_code", "provider_short_name")
-    s = left_join(s, pl, ["provider_code", "stp_code"], broadcast=True)
+    s = left_join(s, pl, ["provider_code", "stp_code"])
     sl = system_lookup.select("stp_code", "short_name")
-    s = left_join(s, sl, ["stp_code"], broadcast=True)
+    s = left_join(s, sl, ["stp_code"])
     return s.select(
         "month_name_short",
         "fin_month",

@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_of_fin_month
-from ..functions.semantics import left_join, pivot_strict, ratio, strict_sum, sum_na_rm, union_distinct
+from ..functions.semantics import left_join, listed, pivot_strict, ratio, strict_sum, sum_na_rm, union_distinct
 from ..params import FIN_MONTHS
 from .calendar import attach_calendar, trimmed_working_days, year_working_days
 
 def only_acutes(df: DataFrame, acutes: DataFrame, code_col: str = "der_provider_code") -> DataFrame:
     """``filter(code %in% acutes)``; the acute list is bounded (one row per trust)."""
     a = acutes.select(F.col("provider_code").alias("_acute"))
-    return df.join(F.broadcast(a), df[code_col] == a._acute, "left_semi")
+    return df.join(a, df[code_col] == a._acute, "left_semi")
 
 
 def as_csv_actuals(extract: DataFrame) -> DataFrame:
@@ -106,9 +106,7 @@ def stack_periods(rebased: DataFrame, actual: DataFrame, factor: float, cal: Dat
     on order or grouping, so one is enough.  The year is dropped, so the
     baseline year and the actual year line up by month name and financial month.
     """
-    # One exchange by provider code serves the distinct here and the pivot by (month, provider) after it;
-    # a provider code has months x periods rows.
-    rows = baseline_and_target_rows(rebased, factor, label).unionByName(actual).repartition("provider_code").distinct()
+    rows = baseline_and_target_rows(rebased, factor, label).unionByName(actual).distinct()
     rows = attach_calendar(rows, "month_commencing", cal, ["month_name_short", "fin_month"])
     return rows.select("month_name_short", "fin_month", "provider_code", "activity", "period")
 
@@ -141,8 +139,8 @@ def append_variance(stacked: DataFrame, gap: DataFrame) -> DataFrame:
 
 def enrich_names(rows: DataFrame, provider_lookup: DataFrame, system_lookup: DataFrame, actual_fy_start: int) -> DataFrame:
     """Provider and system names instead of codes, plus the month of the actual year."""
-    r = left_join(rows, provider_lookup, ["provider_code"], broadcast=True)
-    r = left_join(r, system_lookup, ["stp_code"], broadcast=True)
+    r = left_join(rows, provider_lookup, ["provider_code"])
+    r = left_join(r, system_lookup, ["stp_code"])
     r = r.withColumnsRenamed({"provider_short_name": "provider", "short_name": "icb"}).drop(
         "stp_name", "stp_code", "provider_code"
     )
@@ -158,8 +156,6 @@ def gap_by_month_per_day(enriched: DataFrame, mwd: DataFrame, target_fy: str, ta
     variance rows), which keeps one copy of the stacked plan.
     """
     ids = ["month_name_short", "fin_month", "provider", "acute_full_name", "icb", "month_of_actual"]
-    # partitioned by (icb, provider): the pivot and the yearly totals by (icb, provider) share one exchange
-    enriched = enriched.repartition("icb", "provider")
     wide = pivot_periods(enriched, ids, ["baseline", "actual", target_label], target_label)
     wide = left_join(wide, year_working_days(mwd, target_fy, "wd_target"), ["month_name_short"], broadcast=True)
     return wide.select(
@@ -178,7 +174,11 @@ def gap_by_month_per_day(enriched: DataFrame, mwd: DataFrame, target_fy: str, ta
 
 
 def months_wide(df: DataFrame, ids: list[str], value: str) -> DataFrame:
-    """R2: month labels to twelve columns Apr..Mar (explicit list, no discovery job)."""
+    """R2: month labels to twelve columns Apr..Mar (explicit list, no discovery job).
+
+    A row without a month label has no column: it fails the query.
+    """
+    df = df.withColumn("month_name_short", listed("month_name_short", FIN_MONTHS))
     return pivot_strict(df, ids, "month_name_short", list(FIN_MONTHS), value)
 
 

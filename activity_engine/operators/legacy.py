@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.semantics import left_join, pivot_strict, ratio, round_half_even, strict_sum, union_distinct
+from ..functions.semantics import left_join, listed, pivot_strict, ratio, round_half_even, strict_sum, union_distinct
 from ..params import Params
 from ..sources.tables import Tables
 from .calendar import attach_calendar
@@ -83,9 +83,9 @@ def per_day_gap_v1(
     rows = union_distinct(union_distinct(base, act), amb)
     rows = attach_calendar(rows, "month_commencing", cal, ["month_name_short", "fin_month"])
     pl = tables.provider_lookup.select("provider_code", "provider_short_name")
-    rows = left_join(rows, pl, {"der_provider_code": "provider_code"}, broadcast=True)
+    rows = left_join(rows, pl, {"der_provider_code": "provider_code"})
     sl = tables.system_lookup.select("stp_code", "short_name")
-    rows = left_join(rows, sl, ["stp_code"], broadcast=True)
+    rows = left_join(rows, sl, ["stp_code"])
     rows = rows.select(
         "fin_month",
         F.col("month_name_short").alias("month"),
@@ -105,12 +105,11 @@ def specialty_split_v1(actuals: DataFrame, tables: Tables, mwd: DataFrame, param
     acute = only_acutes(actuals, tables.acutes)
     totals = left_join(_no_spec(actuals, tables.acutes), _wd(mwd), ["month_commencing"], broadcast=True)
     totals = totals.withColumnRenamed("activity", "total_activity")
-    # one row per provider, STP and month: bounded by the organisations, broadcast
-    p = left_join(acute, totals, ["month_commencing", "der_provider_code", "stp_code"], broadcast=True)
+    p = left_join(acute, totals, ["month_commencing", "der_provider_code", "stp_code"])
     pl = tables.provider_lookup.select("provider_code", "provider_short_name")
-    p = left_join(p, pl, {"der_provider_code": "provider_code"}, broadcast=True)
+    p = left_join(p, pl, {"der_provider_code": "provider_code"})
     sl = tables.system_lookup.select("stp_code", "short_name")
-    p = left_join(p, sl, ["stp_code"], broadcast=True)
+    p = left_join(p, sl, ["stp_code"])
     wd_total = ratio("total_activity", "working_days")
     amb = wd_total * F.lit(params.target_factor)
     prop = ratio("activity", "total_activity")
@@ -118,7 +117,7 @@ def specialty_split_v1(actuals: DataFrame, tables: Tables, mwd: DataFrame, param
         F.col("short_name").alias("icb"),
         F.col("provider_short_name").alias("provider"),
         "treatment_function",
-        "month_commencing",
+        listed("month_commencing", params.actual_fy_months()).alias("month_commencing"),
         round_half_even((wd_total - amb) * prop, 1).alias("reduction_per_day"),
     )
     months = params.actual_fy_months()

@@ -98,7 +98,7 @@ def report_scope(system_lookup: DataFrame, provider_lookup: DataFrame, acutes: D
         F.lit(params.region_report_title).alias("title"),
     )
     a = acutes.select(F.col("provider_code").alias("_acute"))
-    trusts = provider_lookup.join(F.broadcast(a), provider_lookup.provider_code == a._acute, "left_semi").select(
+    trusts = provider_lookup.join(a, provider_lookup.provider_code == a._acute, "left_semi").select(
         F.lit("trust").alias("report_level"),
         F.col("provider_short_name").alias("report"),
         F.col("acute_full_name").alias("title"),
@@ -119,7 +119,7 @@ def scope_filter(table: DataFrame, level: str, value: str | None, params: Params
 def system_feed(table: DataFrame, scope: DataFrame, params: Params) -> DataFrame:
     """D42 (K2): one copy of ``table`` per system report plus the whole table for the region."""
     s = scope.where(F.col("report_level") == "system").select(F.col("report").alias("_sys"))
-    per_system = table.join(F.broadcast(s), table.icb == s._sys, "inner").withColumnRenamed("_sys", "report")
+    per_system = table.join(s, table.icb == s._sys, "inner").withColumnRenamed("_sys", "report")
     region = table.withColumn("report", F.lit(params.region_report_name))
     return per_system.unionByName(region)
 
@@ -127,4 +127,4 @@ def system_feed(table: DataFrame, scope: DataFrame, params: Params) -> DataFrame
 def trust_feed(table: DataFrame, scope: DataFrame) -> DataFrame:
     """D42 (K3): the rows of each acute trust, labelled with the trust's report."""
     t = scope.where(F.col("report_level") == "trust").select(F.col("report").alias("_trust"))
-    return table.join(F.broadcast(t), table.provider == t._trust, "inner").withColumnRenamed("_trust", "report")
+    return table.join(t, table.provider == t._trust, "inner").withColumnRenamed("_trust", "report")

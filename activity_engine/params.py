@@ -9,7 +9,7 @@ span of the driver's synthetic tables (see FIXTURES.md).
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for right results.
@@ -93,7 +93,6 @@ class Params:
     extra_holidays: tuple[str, ...] = EXTRA_HOLIDAYS_2017
     # optional flex-month guard (commented out in the reference): drop months >= this
     exclude_from_month: dt.date | None = None
-    extra: dict = field(default_factory=dict, compare=False, hash=False)
 
     # -- derived values ---------------------------------------------------
     @property

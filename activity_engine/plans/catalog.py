@@ -22,15 +22,15 @@ def join_names(pl: Pipeline) -> DataFrame:
     lk = pl.t.provider_lookup.select(
         "provider_code", "provider_short_name", "acute_full_name", F.col("stp_code").alias("lookup_stp_code")
     )
-    j = left_join(pairs, lk, {"der_provider_code": "provider_code"}, broadcast=True)
-    return left_join(j, pl.t.system_lookup, ["stp_code"], broadcast=True)
+    j = left_join(pairs, lk, {"der_provider_code": "provider_code"})
+    return left_join(j, pl.t.system_lookup, ["stp_code"])
 
 
 def join_composite_lookup(pl: Pipeline) -> DataFrame:
     """Provider names by (code, STP); rows whose STP differs from the lookup's miss."""
     pairs = pl.specialty_share.groupBy("provider_code", "stp_code").agg(F.count(F.lit(1)).alias("rows"))
     lk = pl.t.provider_lookup.select("provider_code", "stp_code", "provider_short_name")
-    j = left_join(pairs, lk, ["provider_code", "stp_code"], broadcast=True)
+    j = left_join(pairs, lk, ["provider_code", "stp_code"])
     return j.withColumn("matched", F.col("provider_short_name").isNotNull())
 
 
@@ -47,7 +47,7 @@ def join_case_key(pl: Pipeline) -> DataFrame:
         "der_provider_code", provider_code("der_provider_code", p.join_rules).alias("hierarchy_key")
     )
     h = pl.t.provider_hierarchy.select("organisation_code", "stp_code", "region_code")
-    j = att.join(F.broadcast(h), att.hierarchy_key == h.organisation_code, "left")
+    j = att.join(h, att.hierarchy_key == h.organisation_code, "left")
     return j.groupBy("der_provider_code", "hierarchy_key", "organisation_code", "stp_code", "region_code").agg(
         F.count(F.lit(1)).alias("attendances")
     )
@@ -94,10 +94,10 @@ def scalar_text(pl: Pipeline) -> DataFrame:
     """String functions on the distinct provider / TFC / HRG codes."""
     t = pl.t.attendance.select("der_provider_code", "treatment_function_code", "core_hrg").distinct()
     ref = pl.t.tfc_ref.select(F.col("treatment_function_code").alias("_tfc"), "treatment_function_desc")
-    t = t.join(F.broadcast(ref), t.treatment_function_code == ref._tfc, "left")
+    t = t.join(ref, t.treatment_function_code == ref._tfc, "left")
     h = pl.t.provider_hierarchy.select(F.col("organisation_code").alias("_org"), "organisation_name", "stp_name")
     left3 = F.substring("der_provider_code", 1, 3)
-    t = t.join(F.broadcast(h), left3 == h._org, "left")
+    t = t.join(h, left3 == h._org, "left")
     c = F.col("der_provider_code")
     return t.select(
         "der_provider_code",

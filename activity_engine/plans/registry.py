@@ -34,25 +34,11 @@ def finalize(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*cols)
 
 
-_PIPELINES: dict[tuple[int, str, Params], tuple[SparkSession, Pipeline]] = {}
-
-
 def pipeline(spark: SparkSession, sf_dir: str, params: Params | None = None) -> Pipeline:
-    """The lazy pipeline over ``sf_dir``, built once per session and folder.
-
-    Only logical plans are memoized (no data): every action still scans the
-    files.  Memoizing saves the driver-side plan construction, which is
-    dominated by Py4J round trips.
-    """
+    """A lazy pipeline over the files that ``sf_dir`` holds now."""
     params = params or test_params()
-    key = (id(spark), sf_dir, params)
-    hit = _PIPELINES.get(key)
-    if hit is not None and hit[0] is spark:
-        return hit[1]
     configure(spark)
-    pl = Pipeline(load_tables(spark, sf_dir, params), params)
-    _PIPELINES[key] = (spark, pl)
-    return pl
+    return Pipeline(load_tables(spark, sf_dir, params), params)
 
 
 def _p(attr: str, v2: bool = False) -> QueryFn:

@@ -9,12 +9,15 @@ and pushes each query's predicates below the fact joins.
 
 from __future__ import annotations
 
+from functools import cached_property, reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import activity_month, fin_year, first_of_month, fy_start_year
 from ..params import Params
-from .tables import Tables
+from .tables import Scope, Tables
 
 # Fixed values of the mapping (FIXTURES.md section 2).
 PART_TYPE_TO_TFC = (
@@ -82,15 +85,33 @@ class _Raw:
         return self._cache[name]
 
 
-def _fact_base(raw: _Raw, with_part: bool = True) -> DataFrame:
+def _keys_of(pairs, wanted) -> list[str]:
+    return [k for k, v in pairs if v in wanted]
+
+
+def _fact_base(raw: _Raw, with_part: bool = True, scope: Scope = Scope()) -> DataFrame:
     """lineitem joined to orders, part and supplier, projected to mapped columns.
 
+    ``scope`` becomes predicates on the stored columns, which the Parquet scan
+    can use; the mapped columns are expressions and can't be pushed that far.
+
     All foreign keys resolve, so inner joins keep every line.  The dimension
     sides are projected to derived codes first; sizes are left to the
     optimizer (AQE turns a join into a broadcast only when the measured side
     is under the threshold).
     """
-    li = raw("lineitem").select(
+    lines, orders = raw("lineitem"), raw("orders")
+    if scope.dates:
+        day = F.col("l_shipdate")
+        bounds = [(F.lit(str(a)).cast("timestamp_ntz"), F.lit(str(b)).cast("timestamp_ntz")) for a, b in scope.dates]
+        lines = lines.where(reduce(or_, [(day >= a) & (day < b) for a, b in bounds]))
+    if scope.first_attendance:
+        lines = lines.where(F.col("l_returnflag").isin(_keys_of(RETURNFLAG_TO_FIRST_ATTENDANCE, scope.first_attendance)))
+    if scope.attendance_status:
+        orders = orders.where(F.col("o_orderstatus").isin(_keys_of(ORDERSTATUS_TO_ATTENDANCE_STATUS, scope.attendance_status)))
+    if scope.administrative_category == "01":
+        orders = orders.where(F.col("o_orderpriority").isNull() | (F.col("o_orderpriority") != LOW_PRIORITY))
+    li = lines.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("opa_ident"),
         "l_orderkey", "l_partkey", "l_suppkey",
         F.col("l_shipdate").cast("date").alias("appointment_date"),
@@ -98,7 +119,7 @@ def _fact_base(raw: _Raw, with_part: bool = True) -> DataFrame:
         F.when(F.col("l_discount") != 0, (F.round(F.col("l_discount") * 100).cast("int") % 3)).alias("der_number_procedure"),
         "l_tax", "l_linestatus",
     )
-    o = raw("orders").select(
+    o = orders.select(
         F.col("o_orderkey"),
         _map(F.col("o_orderstatus"), ORDERSTATUS_TO_ATTENDANCE_STATUS).alias("attendance_status"),
         F.when(F.col("o_orderpriority") == LOW_PRIORITY, F.lit("02")).otherwise(F.lit("01")).alias("administrative_category"),
@@ -134,158 +155,190 @@ ATTENDANCE_COLUMNS = (
 )
 
 
-def load_tables(spark: SparkSession, sf_dir: str, params: Params | None = None, *, prepared: str | None = None) -> Tables:
-    """The logical tables over ``sf_dir``.
-
-    ``prepared`` is a folder written by ``prepare_fact``: attendance and cost
-    are then read from it (partitioned by financial year, so the extracts'
-    year filters prune partitions) instead of being derived per query.
-    """
-    params = params or Params()
-    raw = _Raw(spark, sf_dir)
-    base = _fact_base(raw)
-    attendance = base.select(*ATTENDANCE_COLUMNS)
-    if prepared:
-        attendance = spark.read.parquet(f"{prepared}/attendance").select(*ATTENDANCE_COLUMNS)
-
-    nation = raw("nation")
-    region = raw("region")
-    part = raw("part")
-
-    tfc_ref = (
-        part.select(F.col("p_type"))
-        .distinct()
-        .select(_map(F.col("p_type"), PART_TYPE_TO_TFC).alias("treatment_function_code"), F.col("p_type"))
-        .where(F.col("treatment_function_code").isNotNull() & (F.col("treatment_function_code") != TFC_MISSING_FROM_REF))
-        .select(
-            "treatment_function_code",
-            F.concat(F.col("treatment_function_code"), F.lit(":"), F.col("p_type")).alias("treatment_function_desc"),
-        )
+def rule_holidays(spark: SparkSession, start: Column, end: Column) -> DataFrame:
+    """Synthetic bank holidays: 1 January, 25 and 26 December of every year of the range."""
+    y = spark.range(0, 1, 1, 1).select(F.explode(F.sequence(F.year(start), F.year(end))).alias("y"))
+    return y.select(
+        F.explode(
+            F.array(
+                F.make_date("y", F.lit(1), F.lit(1)),
+                F.make_date("y", F.lit(12), F.lit(25)),
+                F.make_date("y", F.lit(12), F.lit(26)),
+            )
+        ).alias("date")
     )
 
-    nr = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)  # 25 x 5 rows
-    provider_hierarchy = nr.select(
-        F.concat(F.lit("R"), _nn(F.col("n_nationkey"))).alias("organisation_code"),
-        F.col("n_name").alias("organisation_name"),
-        F.concat(F.lit("Q"), F.col("r_regionkey").cast("string")).alias("stp_code"),
-        F.col("r_name").alias("stp_name"),
-        _region_code(F.col("r_regionkey")).alias("region_code"),
-    )
 
-    attendance_cost = (
-        base.where(F.col("l_tax") > 0)
-        .groupBy("opa_ident", "der_financial_year")
-        .agg(F.min("core_hrg").alias("hrg_code_other"))
-    )
-    if prepared:
-        attendance_cost = spark.read.parquet(f"{prepared}/attendance_cost").select(
-            "opa_ident", "der_financial_year", "hrg_code_other"
+class MappedTables(Tables):
+    """The logical tables over a folder; each is built when first used, so a query pays only for its own."""
+
+    holidays = staticmethod(rule_holidays)
+
+    def __init__(self, spark: SparkSession, sf_dir: str, prepared: str | None = None):
+        # the prepared layout is pruned by its year partitions, the derived one by predicates on stored columns
+        self.__dict__.update(_raw=_Raw(spark, sf_dir), _spark=spark, _prepared=prepared, source=None if prepared else self._narrowed)
+
+    @cached_property
+    def attendance(self) -> DataFrame:
+        if self._prepared:
+            return self._spark.read.parquet(f"{self._prepared}/attendance").select(*ATTENDANCE_COLUMNS)
+        return self._narrowed("attendance", Scope())
+
+    @cached_property
+    def attendance_cost(self) -> DataFrame:
+        if self._prepared:
+            return self._spark.read.parquet(f"{self._prepared}/attendance_cost").select(
+                "opa_ident", "der_financial_year", "hrg_code_other"
+            )
+        return self._narrowed("attendance_cost", Scope())
+
+    @cached_property
+    def planning(self) -> DataFrame:
+        return self._narrowed("planning", Scope())
+
+    @cached_property
+    def hrg_time_series(self) -> DataFrame:
+        return self._narrowed("hrg_time_series", Scope())
+
+    def _narrowed(self, name: str, scope: Scope) -> DataFrame:
+        if name == "planning":
+            return self._planning(scope)
+        lines = _fact_base(self._raw, scope=scope)
+        if name == "attendance":
+            return lines.select(*ATTENDANCE_COLUMNS)
+        return self._cost(lines) if name == "attendance_cost" else self._hrg(lines)
+
+    def _cost(self, lines: DataFrame) -> DataFrame:
+        return (
+            lines.where(F.col("l_tax") > 0)
+            .groupBy("opa_ident", "der_financial_year")
+            .agg(F.min("core_hrg").alias("hrg_code_other"))
         )
 
-    nation_region = nation.select(
-        F.col("n_nationkey").alias("p_nationkey"), _region_code(F.col("n_regionkey")).alias("regioncode")
-    )
-    planning_counts = (
-        _fact_base(raw, with_part=False).groupBy(
-            first_of_month("appointment_date").alias("dimdatestart"),
+    def _planning(self, scope: Scope) -> DataFrame:
+        nation_region = self._raw("nation").select(
+            F.col("n_nationkey").alias("p_nationkey"), _region_code(F.col("n_regionkey")).alias("regioncode")
+        )
+        planning_counts = (
+            _fact_base(self._raw, with_part=False, scope=scope).groupBy(
+                first_of_month("appointment_date").alias("dimdatestart"),
+                F.col("s_nationkey"),
+                F.col("o_orderpriority"),
+                F.col("l_linestatus"),
+            )
+            .agg(F.count(F.lit(1)).alias("n"))
+        )
+        return planning_counts.join(
+            F.broadcast(nation_region), planning_counts.s_nationkey == nation_region.p_nationkey
+        ).select(
+            F.concat(F.lit("R"), _nn(F.col("s_nationkey"))).alias("orgcode"),
+            F.when(F.col("s_nationkey") < ACUTE_NATION_LIMIT, F.lit("Provider")).otherwise(F.lit("ICB")).alias("orgtype"),
+            F.col("dimdatestart"),
+            F.col("n").cast("double").alias("value"),
+            F.when(F.col("o_orderpriority") == URGENT_PRIORITY, F.lit("E.M.38")).otherwise(F.lit("E.M.10")).alias("planningref"),
+            F.col("regioncode"),
+            F.when(F.col("l_linestatus") == "F", F.lit(None).cast("string")).otherwise(F.lit("Plan")).alias("sourcetype"),
+            (fy_start_year("dimdatestart") + 1).cast("string").alias("dimfyear"),
+        )
+
+    def _hrg(self, lines: DataFrame) -> DataFrame:
+        nation_stp = self._raw("nation").select(
+            F.col("n_nationkey").alias("h_nationkey"),
+            F.concat(F.lit("Q"), F.col("n_regionkey").cast("string")).alias("stp_ics"),
+        )
+        hrg_counts = lines.groupBy(
+            F.col("der_activity_month"),
             F.col("s_nationkey"),
-            F.col("o_orderpriority"),
-            F.col("l_linestatus"),
+            F.when(F.col("l_linestatus") == "F", F.lit("Y")).otherwise(F.lit("N")).alias("centralised_nhse_commissioned"),
+            F.col("treatment_function_code").alias("tfc"),
+            F.when(F.col("first_attendance").isin("2", "4"), F.lit("FUp")).otherwise(F.lit("First")).alias("der_appointment_type"),
+            F.col("core_hrg").alias("hrg"),
+        ).agg(F.count(F.lit(1)).alias("activity"))
+        return hrg_counts.join(
+            F.broadcast(nation_stp), hrg_counts.s_nationkey == nation_stp.h_nationkey
+        ).select(
+            "der_activity_month",
+            F.concat(F.lit("R"), _nn(F.col("s_nationkey"))).alias("provider_or_is_ccg_code_a"),
+            "stp_ics",
+            "centralised_nhse_commissioned",
+            "tfc",
+            "activity",
+            F.lit("OPA").alias("activity_type"),
+            "der_appointment_type",
+            "hrg",
         )
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    planning = planning_counts.join(
-        F.broadcast(nation_region), planning_counts.s_nationkey == nation_region.p_nationkey
-    ).select(
-        F.concat(F.lit("R"), _nn(F.col("s_nationkey"))).alias("orgcode"),
-        F.when(F.col("s_nationkey") < ACUTE_NATION_LIMIT, F.lit("Provider")).otherwise(F.lit("ICB")).alias("orgtype"),
-        F.col("dimdatestart"),
-        F.col("n").cast("double").alias("value"),
-        F.when(F.col("o_orderpriority") == URGENT_PRIORITY, F.lit("E.M.38")).otherwise(F.lit("E.M.10")).alias("planningref"),
-        F.col("regioncode"),
-        F.when(F.col("l_linestatus") == "F", F.lit(None).cast("string")).otherwise(F.lit("Plan")).alias("sourcetype"),
-        (fy_start_year("dimdatestart") + 1).cast("string").alias("dimfyear"),
-    )
 
-    nation_stp = nation.select(
-        F.col("n_nationkey").alias("h_nationkey"),
-        F.concat(F.lit("Q"), F.col("n_regionkey").cast("string")).alias("stp_ics"),
-    )
-    hrg_counts = base.groupBy(
-        F.col("der_activity_month"),
-        F.col("s_nationkey"),
-        F.when(F.col("l_linestatus") == "F", F.lit("Y")).otherwise(F.lit("N")).alias("centralised_nhse_commissioned"),
-        F.col("treatment_function_code").alias("tfc"),
-        F.when(F.col("first_attendance").isin("2", "4"), F.lit("FUp")).otherwise(F.lit("First")).alias("der_appointment_type"),
-        F.col("core_hrg").alias("hrg"),
-    ).agg(F.count(F.lit(1)).alias("activity"))
-    hrg_time_series = hrg_counts.join(
-        F.broadcast(nation_stp), hrg_counts.s_nationkey == nation_stp.h_nationkey
-    ).select(
-        "der_activity_month",
-        F.concat(F.lit("R"), _nn(F.col("s_nationkey"))).alias("provider_or_is_ccg_code_a"),
-        "stp_ics",
-        "centralised_nhse_commissioned",
-        "tfc",
-        "activity",
-        F.lit("OPA").alias("activity_type"),
-        "der_appointment_type",
-        "hrg",
-    )
+    @cached_property
+    def tfc_ref(self) -> DataFrame:
+        return (
+            self._raw("part").select(F.col("p_type"))
+            .distinct()
+            .select(_map(F.col("p_type"), PART_TYPE_TO_TFC).alias("treatment_function_code"), F.col("p_type"))
+            .where(F.col("treatment_function_code").isNotNull() & (F.col("treatment_function_code") != TFC_MISSING_FROM_REF))
+            .select(
+                "treatment_function_code",
+                F.concat(F.col("treatment_function_code"), F.lit(":"), F.col("p_type")).alias("treatment_function_desc"),
+            )
+        )
 
-    provider_lookup = nation.where(F.col("n_nationkey") != UNLISTED_NATION).select(
-        F.concat(F.lit("R"), _nn(F.col("n_nationkey"))).alias("provider_code"),
-        F.col("n_name").alias("provider_short_name"),
-        F.concat(F.lit("TRUST "), F.col("n_name")).alias("acute_full_name"),
-        F.when(F.col("n_nationkey") == MISPLACED_NATION, F.lit(MISPLACED_STP))
-        .otherwise(F.concat(F.lit("Q"), F.col("n_regionkey").cast("string")))
-        .alias("stp_code"),
-    )
-    system_lookup = region.select(
-        F.concat(F.lit("Q"), F.col("r_regionkey").cast("string")).alias("stp_code"),
-        F.concat(F.lit("NHS "), F.col("r_name"), F.lit(" BOARD")).alias("stp_name"),
-        F.when(F.col("r_regionkey") == NON_SE_REGION, F.lit("Non_SE")).otherwise(F.col("r_name")).alias("short_name"),
-    )
-    acutes = nation.where(F.col("n_nationkey") < ACUTE_NATION_LIMIT).select(
-        F.concat(F.lit("R"), _nn(F.col("n_nationkey"))).alias("provider_code")
-    )
+    @cached_property
+    def provider_hierarchy(self) -> DataFrame:
+        nation, region = self._raw("nation"), self._raw("region")
+        nr = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)  # 25 x 5 rows
+        return nr.select(
+            F.concat(F.lit("R"), _nn(F.col("n_nationkey"))).alias("organisation_code"),
+            F.col("n_name").alias("organisation_name"),
+            F.concat(F.lit("Q"), F.col("r_regionkey").cast("string")).alias("stp_code"),
+            F.col("r_name").alias("stp_name"),
+            _region_code(F.col("r_regionkey")).alias("region_code"),
+        )
 
-    # Calendar span: the financial years covering the fact's dates.  Only the
-    # date column of lineitem is read (partial min/max, no shuffle of rows).
-    span = raw("lineitem").agg(
-        F.min(F.col("l_shipdate").cast("date")).alias("lo"), F.max(F.col("l_shipdate").cast("date")).alias("hi")
-    )
-    calendar_bounds = span.select(
-        F.make_date(fy_start_year("lo"), F.lit(4), F.lit(1)).alias("start_date"),
-        F.make_date(fy_start_year("hi") + 1, F.lit(3), F.lit(31)).alias("end_date"),
-    )
-    return Tables(
-        attendance=attendance,
-        tfc_ref=tfc_ref,
-        provider_hierarchy=provider_hierarchy,
-        attendance_cost=attendance_cost,
-        planning=planning,
-        hrg_time_series=hrg_time_series,
-        provider_lookup=provider_lookup,
-        system_lookup=system_lookup,
-        acutes=acutes,
-        holidays=rule_holidays,
-        calendar_bounds=calendar_bounds,
-    )
+    @cached_property
+    def provider_lookup(self) -> DataFrame:
+        return self._raw("nation").where(F.col("n_nationkey") != UNLISTED_NATION).select(
+            F.concat(F.lit("R"), _nn(F.col("n_nationkey"))).alias("provider_code"),
+            F.col("n_name").alias("provider_short_name"),
+            F.concat(F.lit("TRUST "), F.col("n_name")).alias("acute_full_name"),
+            F.when(F.col("n_nationkey") == MISPLACED_NATION, F.lit(MISPLACED_STP))
+            .otherwise(F.concat(F.lit("Q"), F.col("n_regionkey").cast("string")))
+            .alias("stp_code"),
+        )
 
+    @cached_property
+    def system_lookup(self) -> DataFrame:
+        return self._raw("region").select(
+            F.concat(F.lit("Q"), F.col("r_regionkey").cast("string")).alias("stp_code"),
+            F.concat(F.lit("NHS "), F.col("r_name"), F.lit(" BOARD")).alias("stp_name"),
+            F.when(F.col("r_regionkey") == NON_SE_REGION, F.lit("Non_SE")).otherwise(F.col("r_name")).alias("short_name"),
+        )
 
-def rule_holidays(spark: SparkSession, start, end) -> DataFrame:
-    """Synthetic bank holidays: 1 January, 25 and 26 December of every year of the range."""
-    y = spark.range(0, 1, 1, 1).select(F.explode(F.sequence(F.lit(start.year), F.lit(end.year))).alias("y"))
-    return y.select(
-        F.explode(
-            F.array(
-                F.make_date("y", F.lit(1), F.lit(1)),
-                F.make_date("y", F.lit(12), F.lit(25)),
-                F.make_date("y", F.lit(12), F.lit(26)),
-            )
-        ).alias("date")
-    )
+    @cached_property
+    def acutes(self) -> DataFrame:
+        return self._raw("nation").where(F.col("n_nationkey") < ACUTE_NATION_LIMIT).select(
+            F.concat(F.lit("R"), _nn(F.col("n_nationkey"))).alias("provider_code")
+        )
+
+    @cached_property
+    def calendar_bounds(self) -> DataFrame:
+        # Calendar span: the financial years covering the fact's dates.  Only the
+        # date column of lineitem is read (partial min/max, no shuffle of rows).
+        span = self._raw("lineitem").agg(
+            F.min(F.col("l_shipdate").cast("date")).alias("lo"), F.max(F.col("l_shipdate").cast("date")).alias("hi")
+        )
+        return span.select(
+            F.make_date(fy_start_year("lo"), F.lit(4), F.lit(1)).alias("start_date"),
+            F.make_date(fy_start_year("hi") + 1, F.lit(3), F.lit(31)).alias("end_date"),
+        )
+
+
+def load_tables(spark: SparkSession, sf_dir: str, params: Params | None = None, *, prepared: str | None = None) -> Tables:
+    """The logical tables over ``sf_dir``.
+
+    ``prepared`` is a folder written by ``prepare_fact``: attendance and cost
+    are then read from it (partitioned by financial year, so the extracts'
+    year filters prune partitions) instead of being derived per query.
+    """
+    return MappedTables(spark, sf_dir, prepared)
 
 
 def prepare_fact(spark: SparkSession, sf_dir: str, out: str, params: Params | None = None) -> str:
