@@ -117,14 +117,16 @@ def scope_filter(table: DataFrame, level: str, value: str | None, params: Params
 
 
 def system_feed(table: DataFrame, scope: DataFrame, params: Params) -> DataFrame:
-    """D42 (K2): one copy of ``table`` per system report plus the whole table for the region."""
-    s = scope.where(F.col("report_level") == "system").select(F.col("report").alias("_sys"))
-    per_system = table.join(s, table.icb == s._sys, "inner").withColumnRenamed("_sys", "report")
-    region = table.withColumn("report", F.lit(params.region_report_name))
-    return per_system.unionByName(region)
+    """D42 (K2): one copy of ``table`` per system report plus the whole table for the region.
+
+    The table is planned once: each row is labelled with its system's report, if it has one, and the region's.
+    """
+    s = scope.where(F.col("report_level") == "system").select(F.col("report").alias("_sys")).distinct()
+    reports = F.array_compact(F.array("_sys", F.lit(params.region_report_name)))
+    return table.join(s, table.icb == s._sys, "left").withColumn("report", F.explode(reports)).drop("_sys")
 
 
 def trust_feed(table: DataFrame, scope: DataFrame) -> DataFrame:
     """D42 (K3): the rows of each acute trust, labelled with the trust's report."""
-    t = scope.where(F.col("report_level") == "trust").select(F.col("report").alias("_trust"))
+    t = scope.where(F.col("report_level") == "trust").select(F.col("report").alias("_trust")).distinct()
     return table.join(t, table.provider == t._trust, "inner").withColumnRenamed("_trust", "report")

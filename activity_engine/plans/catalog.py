@@ -197,6 +197,9 @@ def build() -> dict[str, QueryFn]:
     q["report_scope"] = _p("report_scope")
     q["report_system_feed"] = _p("report_system_feed")
     q["report_trust_feed"] = _p("report_trust_feed")
+    for table in ("chart_feed", "coverage_table", "specialty_table"):
+        q[f"report_system_{table}"] = _q(lambda pl, table=table: pl.system_report(table))
+        q[f"report_trust_{table}"] = _q(lambda pl, table=table: pl.trust_report(table))
 
     # data quality (D11, R guard)
     q["dq_months_reported"] = _p("dq_months_reported")

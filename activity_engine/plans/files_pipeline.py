@@ -27,10 +27,17 @@ def from_frames(
     *,
     holidays=None,
     acutes: DataFrame | None = None,
+    three_years: DataFrame | None = None,
+    history: DataFrame | None = None,
+    excl_march: DataFrame | None = None,
 ) -> Pipeline:
     """A pipeline over already-extracted frames (actuals: month_commencing,
     treatment_function_code, treatment_function, der_provider_code, stp_code,
-    activity; baseline: orgcode, orgtype, month_commencing, value)."""
+    activity; baseline: orgcode, orgtype, month_commencing, value).
+
+    The older methods' extracts, of the same columns as actuals, are needed only
+    for their outputs: ``three_years`` for the comparison, ``history`` (February
+    and March of earlier years) and ``excl_march`` for the per-day method."""
     if acutes is None:
         acutes = spark.createDataFrame([(c,) for c in params.acutes], "provider_code string")
     t = Tables(
@@ -49,6 +56,9 @@ def from_frames(
     pl = Pipeline(t, params)
     pl.__dict__["extract"] = actuals.withColumn("activity", F.col("activity").cast("double"))
     pl.__dict__["baseline"] = baseline
+    for name, frame in (("extract_3y", three_years), ("extract_history", history), ("extract_excl_march", excl_march)):
+        if frame is not None:
+            pl.__dict__[name] = frame.withColumn("activity", F.col("activity").cast("double"))
     return pl
 
 
@@ -62,8 +72,11 @@ def from_files(
     *,
     holidays_json: str | None = None,
     holidays=None,
+    three_years_csv: str | None = None,
+    history_csv: str | None = None,
+    excl_march_csv: str | None = None,
 ) -> Pipeline:
-    """The files of the reference's main script -> the pipeline.
+    """The files of the reference's scripts -> the pipeline.
 
     ``holidays`` (a frame of dates or a rule ``(spark, start, end) -> frame``)
     is used when there is no holiday file.
@@ -77,4 +90,7 @@ def from_files(
         files.read_system_lookup(spark, systems_csv),
         params,
         holidays=hol,
+        three_years=files.read_activity_csv(spark, three_years_csv) if three_years_csv else None,
+        history=files.read_activity_csv(spark, history_csv) if history_csv else None,
+        excl_march=files.read_activity_csv(spark, excl_march_csv) if excl_march_csv else None,
     )

@@ -783,21 +783,6 @@ WHERE provider_code IN (SELECT provider_code FROM acutes)""",
             "provider_lookup",
             "acutes",
         )
-        A(
-            "system_feed",
-            f"""SELECT g.*, s.report FROM gap_table g JOIN (SELECT report FROM scope WHERE report_level = 'system') s
-  ON g.icb = s.report
-UNION ALL SELECT g.*, {q(p.region_report_name)} AS report FROM gap_table g""",
-            "gap_table",
-            "scope",
-        )
-        A(
-            "trust_feed",
-            """SELECT g.*, s.report FROM gap_table g JOIN (SELECT report FROM scope WHERE report_level = 'trust') s
-  ON g.provider = s.report""",
-            "gap_table",
-            "scope",
-        )
         A(
             "st_rows",
             f"""SELECT icb, provider, treatment_function,
@@ -827,6 +812,35 @@ FROM st_rows r JOIN (SELECT icb, provider, {strict('share_of_monthly_reduction')
             "st_prop",
         )
 
+        # reports: the rows that each report's filter keeps, the region's being all
+        A(
+            "chart",
+            f"SELECT icb, provider, month_of_actual, period, activity FROM enriched "
+            f"WHERE period IN ('baseline', 'actual', {q(p.target_label)})",
+            "enriched",
+        )
+        A(
+            "cov_table",
+            f"SELECT icb, provider, {pct('cohort_activity')} AS percentage_represented FROM coverage",
+            "coverage",
+        )
+        for table, feed in (("chart", "chart"), ("gap_table", "gap"), ("cov_table", "coverage"), ("spec_table", "specialty")):
+            A(
+                f"system_{feed}",
+                f"""SELECT g.*, s.report FROM {table} g JOIN (SELECT report FROM scope WHERE report_level = 'system') s
+  ON g.icb = s.report
+UNION ALL SELECT g.*, {q(p.region_report_name)} AS report FROM {table} g""",
+                table,
+                "scope",
+            )
+            A(
+                f"trust_{feed}",
+                f"""SELECT g.*, s.report FROM {table} g JOIN (SELECT report FROM scope WHERE report_level = 'trust') s
+  ON g.provider = s.report""",
+                table,
+                "scope",
+            )
+
         # data quality (D11, pivot guard)
         def dup(name: str, src: str, keys: str) -> str:
             return f"""SELECT {q(name)} AS pivot, count(*) AS cells,
@@ -1012,8 +1026,18 @@ FROM planning WHERE planningref = {q(p.planning_ref)}""",
                  "share_of_daily_reduction", "proportion_contributed"],
             ),
             "report_scope": d("scope"),
-            "report_system_feed": d("system_feed", ["baseline", "actual", t, "variance"]),
-            "report_trust_feed": d("trust_feed", ["baseline", "actual", t, "variance"]),
+            "report_system_feed": d("system_gap", ["baseline", "actual", t, "variance"]),
+            "report_trust_feed": d("trust_gap", ["baseline", "actual", t, "variance"]),
+            **{f"report_{kind}_chart_feed": d(f"{kind}_chart", ["activity"]) for kind in ("system", "trust")},
+            **{f"report_{kind}_coverage_table": d(f"{kind}_coverage") for kind in ("system", "trust")},
+            **{
+                f"report_{kind}_specialty_table": d(
+                    f"{kind}_specialty",
+                    ["average_monthly_activity", "share_of_monthly_reduction", "average_daily_activity",
+                     "share_of_daily_reduction", "proportion_contributed"],
+                )
+                for kind in ("system", "trust")
+            },
             "dq_months_reported": self.build(
                 "SELECT der_provider_code, count(*) AS n FROM hist_pm GROUP BY der_provider_code", "hist_pm"
             ),

@@ -24,6 +24,10 @@ from ..params import Params
 from ..sources.tables import Tables
 
 
+#: The tables in each system's and trust's report.
+REPORT_TABLES = ("chart_feed", "gap_table", "coverage_table", "specialty_table")
+
+
 class Pipeline:
     def __init__(self, tables: Tables, params: Params, *, target_fy: str | None = None, target_label: str | None = None,
                  by_icb: bool = True):
@@ -183,18 +187,18 @@ class Pipeline:
 
     @cached_property
     def activity_comparison(self) -> DataFrame:
-        return lg.activity_comparison(ex.extract_activity_3y(self.t, self.p), self.date_dim)
+        return lg.activity_comparison(self.extract_3y, self.date_dim)
 
     @cached_property
     def march_counterfactual(self) -> DataFrame:
         return lg.march_counterfactual(
-            gp.as_csv_actuals(ex.extract_march_history(self.t, self.p)), self.t.acutes, self.monthly_working_days, self.p
+            gp.as_csv_actuals(self.extract_history), self.t.acutes, self.monthly_working_days, self.p
         )
 
     @cached_property
     def per_day_gap_v1(self) -> DataFrame:
         return lg.per_day_gap_v1(
-            gp.as_csv_actuals(ex.extract_baseline_excl_march(self.t, self.p)),
+            gp.as_csv_actuals(self.extract_excl_march),
             self.march_counterfactual,
             self.actuals,
             self.t,
@@ -263,11 +267,19 @@ class Pipeline:
 
     @cached_property
     def report_system_feed(self) -> DataFrame:
-        return rp.system_feed(self.report_gap_table, self.report_scope, self.p)
+        return self.system_report("gap_table")
 
     @cached_property
     def report_trust_feed(self) -> DataFrame:
-        return rp.trust_feed(self.report_gap_table, self.report_scope)
+        return self.trust_report("gap_table")
+
+    def system_report(self, table: str) -> DataFrame:
+        """One of ``REPORT_TABLES``, a copy per system report and one for the region (K2)."""
+        return rp.system_feed(getattr(self, f"report_{table}"), self.report_scope, self.p)
+
+    def trust_report(self, table: str) -> DataFrame:
+        """One of ``REPORT_TABLES``, the rows of each trust's report (K3)."""
+        return rp.trust_feed(getattr(self, f"report_{table}"), self.report_scope)
 
     # -- data quality ----------------------------------------------------------------
     @cached_property

@@ -8,6 +8,7 @@ output is then one distributed write; the per-system and per-trust copies
 are partitions of one write.
 
     python -m activity_engine.plans.run --sf-dir /data/sf0.1 --out /shared/out
+    python -m activity_engine.plans.run --actuals a.csv --baseline b.csv --providers p.csv --systems s.csv --out /shared/out
 """
 
 from __future__ import annotations
@@ -22,7 +23,11 @@ from ..session import build_session, checkpoint_dir, configure
 from ..sinks.writers import ORDER, write_report_feeds, write_table
 from ..sources.tables import Tables
 from ..sources.testmap import load_tables, prepare_fact
-from .pipeline import Pipeline
+from .files_pipeline import from_files
+from .pipeline import REPORT_TABLES, Pipeline
+
+
+CSV_INPUTS = ("actuals", "baseline", "providers", "systems")
 
 
 def materialize_inputs(pl: Pipeline) -> Pipeline:
@@ -39,8 +44,13 @@ def materialize_inputs(pl: Pipeline) -> Pipeline:
 
 def run_reports(spark: SparkSession, tables: Tables, params: Params, out_root: str, *, fmt: str = "parquet",
                 day: dt.date | None = None) -> dict[str, str]:
+    return write_reports(spark, Pipeline(tables, params), out_root, fmt=fmt, day=day)
+
+
+def write_reports(spark: SparkSession, pipeline: Pipeline, out_root: str, *, fmt: str = "parquet",
+                  day: dt.date | None = None) -> dict[str, str]:
     configure(spark)
-    pl = materialize_inputs(Pipeline(tables, params))
+    pl = materialize_inputs(pipeline)
     root = out_root.rstrip("/")
     written: dict[str, str] = {}
 
@@ -59,21 +69,35 @@ def run_reports(spark: SparkSession, tables: Tables, params: Params, out_root: s
     out("report_chart_feed", pl.report_chart_feed)
     out("report_coverage_table", pl.report_coverage_table)
     out("report_specialty_table", pl.report_specialty_table)
-    written["systems"] = write_report_feeds(pl.report_system_feed, root, "systems", day, fmt)  # K2
-    written["trusts"] = write_report_feeds(pl.report_trust_feed, root, "trusts", day, fmt)  # K3
+    out("report_scope", pl.report_scope)
+    for table in REPORT_TABLES:
+        suffix = "" if table == "gap_table" else f"_{table}"
+        for kind, feed in (("systems", pl.system_report(table)), ("trusts", pl.trust_report(table))):  # K2, K3
+            written[f"{kind}{suffix}"] = write_report_feeds(feed, root, f"{kind}{suffix}", day, fmt)
     return written
 
 
 def main(argv=None) -> None:
     ap = argparse.ArgumentParser(description=__doc__.splitlines()[0])
-    ap.add_argument("--sf-dir", required=True, help="folder with the driver's parquet tables")
+    ap.add_argument("--sf-dir", default=None, help="folder with the driver's parquet tables")
+    for name in CSV_INPUTS:
+        ap.add_argument(f"--{name}", default=None, help=f"CSV of the {name}; all {len(CSV_INPUTS)} are needed without --sf-dir")
+    ap.add_argument("--holidays", default=None, help="JSON of the bank holidays, with the CSV inputs")
     ap.add_argument("--out", required=True, help="output root on the shared file system")
     ap.add_argument("--format", default="parquet", choices=["parquet", "csv"])
     ap.add_argument("--master", default=None)
     ap.add_argument("--prepare", default=None,
                     help="shared folder: write the derived attendance there once (partitioned by year) and read it back")
     a = ap.parse_args(argv)
+    paths = [getattr(a, name) for name in CSV_INPUTS]
+    if (a.sf_dir is None) != all(paths) or (a.sf_dir and any(paths)):
+        ap.error("give either --sf-dir or all of " + ", ".join(f"--{name}" for name in CSV_INPUTS))
     spark = build_session(a.master)
+    if a.sf_dir is None:
+        pl = from_files(spark, *paths, Params(), holidays_json=a.holidays)
+        for k, v in write_reports(spark, pl, a.out, fmt=a.format).items():
+            print(f"{k}\t{v}")
+        return
     params = test_params()
     if a.prepare:
         prepare_fact(spark, a.sf_dir, a.prepare, params)

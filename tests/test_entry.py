@@ -20,6 +20,11 @@ def test_report_run_writes_every_output(spark, tmpdir_path):
     systems = os.listdir(written["systems"])
     assert any(d.startswith("report=") for d in systems)
     assert spark.read.parquet(written["gap_by_year"]).count() > 0
+    for table in ("chart_feed", "coverage_table", "specialty_table"):
+        assert {f"systems_{table}", f"trusts_{table}"} <= set(written)
+    chart = spark.read.parquet(written["systems_chart_feed"])
+    assert chart.where("report = 'all_regions'").count() == spark.read.parquet(written["report_chart_feed"]).count() > 0
+    assert {"report", "title"} <= set(spark.read.parquet(written["report_scope"]).columns)
 
 
 def test_report_run_cli_with_prepared_fact(spark, tmpdir_path, capsys):

@@ -29,12 +29,20 @@ def test_csv_extracts_give_the_same_gap_and_fair_share(spark, tmpdir_path):
              os.path.join(tmpdir_path, "baseline"), ["month_commencing"])
     p = _csv(ref.t.provider_lookup, os.path.join(tmpdir_path, "providers"))
     s = _csv(ref.t.system_lookup, os.path.join(tmpdir_path, "systems"))
+    older = {
+        f"{name}_csv": _csv(frame.toDF("Month_commencing", "Treatment_Function_Code", "Treatment_Function",
+                                       "Der_Provider_Code", "STP_Code", "Activity"),
+                            os.path.join(tmpdir_path, name), ["Month_commencing"])
+        for name, frame in (("three_years", ref.extract_3y), ("history", ref.extract_history),
+                            ("excl_march", ref.extract_excl_march))
+    }
     params = make_params().with_(
         calendar_start=dt.date(1994, 4, 1), calendar_end=dt.date(2002, 3, 31),
         acutes=tuple(r.provider_code for r in ref.t.acutes.collect()),
     )
-    pl = from_files(spark, a, b, p, s, params, holidays=rule_holidays)  # the same holidays as the parquet path
-    for name in ("gap_by_year", "fair_share", "cohort_coverage"):
+    pl = from_files(spark, a, b, p, s, params, holidays=rule_holidays, **older)  # the same holidays as the parquet path
+    for name in ("gap_by_year", "fair_share", "cohort_coverage", "activity_comparison", "march_counterfactual",
+                 "per_day_gap_v1"):
         got = sorted(map(tuple, getattr(pl, name).collect()), key=repr)
         want = sorted(map(tuple, getattr(ref, name).collect()), key=repr)
         assert len(got) == len(want) > 0

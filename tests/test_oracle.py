@@ -11,7 +11,8 @@ QUERIES = E.queries()
 ORACLES = E.oracle_sql()
 # queries whose interesting branches only appear at sf0.01 (cohort, v1 split, reports)
 MID = ["cohort", "cohort_rows", "fair_share", "fair_share_v2", "report_specialty_table", "specialty_split_v1",
-       "per_day_gap_v1", "dq_pivot_duplicates", "follow_up_tracking", "gap_by_year"]
+       "per_day_gap_v1", "dq_pivot_duplicates", "follow_up_tracking", "gap_by_year",
+       *[f"report_{kind}_{table}" for kind in ("system", "trust") for table in ("chart_feed", "coverage_table", "specialty_table")]]
 
 
 @pytest.fixture(scope="module")
