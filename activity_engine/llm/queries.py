@@ -66,10 +66,11 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages", "page_id", "url")
     bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")
-    outcomes = table(spark, sf_dir, "labels", "doc_id", "quality", "toxic").select(F.col("doc_id").alias("page_id"), bad)
-    return urls.judge(pages, outcomes).drop("share")
+    outcomes = table(spark, sf_dir, "labels", "doc_id", "quality", "toxic").select("doc_id", bad)
+    labelled = documents(spark, sf_dir).join(outcomes.select("doc_id").distinct(), "doc_id", "left_semi")
+    pages = urls.with_documents(table(spark, sf_dir, "pages", "page_id", "url", "html"), labelled)
+    return urls.judge(pages, outcomes, by="doc_id").drop("share")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

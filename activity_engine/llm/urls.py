@@ -9,10 +9,17 @@ have their domain's, suffix's or the overall share as posterior.
 
 A rule list (bounded: a setting of the job) goes before the method.
 
+``with_documents`` finds the document that a page shows, for outcomes that are
+known by document: its id ends the url's path, and its text must open the
+article of the page's html (the first OPENING characters other than white
+space; the heading is passed over).
+
 Defined cases: a null url, or one without "://", has an empty host and path; a
 page with several outcomes counts each; outcomes of unknown pages and null
 outcomes count nothing; without any outcome every host is allowed; each page
-row gives one row, repeated rows and null ids included.
+row gives one row, repeated rows and null ids included; a page whose path ends
+in no id, in an unknown one or in that of another or an empty text shows no
+document; of several texts under one id any may be the one shown.
 """
 
 from __future__ import annotations
@@ -36,6 +43,11 @@ LIMIT = 0.5
 BOUND = 1.645
 LEVELS = ("suffix", "domain", "host")
 
+#: So many characters of a document's text, white space left out, must open the page.
+OPENING = 200
+BLANK = "[\\x09-\\x0d\\x20]+"
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&amp;", "&"))
+
 
 def host(url: Column) -> Column:
     return F.translate(F.coalesce(F.regexp_extract(url, "://([^/?#]*)", 1), F.lit("")), UPPER, LOWER)
@@ -45,6 +57,43 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def named_document(of_path: Column) -> Column:
+    """The id that ends a path, before an extension and a slash; else null."""
+    return F.regexp_extract(of_path, r"/([0-9]+)(?:\.[A-Za-z0-9]+)?/?$", 1).try_cast("long")
+
+
+def text_opening(text: Column) -> Column:
+    return F.left(F.regexp_replace(text, BLANK, ""), F.lit(OPENING))
+
+
+def page_opening(html: Column) -> Column:
+    """The opening of the article's text after its heading."""
+    article = F.regexp_replace(html, "(?s)^.*?<article[^>]*>(?:[\\x09-\\x0d\\x20]*<h1.*?</h1>)?", "")
+    shown = F.regexp_replace(article, "(?s)<!--.*?-->|<[^>]*>", "")
+    for entity, char in ENTITIES:
+        shown = F.replace(shown, F.lit(entity), F.lit(char))
+    return text_opening(shown)
+
+
+def with_documents(pages: DataFrame, documents: DataFrame) -> DataFrame:
+    """``pages`` (url, html and others) with doc_id, the document (doc_id, text) that each shows, for html."""
+    own = pages.select(
+        *[c for c in pages.columns if c not in ("html", "doc_id")],
+        named_document(path(F.col("url"))).alias("named"),
+        page_opening(F.col("html")).alias("opening"),
+    )
+    texts = documents.select(F.col("doc_id").alias("named"), text_opening(F.col("text")).alias("start"))
+    shown = (
+        own.select("named", "opening")
+        .distinct()
+        .join(texts.filter("start != ''").distinct(), "named")
+        .filter(F.col("opening").startswith(F.col("start")))
+        .select("named", "opening", F.col("named").alias("doc_id"))
+        .distinct()
+    )
+    return own.join(shown, ["named", "opening"], "left").drop("named", "opening")
+
+
 def fitting_rule(of_host: Column, of_path: Column, rules=RULES) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits, else nulls; of rules as long, the one with the longer host, then block."""
     rule = verdict = F.lit(None).cast("string")
@@ -58,12 +107,12 @@ def with_levels(pages: DataFrame) -> DataFrame:
     return pages.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
 
 
-def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """One row for each host of ``pages`` (page_id, host): share and deviation, the posterior of its bad share.
+def reputation(pages: DataFrame, outcomes: DataFrame, by: str = "page_id") -> DataFrame:
+    """One row for each host of ``pages`` (``by``, host): share and deviation, the posterior of its bad share.
 
-    ``outcomes`` has page_id and bad (boolean).
+    ``outcomes`` has ``by`` and bad (boolean).
     """
-    labelled = pages.select("page_id", "host").join(outcomes.filter(F.col("bad").isNotNull()), "page_id", "left")
+    labelled = pages.select(by, "host").join(outcomes.filter(F.col("bad").isNotNull()), by, "left")
     hosts = with_levels(
         labelled.groupBy("host").agg(
             F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("k")
@@ -102,11 +151,14 @@ def _strength(groups: DataFrame) -> DataFrame:
     return fitted.select(((1 - rho) / rho).alias("strength"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIMIT, bound: float = BOUND) -> DataFrame:
-    """(page_id, host, path, rule, verdict, share), one row for each row of ``pages`` (page_id, url)."""
-    own = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
+def judge(
+    pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIMIT, bound: float = BOUND, by: str = "page_id"
+) -> DataFrame:
+    """(page_id, host, path, rule, verdict, share), one row for each row of ``pages`` (page_id, url and ``by``)."""
+    more = [by] if by != "page_id" else []
+    own = pages.select("page_id", *more, host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     rule, by_rule = fitting_rule(F.col("host"), F.col("path"), rules)
-    known = reputation(own, outcomes)
+    known = reputation(own, outcomes, by)
     blocked = F.coalesce(F.col("share") - bound * F.col("deviation") > limit, F.lit(False))
     by_method = F.when(blocked, "block").otherwise("allow")
     return own.join(known, "host", "left").select(
