@@ -20,7 +20,9 @@ Defined cases: a null or empty text, or one without words, has an empty set and
 is linked with nothing; a text of fewer words than a shingle has the whole
 sequence as one; a row with a null id is linked with nothing (component_id
 null, kept); rows with one id are judged each by its own text, repeated rows
-alike, each gives a row; other columns are not read.
+alike, each gives a row; classes are told apart by their sets, not by ids, so
+two texts of one id are linked only if they are alike; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -117,7 +119,7 @@ def signatures(sets: np.ndarray, begins: np.ndarray, hashes: int, step: int = 1
 
 
 def profiles(docs: DataFrame, settings: Settings) -> DataFrame:
-    """(doc_id, set_id, n_shingles, signature, bands): set_id hashes the whole set (null if it is empty)."""
+    """(doc_id, text_hash, set_id, n_shingles, signature, bands): set_id hashes the whole set (null if it is empty)."""
     rows_in_band, bands = settings.bands()
 
     def rows(part: pa.RecordBatch) -> dict:
@@ -146,13 +148,14 @@ def profiles(docs: DataFrame, settings: Settings) -> DataFrame:
         lists = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(keys, axis=1).ravel().view(np.int64)), bands)
         return {
             "doc_id": part.column("doc_id"),
+            "text_hash": part.column("text_hash"),
             "set_id": ids,
             "n_shingles": n,
             "signature": packed.cast(pa.binary()).take(take),
             "bands": lists.cast(pa.list_(pa.int64())).take(take),
         }
 
-    schema = "doc_id long, set_id binary, n_shingles long, signature binary, bands array<long>"
+    schema = "doc_id long, text_hash long, set_id binary, n_shingles long, signature binary, bands array<long>"
     return map_texts(docs, "text", schema, rows)
 
 
@@ -225,7 +228,9 @@ def class_links(classes: DataFrame, docs: DataFrame, settings: Settings) -> Data
         cut = [raw[8 * a : 8 * b] for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
         return {"rep": part.column("rep"), "set": cut}
 
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(needed, "rep", "left_semi")
+    # one text stands for a class: its least id's, told from other texts of that id by its hash
+    which = classes.select("rep", "least.doc_id", "least.text_hash").join(needed, "rep", "left_semi")
+    texts = docs.join(which, ["doc_id", "text_hash"]).select("rep", "text")
     sets = map_texts(texts, "text", "rep long, set binary", rows).distinct().checkpoint()
     stars = buckets.filter(F.col("rep") > F.col("hub")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     links = verified(stars, classes, sets, settings).checkpoint()
@@ -313,25 +318,42 @@ def rest_links(left: DataFrame, classes: DataFrame, sets: DataFrame, settings: S
     return dealt.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs`` (doc_id, text)."""
+def grouped(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id, first), one row for each row of ``docs`` (doc_id, text).
+
+    ``first`` is true for the rows of one text of each component (its least by
+    id and hash), and for rows that are linked with nothing.
+    """
     checkpoint_dir(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     own = profiles(docs, settings).checkpoint()
     real = own.filter(F.col("doc_id").isNotNull() & F.col("set_id").isNotNull())
+    # rep numbers the classes: the checkpoint holds the numbers, an id may have several.
+    # It must be nullable for the plans: Spark fails on the checkpoints of the components if it is not.
     classes = real.groupBy("set_id").agg(
-        F.min("doc_id").alias("rep"),
+        F.min(F.struct("doc_id", "text_hash")).alias("least"),
         F.first("n_shingles").alias("n_shingles"),
         F.first("signature").alias("signature"),
         F.first("bands").alias("bands"),
-    ).checkpoint()
-    found = class_links(classes, docs.filter(F.col("doc_id").isNotNull()), settings)
+    ).withColumn("rep", F.when(F.col("n_shingles") > 0, F.monotonically_increasing_id())).checkpoint()
+    found = class_links(classes, docs.filter(F.col("doc_id").isNotNull()), settings).withColumnRenamed("id", "rep").checkpoint()
+    least = found.join(classes.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("of_component"))
     of_set = (
-        classes.select("set_id", "rep")
-        .join(found.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("set_id", F.coalesce("component", "rep").alias("component"))
+        classes.select("set_id", "rep", "least")
+        .join(found.join(least, "component").select("rep", "of_component"), "rep", "left")
+        .select("set_id", F.coalesce("of_component", "least").alias("of_component"))
     )
-    placed = own.join(of_set, "set_id", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
+    own_text = F.struct("doc_id", "text_hash")
+    return own.join(of_set, "set_id", "left").select(
+        "doc_id",
+        "text_hash",
+        "n_shingles",
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("of_component.doc_id", "doc_id")).alias("component_id"),
+        (F.col("doc_id").isNull() | F.coalesce(F.col("of_component") == own_text, F.lit(True))).alias("first"),
     )
+
+
+def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs`` (doc_id, text)."""
+    placed = grouped(docs, settings).select("doc_id", "n_shingles", "component_id")
     return placed.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -35,12 +35,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = neardup.near_duplicates(docs.select("doc_id", "text"), neardup.Settings(size=5, percent=80))
-    kept = found.filter("kept").select("doc_id").filter("doc_id is not null").distinct()
-    named = docs.join(kept, "doc_id", "left_semi")
+    found = neardup.grouped(docs.select("doc_id", "text"), neardup.Settings(size=5, percent=80))
+    kept = found.filter("first and doc_id is not null").select("doc_id", F.col("text_hash").alias("_hash")).distinct()
+    named = docs.withColumn("_hash", F.xxhash64("text")).join(kept, ["doc_id", "_hash"], "left_semi")
     # rows of one kept id with one text are copies of each other
-    copies = Window.partitionBy("doc_id", F.xxhash64("text"), "text").orderBy(F.lit(1))
-    single = named.withColumn("_copy", F.row_number().over(copies)).filter("_copy = 1").drop("_copy")
+    copies = Window.partitionBy("doc_id", "_hash", "text").orderBy(F.lit(1))
+    single = named.withColumn("_copy", F.row_number().over(copies)).filter("_copy = 1").drop("_copy", "_hash")
     return single.unionByName(docs.filter("doc_id is null")).select(docs.columns)
 
 

@@ -2,7 +2,29 @@
 
 from __future__ import annotations
 
-from activity_engine.llm import queries, urls
+import brute
+
+from activity_engine.llm import neardup, queries, urls
+
+
+def test_two_texts_of_one_id(spark):
+    import corpus_pipeline
+
+    def text(name: str, edit: str = "") -> str:
+        return " ".join(f"{name}{k}" for k in range(80)) + edit
+
+    # an id's unique text and its copy of another's; a copy that must go and a text beside it that must stay;
+    # two alike texts of one id, of which the stage keeps one; texts without words
+    rows = [(5, text("p")), (5, text("q")), (2, text("q", " x")), (3, text("a")), (7, text("a")), (7, text("c"))]
+    rows += [(9, text("r")), (9, text("r", " x")), (9, text("r")), (11, ""), (11, text("s")), (None, text("p"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    settings = neardup.Settings(5, 80)
+    assert sorted(map(repr, map(tuple, neardup.near_duplicates(docs, settings).collect()))) == sorted(
+        map(repr, brute.near_rows(rows, 5, 80))
+    )
+    kept = sorted(map(repr, map(tuple, corpus_pipeline.near_dedup(spark, docs, "").collect())))
+    sure = [(5, text("p")), (2, text("q", " x")), (3, text("a")), (7, text("c")), (11, ""), (11, text("s")), (None, text("p"))]
+    assert kept in [sorted(map(repr, [*sure, (9, text("r", x))])) for x in ("", " x")]
 
 
 def test_outcomes_belong_to_the_page_of_their_document(spark, tmp_path):
