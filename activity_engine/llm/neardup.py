@@ -5,9 +5,10 @@
 2. In each band's bucket every class is paired with the bucket's smallest (its
    hub): as many pairs as members, never all pairs of a group.
 3. A pair's signatures are compared batch by batch. After each batch it is
-   pruned if, given the matches so far (uniform prior, so the posterior is a
-   beta distribution), the similarity reaches the threshold with probability
-   below MISS. Survivors are verified exactly on their full shingle sets.
+   pruned if a pair at the threshold has so few matches with probability below
+   MISS divided by the number of batches, so that all batches together prune
+   such a pair with probability below MISS. Survivors are verified exactly on
+   their full shingle sets.
 4. Linked classes merge. Classes of buckets that still hold several components
    are the rest: they are compared in bounded blocks, block against block, and
    every pair that shares a bucket and isn't connected yet is pruned or verified
@@ -67,14 +68,11 @@ class Settings:
 
 
 def least_matches(threshold: float, n: int, miss: float = MISS) -> int:
-    """Fewest matches of n with which the similarity may still reach the threshold.
-
-    With a uniform prior P(similarity >= t | m of n match) = P(Binomial(n + 1, t) <= m).
-    """
+    """Fewest matches of n with which a pair goes on: one at the threshold has fewer with a probability of ``miss`` at most."""
     total = 0.0
     for m in range(n + 1):
-        total += math.comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
-        if total >= miss:
+        total += math.comb(n, m) * threshold**m * (1 - threshold) ** (n - m)
+        if total > miss:
             return m
     return n
 
@@ -163,7 +161,7 @@ def checks(settings: Settings, batch: int = 16) -> tuple[list[int], list[int]]:
     """After how many hashes a pair is judged, and the fewest matches with which it goes on."""
     rows_in_band, bands = settings.bands()
     steps = [*range(batch, rows_in_band * bands, batch), rows_in_band * bands]
-    return steps, [least_matches(settings.percent / 100, n) for n in steps]
+    return steps, [least_matches(settings.percent / 100, n, MISS / len(steps)) for n in steps]
 
 
 def pruned(pairs: DataFrame, settings: Settings) -> DataFrame:

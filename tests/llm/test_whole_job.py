@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import brute
+import pytest
 
 from activity_engine.llm import neardup, queries, urls
 
@@ -59,3 +62,18 @@ def test_outcomes_belong_to_the_page_of_their_document(spark, tmp_path):
     assert len(verdicts) == len(pages)
     assert {r.host for r in verdicts if r.verdict == "block"} == {"spam.example.org"}
     assert sum(r.verdict == "block" for r in verdicts) == 41
+
+
+@pytest.mark.parametrize(("size", "percent"), [(3, 85), (5, 80)])
+def test_all_checks_together_miss_rarely(size, percent):
+    steps, least = neardup.checks(neardup.Settings(size, percent))
+    t, alive, done = percent / 100, {0: 1.0}, 0
+    for n, m in zip(steps, least, strict=True):
+        new: dict[int, float] = {}
+        for x, p in alive.items():
+            for k in range(n - done + 1):
+                new[x + k] = new.get(x + k, 0.0) + p * math.comb(n - done, k) * t**k * (1 - t) ** (n - done - k)
+        alive, done = {x: p for x, p in new.items() if x >= m}, n
+    missed = 1 - math.fsum(alive.values())
+    print(f"a pair at {t} is pruned with probability {missed:.2e}")
+    assert missed <= neardup.MISS
