@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, each over its whole table, and their SQL."""
+"""The registered queries of the operators, each over its whole table, and their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, neardup, quality, secrets, substring, tokencount, urls
+from . import bitplanes, bpe, chat, decontam, langid, neardup, quality, runs, secrets, substring, tokencount, urls
 from .sql import ORACLE
 
 #: Folder of the public tokenizer files.
@@ -90,6 +90,15 @@ def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_turns(chat.paired_by_id(turns))
 
 
+def op12_bitplane_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bitplanes.with_inertia(*bitplanes.cluster(table(spark, sf_dir, "embeddings", "vec_id", "embedding")))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.periodic_runs(documents(spark, sf_dir), weave=runs.woven))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -107,6 +116,8 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op8_url_reputation,
     op9_decontamination,
     op10_preference_format,
+    op12_bitplane_clusters,
+    op13_periodic_runs,
     pipeline,
 )
 

@@ -78,4 +78,38 @@ SELECT pair_id, part, nullif(turn, 9223372036854775807) AS turn, role,
   NOT in_prompt AND coalesce(role = 'assistant', false) AS loss
 FROM parts"""
 
-ORACLE = {"op8_url_reputation": OP8, "op10_preference_format": OP10}
+_ASSIGN = """
+far{r} AS (
+  SELECT vec_id, v, cluster, n2 - 2 * list_dot_product(v, c) + list_dot_product(c, c) AS d
+  FROM vectors CROSS JOIN centroids{r}),
+near{r} AS MATERIALIZED (
+  SELECT vec_id, v, cluster, d FROM (
+    SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster) AS place FROM far{r}) WHERE place = 1)"""
+
+_MOVE = """
+parts{r} AS (
+  SELECT cluster, i, sum(v[i]::BIGINT) AS s, count(*) AS n
+  FROM near{p} CROSS JOIN (SELECT unnest(range(1, 65)) AS i) GROUP BY cluster, i),
+means{r} AS (
+  SELECT cluster, list(((s - (((s % n) + n) % n)) // n)::DOUBLE ORDER BY i) AS c FROM parts{r} GROUP BY cluster),
+centroids{r} AS MATERIALIZED (
+  SELECT o.cluster, coalesce(m.c, o.c) AS c FROM centroids{p} o LEFT JOIN means{r} m ON m.cluster = o.cluster)"""
+
+OP12 = (
+    """WITH vectors AS MATERIALIZED (
+  SELECT vec_id, v, list_dot_product(v, v) AS n2 FROM (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)),
+centroids0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY h) - 1)::INTEGER AS cluster, v AS c
+  FROM (SELECT sha256('1:' || vec_id) AS h, v FROM vectors ORDER BY h LIMIT 16)),"""
+    + ",".join(_ASSIGN.format(r=r - 1) + "," + _MOVE.format(r=r, p=r - 1) for r in (1, 2, 3))
+    + ","
+    + _ASSIGN.format(r=3)
+    + """
+SELECT vec_id, cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c::BIGINT[], ',')) AS centroid_sha256
+FROM near3 JOIN centroids3 USING (cluster)"""
+)
+
+ORACLE = {"op8_url_reputation": OP8, "op10_preference_format": OP10, "op12_bitplane_clusters": OP12}
