@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, bpe, chat, decontam, langid, neardup, quality, runs, secrets, substring, tokencount, urls
+from . import bitplanes, bpe, chat, contextmix, decontam, langid, neardup, quality, runs, secrets, substring, tokencount, urls
 from .sql import ORACLE
 
 #: Folder of the public tokenizer files.
@@ -90,6 +90,10 @@ def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_turns(chat.paired_by_id(turns))
 
 
+def op11_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contextmix.score(documents(spark, sf_dir))
+
+
 def op12_bitplane_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bitplanes.with_inertia(*bitplanes.cluster(table(spark, sf_dir, "embeddings", "vec_id", "embedding")))
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
@@ -116,6 +120,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op8_url_reputation,
     op9_decontamination,
     op10_preference_format,
+    op11_context_mixing,
     op12_bitplane_clusters,
     op13_periodic_runs,
     pipeline,
