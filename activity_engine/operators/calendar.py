@@ -6,6 +6,8 @@ month), so they are safe to broadcast into the fact-derived joins.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +22,15 @@ SATURDAY, SUNDAY = 7, 1  # dayofweek: 1 = Sunday ... 7 = Saturday
 def resolve_bounds(tables: Tables, params: Params) -> tuple[Column, Column]:
     """Calendar range as expressions: explicit parameters, else the span of the data.
 
-    The data span is a scalar subquery (a min/max over one date column), so it
-    is part of every plan that needs it and always that of the current files.
-    Explicit parameters save that scan.
+    The data span is a value from stored metadata where the tables have it, else
+    a scalar subquery (a min/max over one date column) in every plan that needs it.
+    Either is that of the current files.
     """
     if params.calendar_start is not None and params.calendar_end is not None:
         return F.lit(params.calendar_start), F.lit(params.calendar_end)
+    if tables.calendar_range is not None:
+        start, end = tables.calendar_range
+        return F.lit(start).cast("date"), F.lit(end).cast("date")
     if tables.calendar_bounds is None:
         raise ValueError("no calendar range: set Params.calendar_start/end or Tables.calendar_bounds")
     b = tables.calendar_bounds
@@ -158,6 +163,22 @@ def year_working_days(mwd: DataFrame, fin_year_label: str, name: str = "working_
     )
 
 
+def is_provisional(actuals: DataFrame, month: dt.date) -> Column:
+    """Whether no month of the actuals is later than ``month``, as a scalar subquery.
+
+    Without any month the answer is yes, as the maximum of nothing is below all dates.
+    """
+    newest = actuals.agg(F.max("month_commencing").alias("newest")).select("newest").scalar()
+    return F.coalesce(newest <= F.lit(month), F.lit(True))
+
+
+def without_month(df: DataFrame, provisional: Column | None, month: object, col: str = "month_commencing") -> DataFrame:
+    """The rows, less those of ``month`` (and those without one, as ``filter`` drops NA) while it is provisional."""
+    if provisional is None:
+        return df
+    return df.where(F.when(provisional, F.col(col) != F.lit(month)).otherwise(F.lit(True)))
+
+
 def year_scalars(mwd: DataFrame, fin_year_label: str) -> DataFrame:
     """A10: one row ``(month_count, total_wd)`` for a financial year."""
     return mwd.where(F.col("fin_year") == fin_year_label).agg(

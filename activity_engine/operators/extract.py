@@ -11,9 +11,12 @@ three-valued ``NOT IN`` (a NULL code fails it).
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import date_text_first_of_month, first_of_month, yyyymm_to_iso
@@ -91,6 +94,105 @@ def extract_activity(
     ).agg(F.count(F.lit(1)).alias("activity"))
 
 
+@dataclass(frozen=True)
+class ExtractScope:
+    """One extract of several made together: its years, months and form of the provider code."""
+
+    years: tuple[str, ...]
+    months: Callable[[Column], Column] | None = None  # condition on der_activity_month
+    provider_len: int | None = None
+
+    def holds(self) -> Column:
+        inside = F.col("der_financial_year").isin(*self.years)
+        return inside & self.months(F.col("der_activity_month")) if self.months else inside
+
+
+def extract_scopes(params: Params) -> dict[str, ExtractScope]:
+    """The four activity extracts (D4-D7) by name."""
+    return {
+        "actual": ExtractScope((params.actual_fy,)),
+        "three_years": ExtractScope(params.three_year_fys, provider_len=3),
+        "excl_march": ExtractScope((params.baseline_fy,), lambda m: ~m.isin(params.excluded_month)),
+        "history": ExtractScope(params.history_fys, lambda m: F.substring(m, -2, 2).isin("02", "03")),
+    }
+
+
+EXTRACT_KEYS = ("month_commencing", "treatment_function_code", "treatment_function", "der_provider_code", "stp_code")
+
+
+def extract_together(tables: Tables, params: Params, scopes: dict[str, ExtractScope]) -> DataFrame:
+    """D4-D7 in one pass: the rows of several extracts with the ``scope`` that each belongs to.
+
+    The fact is scanned once over all the scopes' years. One hash aggregate counts
+    an attendance under every scope that holds it; the small result is turned into
+    a row for each scope. A plan that takes several scopes from this frame shares
+    the aggregate's exchange, as the scope is told only after it.
+    """
+    years = sorted({y for s in scopes.values() for y in s.years})
+    raw = Scope(fin_year_dates(years), ("2", "4"), ("5", "6"), "01")
+    att = _scope(tables.fact("attendance", raw), params, years)
+    att = att.where(reduce(or_, [s.holds() for s in scopes.values()]))
+    forms = sorted({s.provider_len or 0 for s in scopes.values()})
+    code = {n: f"_code_{n}" for n in forms}
+    att = att.select(
+        first_of_month("appointment_date").alias("month_commencing"),
+        "treatment_function_code",
+        *[provider_code("der_provider_code", params.select_rules, else_len=n or None).alias(code[n]) for n in forms],
+        provider_code("der_provider_code", params.join_rules).alias("_hier_key"),
+        *[F.when(s.holds(), F.lit(1)).alias(f"_in_{name}") for name, s in scopes.items()],
+    )
+    tfc = tables.tfc_ref.select(
+        F.col("treatment_function_code").alias("_tfc_code"),
+        F.expr("substring(treatment_function_desc, 5)").alias("treatment_function"),
+    )
+    hier = tables.provider_hierarchy.where(F.col("region_code") == params.region_code).select(
+        F.col("organisation_code").alias("_org"), "stp_code"
+    )
+    joined = att.join(tfc, att.treatment_function_code == tfc._tfc_code, "left").join(
+        hier, F.col("_hier_key") == hier._org, "inner"
+    )
+    counted = joined.groupBy("month_commencing", "treatment_function_code", "treatment_function", *code.values(), "stp_code").agg(
+        *[F.count(f"_in_{name}").alias(f"_n_{name}") for name in scopes]
+    )
+    each = F.array(
+        *[
+            F.struct(F.lit(name).alias("scope"), F.col(code[s.provider_len or 0]).alias("der_provider_code"), F.col(f"_n_{name}").alias("activity"))
+            for name, s in scopes.items()
+        ]
+    )
+    rows = counted.select("month_commencing", "treatment_function_code", "treatment_function", "stp_code", F.explode(each).alias("x"))
+    rows = rows.where(F.col("x.activity") > 0).select("x.scope", *EXTRACT_KEYS[:3], "x.der_provider_code", "stp_code", "x.activity")
+    if len(forms) > 1:  # rows of one short code under several long ones
+        rows = rows.groupBy("scope", *EXTRACT_KEYS).agg(F.sum("activity").alias("activity"))
+    return rows
+
+
+def one_scope(together: DataFrame, scope: str) -> DataFrame:
+    """One extract out of several made together."""
+    return together.where(F.col("scope") == scope).select(*EXTRACT_KEYS, "activity")
+
+
+def scope_years(spark: SparkSession, scopes: dict[str, ExtractScope]) -> DataFrame:
+    """The years of each scope as a lookup table: a few rows."""
+    rows = [(name, year) for name, s in scopes.items() for year in s.years]
+    return spark.createDataFrame(rows, "scope string, scope_year string")
+
+
+def attendances_by_scope(tables: Tables, years: DataFrame) -> DataFrame:
+    """Attendances of each scope, year and attendance type, the years coming from a lookup table.
+
+    On a fact partitioned by financial year the join prunes partitions at run time:
+    only the years in the lookup are read, whoever maintains it.
+    """
+    att = tables.attendance.select("der_financial_year", "der_activity_month", "first_attendance", "der_provider_code")
+    j = att.join(F.broadcast(years), att.der_financial_year == years.scope_year)  # a few rows for each scope
+    return j.groupBy("scope", "der_financial_year", "first_attendance").agg(
+        F.count(F.lit(1)).alias("attendances"),
+        F.countDistinct("der_activity_month").alias("months"),
+        F.countDistinct("der_provider_code").alias("providers"),
+    )
+
+
 def extract_activity_3y(tables: Tables, params: Params) -> DataFrame:
     """Three financial years, provider codes cut to 3 characters."""
     return extract_activity(tables, params, params.three_year_fys, provider_len=3)
@@ -164,7 +266,8 @@ def follow_up_tracking(tables: Tables, params: Params, *, rolled: bool = False)
     Grouped, like the source, by the raw status, attendance type, procedure
     count and cost HRG, so rows that look the same can repeat.  ``rolled``
     re-aggregates over the visible columns.  The cost join is the only
-    fact-to-fact join in the engine: a shuffle join on (opa_ident, year).
+    fact-to-fact join in the engine: a shuffle join on ``tables.cost_key``, or a
+    join of buckets without an exchange on the prepared layout.
     """
     c = F.col
     years = fin_year_dates(params.tracking_fys)
@@ -179,8 +282,7 @@ def follow_up_tracking(tables: Tables, params: Params, *, rolled: bool = False)
     )
     code = c("der_provider_code")
     att = att.select(
-        "opa_ident",
-        "der_financial_year",
+        *dict.fromkeys(("opa_ident", "der_financial_year", *tables.cost_key)),
         "der_provider_code",
         "treatment_function_code",
         "attendance_status",
@@ -190,13 +292,14 @@ def follow_up_tracking(tables: Tables, params: Params, *, rolled: bool = False)
         provider_code(code, (), exact_rules=params.tracking_key_exact, r_prefix_len=3).alias("_hier_key"),
     )
     # the join needs equal years, so only the tracking years of the cost table can match
+    ident, year = tables.cost_key
     cost = tables.fact("attendance_cost", Scope(years)).where(c("der_financial_year").isin(*params.tracking_fys)).select(
-        c("opa_ident").alias("_c_ident"), c("der_financial_year").alias("_c_fy"), "hrg_code_other"
+        c(ident).alias("_c_ident"), c(year).alias("_c_fy"), "hrg_code_other"
     )
     hier = tables.provider_hierarchy.where(c("region_code") == params.tracking_region_code).select(
         c("organisation_code").alias("_org"), "organisation_name", "stp_code", "stp_name"
     )
-    j = att.join(cost, (att.opa_ident == cost._c_ident) & (att.der_financial_year == cost._c_fy), "left")
+    j = att.join(cost, (c(ident) == cost._c_ident) & (c(year) == cost._c_fy), "left")
     # tfc_ref is joined in the source but none of its columns is used; it is unique per code
     j = j.join(hier, j._hier_key == hier._org, "inner")
     mapped_code = _tracking_case(code, params, lambda t, n: F.lit(t)).otherwise(code)

@@ -91,8 +91,11 @@ class Params:
     calendar_start: dt.date | None = dt.date(2017, 1, 1)
     calendar_end: dt.date | None = dt.date(2025, 12, 26)
     extra_holidays: tuple[str, ...] = EXTRA_HOLIDAYS_2017
-    # optional flex-month guard (commented out in the reference): drop months >= this
+    # drop months >= this
     exclude_from_month: dt.date | None = None
+    # A month of the actual year that may not be final (2023-03-01 in the reference, where the rule is switched off):
+    # while no actual month is later, it is left out of the actuals, the baseline and the year's scalars.
+    provisional_month: dt.date | None = None
 
     # -- derived values ---------------------------------------------------
     @property
@@ -103,6 +106,12 @@ class Params:
     def target_wd_fy_start_year(self) -> int:
         return int(self.target_wd_fy[:4])
 
+    @property
+    def provisional_baseline_month(self) -> dt.date:
+        """The provisional month's counterpart in the baseline year."""
+        shift = int(self.baseline_fy[:4]) - self.actual_fy_start_year
+        return self.provisional_month.replace(year=self.provisional_month.year + shift)
+
     def actual_fy_months(self) -> list[dt.date]:
         """First day of each month of the actual financial year, April first."""
         y = self.actual_fy_start_year

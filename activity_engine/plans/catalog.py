@@ -11,6 +11,7 @@ from ..functions.semantics import left_join, round_half_even
 from ..functions.text import provider_code, title_case_nhs
 from ..operators import extract as ex
 from ..operators import fairshare as fs
+from ..params import Params, test_params
 from .pipeline import Pipeline
 from .registry import QueryFn, _p, _q
 
@@ -133,14 +134,22 @@ def scalar_format(pl: Pipeline) -> DataFrame:
     )
 
 
+def provisional_params() -> tuple[Params, Params]:
+    """The last month of the actual year as the provisional one, and one that a later month has settled."""
+    p = test_params()
+    months = p.actual_fy_months()
+    return p.with_(provisional_month=months[-1]), p.with_(provisional_month=months[5])
+
+
 def build() -> dict[str, QueryFn]:
     q: dict[str, QueryFn] = {}
 
     # calendar (D1, D2, S7, S8, A10)
-    q["calendar"] = _p("calendar")
-    q["monthly_working_days"] = _p("monthly_working_days")
-    q["holiday_events"] = _p("holidays")
-    q["target_year_scalars"] = _p("target_scalars")
+    # these are made of the dates alone, so they read them
+    q["calendar"] = _p("calendar", stored_span=False)
+    q["monthly_working_days"] = _p("monthly_working_days", stored_span=False)
+    q["holiday_events"] = _p("holidays", stored_span=False)
+    q["target_year_scalars"] = _p("target_scalars", stored_span=False)
 
     # extracts (D3-D10, P6)
     q["normalise_provider"] = _p("normalise_provider")
@@ -154,6 +163,22 @@ def build() -> dict[str, QueryFn]:
     q["follow_up_tracking_rolled"] = _p("follow_up_tracking_rolled")
     q["lower_columns"] = _q(lambda pl: ex.lower_columns(ex.with_sql_headers(pl.extract)))
 
+    q["extracts_together"] = _p("extracts_together")
+
+    # the fact's laid-out copy: year partitions and buckets of the cost key
+    q["prepared_extract_activity"] = _p("extract", prepared=True)
+    q["prepared_extracts_together"] = _p("extracts_together", prepared=True)
+    q["prepared_follow_up_tracking"] = _p("follow_up_tracking", prepared=True)
+    q["prepared_attendances_by_scope"] = _p("attendances_by_scope", prepared=True)
+    q["prepared_gap_by_year"] = _p("gap_by_year", prepared=True)
+
+    # provisional month (A13): cut while it is the newest, kept once a later one is in
+    cut, kept = provisional_params()
+    for name, p in (("provisional", cut), ("settled", kept)):
+        q[f"{name}_year_scalars"] = _p("target_scalars", params=p)
+        q[f"{name}_gap_by_year"] = _p("gap_by_year", params=p)
+        q[f"{name}_fair_share"] = _p("fair_share", params=p)
+
     # provider level
     q["provider_month_totals"] = _p("provider_month_totals")
     q["join_working_days"] = _p("join_working_days")

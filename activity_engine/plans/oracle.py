@@ -316,6 +316,21 @@ WHERE planningref = {q(p.planning_ref)} AND regioncode = {q(p.region_code)} AND
             "planning",
         )
 
+        cols = "month_commencing, treatment_function_code, treatment_function, der_provider_code, stp_code, activity"
+        parts = {"actual": "extract", "three_years": "extract_3y", "excl_march": "extract_excl_march", "history": "extract_history"}
+        A("together", " UNION ALL ".join(f"SELECT {q(k)} AS scope, {cols} FROM {x}" for k, x in parts.items()), *parts.values())
+        years = {"actual": [p.actual_fy], "three_years": p.three_year_fys, "excl_march": [p.baseline_fy], "history": p.history_fys}
+        A(
+            "by_scope",
+            " UNION ALL ".join(
+                f"""SELECT {q(k)} AS scope, der_financial_year, first_attendance, count(*) AS attendances,
+       count(DISTINCT der_activity_month) AS months, count(DISTINCT der_provider_code) AS providers
+FROM att WHERE der_financial_year IN {in_list(y)} GROUP BY der_financial_year, first_attendance"""
+                for k, y in years.items()
+            ),
+            "att",
+        )
+
         # provider level (D12-D18, D26, D28-D30), for the current and the v2 method
         A(
             "pmt",
@@ -436,6 +451,25 @@ FROM (SELECT provider_code, {narm('baseline')} AS baseline, {narm('actual')} AS
                 f"scalars{sfx}",
             )
 
+        if p.provisional_month is not None:
+            self._cut_provisional_month()
+
+    def _cut_provisional_month(self) -> None:
+        """The reference's guard: if the newest month is not after the provisional one, that month goes from the
+        actuals, its counterpart from the baseline, and its working days from the year's totals."""
+        p = self.p
+        self.add("cut", f"SELECT coalesce(max(month_commencing) <= DATE {q(str(p.provisional_month))}, true) AS yes FROM extract", "extract")
+        for name, day in (("actuals", p.provisional_month), ("baseline", p.provisional_baseline_month)):
+            sql, deps = self.ctes[name]
+            kept = f"SELECT x.* FROM ({sql}) x, cut WHERE NOT cut.yes OR x.month_commencing <> DATE {q(str(day))}"
+            self.ctes[name] = (kept, (*deps, "cut"))
+        label = q(p.provisional_month.strftime("%b"))
+        self.ctes["scalars"] = (
+            f"""SELECT count(*) AS month_count, CAST(coalesce(sum(working_days), 0) AS DOUBLE) AS total_wd
+FROM mwd, cut WHERE fin_year = {q(p.target_wd_fy)} AND (NOT cut.yes OR month_name_short <> {label})""",
+            ("mwd", "cut"),
+        )
+
     def _define_specialty(self) -> None:  # noqa: C901
         p = self.p
         A = self.add
@@ -980,6 +1014,8 @@ FROM planning WHERE planningref = {q(p.planning_ref)}""",
             "gap_by_year_code": d(
                 "gap_by_year_code", ["baseline", "actual", t, "variance", "perc_variance", "variance_per_wd"]
             ),
+            "extracts_together": d("together"),
+            "prepared_attendances_by_scope": d("by_scope"),
             "normalise_provider": d("normalise"),
             "extract_activity_3y": d("extract_3y"),
             "extract_baseline_excl_march": d("extract_excl_march"),
@@ -1054,4 +1090,15 @@ FROM planning WHERE planningref = {q(p.planning_ref)}""",
 
 
 def oracle_sql() -> dict[str, str]:
-    return Oracle().queries()
+    out = Oracle().queries()
+    p = test_params()
+    months = p.actual_fy_months()
+    for name, month in (("provisional", months[-1]), ("settled", months[5])):
+        cut = Oracle(p.with_(provisional_month=month)).queries()
+        out[f"{name}_year_scalars"] = cut["target_year_scalars"]
+        out[f"{name}_gap_by_year"] = cut["gap_by_year"]
+        out[f"{name}_fair_share"] = cut["fair_share"]
+    # the laid-out copy gives what the fact itself gives
+    for name in ("extract_activity", "extracts_together", "follow_up_tracking", "gap_by_year"):
+        out[f"prepared_{name}"] = out[name]
+    return out

@@ -12,6 +12,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import calendar as cal_ops
 from ..operators import extract as ex
@@ -72,7 +73,10 @@ class Pipeline:
 
     @cached_property
     def target_scalars(self) -> DataFrame:
-        return cal_ops.year_scalars(self.monthly_working_days, self.target_fy)
+        mwd = self.monthly_working_days
+        if self.provisional is not None:
+            mwd = cal_ops.without_month(mwd, self.provisional, self.p.provisional_month.strftime("%b"), "month_name_short")
+        return cal_ops.year_scalars(mwd, self.target_fy)
 
     # -- extracts ------------------------------------------------------------
     @cached_property
@@ -81,23 +85,41 @@ class Pipeline:
 
     @cached_property
     def actuals(self) -> DataFrame:
-        a = gp.as_csv_actuals(self.extract)
-        if self.p.exclude_from_month is not None:
-            a = a.where(a.month_commencing < self.p.exclude_from_month)
-        return a
+        return self._before_excluded(gp.as_csv_actuals(self.extract))
+
+    def _before_excluded(self, actuals: DataFrame) -> DataFrame:
+        if self.p.exclude_from_month is None:
+            return actuals
+        return actuals.where(F.col("month_commencing") < self.p.exclude_from_month)
 
     @cached_property
     def baseline(self) -> DataFrame:
         return ex.planning_baseline(self.t, self.p)
 
+    # -- provisional month (A13): one condition for actuals, baseline and year scalars
+    @cached_property
+    def provisional(self):
+        month = self.p.provisional_month
+        return None if month is None else cal_ops.is_provisional(self.actuals, month)
+
+    @cached_property
+    def settled_actuals(self) -> DataFrame:
+        return cal_ops.without_month(self.actuals, self.provisional, self.p.provisional_month)
+
+    @cached_property
+    def settled_baseline(self) -> DataFrame:
+        if self.provisional is None:
+            return self.baseline
+        return cal_ops.without_month(self.baseline, self.provisional, self.p.provisional_baseline_month)
+
     # -- provider level (v3) -------------------------------------------------
     @cached_property
     def provider_month_totals(self) -> DataFrame:
-        return gp.provider_month_totals(self.actuals, self.t.acutes)
+        return gp.provider_month_totals(self.settled_actuals, self.t.acutes)
 
     @cached_property
     def rebased(self) -> DataFrame:
-        return gp.rebase_working_days(self.baseline, self.monthly_working_days, self.target_fy)
+        return gp.rebase_working_days(self.settled_baseline, self.monthly_working_days, self.target_fy)
 
     @cached_property
     def target(self) -> DataFrame:
@@ -144,7 +166,7 @@ class Pipeline:
     # -- specialty level -------------------------------------------------------
     @cached_property
     def specialty_share(self) -> DataFrame:
-        return fs.specialty_share(self.actuals, self.t.acutes, self.date_dim)
+        return fs.specialty_share(self.settled_actuals, self.t.acutes, self.date_dim)
 
     @cached_property
     def specialty_gap(self) -> DataFrame:
@@ -197,10 +219,11 @@ class Pipeline:
 
     @cached_property
     def per_day_gap_v1(self) -> DataFrame:
+        counterfactual = lg.march_counterfactual(self.v1_extract("history"), self.t.acutes, self.monthly_working_days, self.p)
         return lg.per_day_gap_v1(
-            gp.as_csv_actuals(self.extract_excl_march),
-            self.march_counterfactual,
-            self.actuals,
+            self.v1_extract("excl_march"),
+            counterfactual,
+            self._before_excluded(self.v1_extract("actual")),
             self.t,
             self.date_dim,
             self.monthly_working_days,
@@ -216,6 +239,28 @@ class Pipeline:
     def extract_3y(self) -> DataFrame:
         return ex.extract_activity_3y(self.t, self.p)
 
+    @cached_property
+    def extracts_together(self) -> DataFrame:
+        """The four extracts (D4-D7) with their scope, from one scan of the fact."""
+        return ex.extract_together(self.t, self.p, ex.extract_scopes(self.p))
+
+    @cached_property
+    def v1_extracts(self) -> DataFrame:
+        """The three extracts that the older per-day method takes, from one scan of the fact."""
+        scopes = ex.extract_scopes(self.p)
+        return ex.extract_together(self.t, self.p, {k: scopes[k] for k in ("actual", "excl_march", "history")})
+
+    def v1_extract(self, scope: str) -> DataFrame:
+        given = {"actual": "extract", "excl_march": "extract_excl_march", "history": "extract_history"}[scope]
+        # an extract that was given (from CSV) or computed before is taken as it is
+        found = self.__dict__[given] if given in self.__dict__ else ex.one_scope(self.v1_extracts, scope)
+        return gp.as_csv_actuals(found)
+
+    @cached_property
+    def attendances_by_scope(self) -> DataFrame:
+        spark = self.t.attendance.sparkSession
+        return ex.attendances_by_scope(self.t, ex.scope_years(spark, ex.extract_scopes(self.p)))
+
     @cached_property
     def extract_excl_march(self) -> DataFrame:
         return ex.extract_baseline_excl_march(self.t, self.p)

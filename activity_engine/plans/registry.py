@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..params import Params, test_params
 from ..session import configure
-from ..sources.testmap import load_tables
+from ..sources.testmap import load_tables, prepared_for
 from .pipeline import Pipeline
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -34,16 +34,23 @@ def finalize(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*cols)
 
 
-def pipeline(spark: SparkSession, sf_dir: str, params: Params | None = None) -> Pipeline:
-    """A lazy pipeline over the files that ``sf_dir`` holds now."""
+def pipeline(
+    spark: SparkSession, sf_dir: str, params: Params | None = None, *, stored_span: bool = True, prepared: bool = False
+) -> Pipeline:
+    """A lazy pipeline over the files that ``sf_dir`` holds now.
+
+    ``stored_span`` takes the calendar's range from the kept spans of the files;
+    ``prepared`` reads the fact from its laid-out copy, made when there is none.
+    """
     params = params or test_params()
     configure(spark)
-    return Pipeline(load_tables(spark, sf_dir, params), params)
+    laid_out = prepared_for(spark, sf_dir, params) if prepared else None
+    return Pipeline(load_tables(spark, sf_dir, params, prepared=laid_out, stored_span=stored_span), params)
 
 
-def _p(attr: str, v2: bool = False) -> QueryFn:
+def _p(attr: str, v2: bool = False, params: Params | None = None, **how: bool) -> QueryFn:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        pl = pipeline(spark, sf_dir)
+        pl = pipeline(spark, sf_dir, params, **how)
         if v2:
             pl = pl.variant_v2()
         return finalize(getattr(pl, attr))

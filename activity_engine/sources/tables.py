@@ -37,6 +37,8 @@ class Tables:
     rule-based holidays, or None (then only ``Params.extra_holidays``).
     ``source(name, scope)``, where given, rebuilds a fact table with the scope
     as predicates on its stored columns; a query still applies its own filters.
+    ``calendar_range``, where given, is the range itself, from stored metadata.
+    ``cost_key`` names the columns that join attendance and its cost.
     """
 
     attendance: DataFrame
@@ -51,6 +53,8 @@ class Tables:
     holidays: object = None
     calendar_bounds: DataFrame | None = None
     source: Callable[[str, Scope], DataFrame] | None = None
+    calendar_range: tuple[dt.date | None, dt.date | None] | None = None
+    cost_key: tuple[str, str] = ("opa_ident", "der_financial_year")
 
     def fact(self, name: str, scope: Scope) -> DataFrame:
         """The named fact table, with at least the rows in ``scope``."""

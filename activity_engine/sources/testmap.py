@@ -9,6 +9,7 @@ and pushes each query's predicates below the fact joins.
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import cached_property, reduce
 from operator import or_
 
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import activity_month, fin_year, first_of_month, fy_start_year
 from ..params import Params
+from ..session import checkpoint_dir
+from .layout import BUCKET_KEY, DateSpans, PreparedFact, state_of
 from .tables import Scope, Tables
 
 # Fixed values of the mapping (FIXTURES.md section 2).
@@ -38,6 +41,7 @@ MISPLACED_NATION, MISPLACED_STP = 5, "Q1"  # provider lookup row with a wrong ST
 UNLISTED_NATION = 10  # left out of the provider lookup
 NON_SE_REGION = 4
 FIRST_REGION_CODE_KEYS = (0, 1, 2)  # region code 'Y0', others 'Y1'
+BUCKETS = 8  # of the prepared fact, unless stated
 
 
 def _map(col: Column, pairs) -> Column:
@@ -174,24 +178,35 @@ class MappedTables(Tables):
 
     holidays = staticmethod(rule_holidays)
 
-    def __init__(self, spark: SparkSession, sf_dir: str, prepared: str | None = None):
+    def __init__(self, spark: SparkSession, sf_dir: str, prepared: PreparedFact | None = None, stored_span: bool = False):
         # the prepared layout is pruned by its year partitions, the derived one by predicates on stored columns
-        self.__dict__.update(_raw=_Raw(spark, sf_dir), _spark=spark, _prepared=prepared, source=None if prepared else self._narrowed)
+        self.__dict__.update(_raw=_Raw(spark, sf_dir), _spark=spark, _prepared=prepared, _stored_span=stored_span)
+        self.__dict__.update(source=self._narrowed if prepared is None else None)
+        if prepared is not None:
+            self.__dict__.update(cost_key=BUCKET_KEY)
 
     @cached_property
     def attendance(self) -> DataFrame:
         if self._prepared:
-            return self._spark.read.parquet(f"{self._prepared}/attendance").select(*ATTENDANCE_COLUMNS)
+            return self._prepared.table("attendance").select(*ATTENDANCE_COLUMNS, "year_key")
         return self._narrowed("attendance", Scope())
 
     @cached_property
     def attendance_cost(self) -> DataFrame:
         if self._prepared:
-            return self._spark.read.parquet(f"{self._prepared}/attendance_cost").select(
-                "opa_ident", "der_financial_year", "hrg_code_other"
-            )
+            return self._prepared.table("attendance_cost").select("opa_ident", "der_financial_year", "year_key", "hrg_code_other")
         return self._narrowed("attendance_cost", Scope())
 
+    @cached_property
+    def calendar_range(self) -> tuple[dt.date | None, dt.date | None] | None:
+        """The financial years that cover the fact's dates, from the spans kept for its files."""
+        if not self._stored_span:
+            return None
+        low, high = DateSpans(self._spark).of(f"{self._raw.sf_dir}/lineitem.parquet", "l_shipdate", SCHEMAS["lineitem"])
+        if low is None:
+            return None, None
+        return dt.date(low.year - (low.month < 4), 4, 1), dt.date(high.year + (high.month >= 4), 3, 31)
+
     @cached_property
     def planning(self) -> DataFrame:
         return self._narrowed("planning", Scope())
@@ -331,27 +346,39 @@ class MappedTables(Tables):
         )
 
 
-def load_tables(spark: SparkSession, sf_dir: str, params: Params | None = None, *, prepared: str | None = None) -> Tables:
+def load_tables(
+    spark: SparkSession, sf_dir: str, params: Params | None = None, *, prepared: str | None = None, stored_span: bool = False
+) -> Tables:
     """The logical tables over ``sf_dir``.
 
     ``prepared`` is a folder written by ``prepare_fact``: attendance and cost
     are then read from it (partitioned by financial year, so the extracts'
     year filters prune partitions) instead of being derived per query.
+    ``stored_span`` takes the calendar's range from the kept spans of the files.
     """
-    return MappedTables(spark, sf_dir, prepared)
+    laid_out = PreparedFact(spark, prepared, BUCKETS) if prepared else None
+    return MappedTables(spark, sf_dir, laid_out, stored_span)
 
 
-def prepare_fact(spark: SparkSession, sf_dir: str, out: str, params: Params | None = None) -> str:
-    """Write the derived attendance and cost tables once, partitioned by financial year.
+def prepare_fact(spark: SparkSession, sf_dir: str, out: str, params: Params | None = None, buckets: int | None = None) -> str:
+    """Write the derived attendance and cost tables once, partitioned by financial year and bucketed by the cost key.
 
     This is the layout the real attendance fact has at scale: every extract
     filters on the financial year, which then prunes partitions instead of
-    running a post-scan filter behind the four-table derivation.  Each task
-    writes one file per year it holds (no repartition by the year: a year is a
-    seventh of the data and would be one task).  ``out`` must be on the shared
-    file system (e.g. under ``spark.checkpoint.dir``).
+    running a post-scan filter behind the four-table derivation, and the cost
+    join reads matching buckets.  ``buckets`` should make a year's bucket some
+    hundred MB.  ``out`` must be on the shared file system.
     """
     t = load_tables(spark, sf_dir, params)
-    t.attendance.write.mode("overwrite").partitionBy("der_financial_year").parquet(f"{out}/attendance")
-    t.attendance_cost.write.mode("overwrite").partitionBy("der_financial_year").parquet(f"{out}/attendance_cost")
+    PreparedFact(spark, out, buckets or BUCKETS).write(attendance=t.attendance, attendance_cost=t.attendance_cost)
+    return out
+
+
+def prepared_for(spark: SparkSession, sf_dir: str, params: Params | None = None) -> str:
+    """The folder of the prepared fact for the present state of the files; written when there is none yet."""
+    tables = ("lineitem", "orders", "part", "supplier")
+    state = state_of(spark, *[f"{sf_dir}/{name}.parquet" for name in tables])
+    out = f"{checkpoint_dir(spark)}/prepared-fact-{state}"
+    if not PreparedFact(spark, out, BUCKETS).complete:
+        prepare_fact(spark, sf_dir, out, params)
     return out
