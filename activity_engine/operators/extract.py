@@ -178,12 +178,13 @@ def scope_years(spark: SparkSession, scopes: dict[str, ExtractScope]) -> DataFra
     return spark.createDataFrame(rows, "scope string, scope_year string")
 
 
-def attendances_by_scope(tables: Tables, years: DataFrame) -> DataFrame:
-    """Attendances of each scope, year and attendance type, the years coming from a lookup table.
+def attendances_by_scope(tables: Tables, years: DataFrame, scopes: Sequence[str]) -> DataFrame:
+    """Attendances of the wanted scopes by year and attendance type, their years coming from a lookup table.
 
     On a fact partitioned by financial year the join prunes partitions at run time:
-    only the years in the lookup are read, whoever maintains it.
+    only the years that the lookup has for these scopes are read, whoever maintains it.
     """
+    years = years.where(F.col("scope").isin(*scopes))
     att = tables.attendance.select("der_financial_year", "der_activity_month", "first_attendance", "der_provider_code")
     j = att.join(F.broadcast(years), att.der_financial_year == years.scope_year)  # a few rows for each scope
     return j.groupBy("scope", "der_financial_year", "first_attendance").agg(

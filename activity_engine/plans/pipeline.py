@@ -259,7 +259,8 @@ class Pipeline:
     @cached_property
     def attendances_by_scope(self) -> DataFrame:
         spark = self.t.attendance.sparkSession
-        return ex.attendances_by_scope(self.t, ex.scope_years(spark, ex.extract_scopes(self.p)))
+        scopes = ex.extract_scopes(self.p)
+        return ex.attendances_by_scope(self.t, ex.scope_years(spark, scopes), list(scopes))
 
     @cached_property
     def extract_excl_march(self) -> DataFrame:

@@ -56,22 +56,6 @@ def test_calendar_queries_read_the_dates_of_the_fact(spark, name):
     assert "l_shipdate" in executed(QUERIES[name](spark, SF_SMALL))
 
 
-def test_a_later_file_widens_the_calendar_in_one_session(spark, tmpdir_path):
-    import datetime as dt
-    import shutil
-
-    from pyspark.sql import functions as F
-
-    folder = f"{tmpdir_path}/tables"
-    shutil.copytree(SF_SMALL, folder)
-    lines = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
-    before = QUERIES["calendar"](spark, folder).agg(F.max("date")).first()[0]
-    late = lines.limit(1).withColumn("l_shipdate", F.lit("2012-01-15").cast("timestamp_ntz"))
-    late.unionByName(lines).write.mode("overwrite").parquet(f"{folder}/lineitem.parquet")
-    assert before == dt.date(2002, 3, 31)
-    assert QUERIES["calendar"](spark, folder).agg(F.max("date")).first()[0] == dt.date(2012, 3, 31)
-
-
 def test_a_month_without_a_pivot_column_fails(spark):
     from activity_engine.operators.gap import months_wide
 
