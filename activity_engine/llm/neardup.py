@@ -2,17 +2,20 @@
 
 1. Each text's set of word shingles is hashed; its minhash signature is cut into
    bands. Texts with one set are one class, and only classes go on.
-2. In each band's bucket every class is paired with the bucket's smallest (its
-   hub): as many pairs as members, never all pairs of a group.
-3. A pair's signatures are compared batch by batch. After each batch it is
-   pruned if a pair at the threshold has so few matches with probability below
-   MISS divided by the number of batches, so that all batches together prune
-   such a pair with probability below MISS. Survivors are verified exactly on
-   their full shingle sets.
+2. Every class is paired with the smallest class beside it in any band's bucket
+   (its hub): one pair for a class, never all pairs of a group.
+3. A pair's signatures are compared batch by batch. With a uniform prior on the
+   similarity, m matches of n hashes give it a beta posterior; the pair is pruned
+   once the posterior probability of reaching the threshold is below a limit.
+   The limit is the largest power of a half with which all batches together prune
+   a pair at the threshold with probability below MISS. Survivors are verified
+   exactly on their full shingle sets.
 4. Linked classes merge. Classes of buckets that still hold several components
    are the rest: they are compared in bounded blocks, block against block, and
    every pair that shares a bucket and isn't connected yet is pruned or verified
-   the same way. So no candidate pair between components stays unexamined.
+   the same way. So no candidate pair between components stays unexamined. Only
+   the sets are sent to the blocks; signatures are made again there. Survivors of
+   one class are verified together, by counting its shingles' postings.
 
 Bands are chosen so that a pair at the threshold shares none with probability
 below MISS.
@@ -67,16 +70,33 @@ class Settings:
         return 1, self.most
 
 
-def least_matches(threshold: float, n: int, miss: float = MISS) -> int:
-    """Fewest matches of n with which a pair goes on: one at the threshold has fewer with a probability of ``miss`` at most."""
-    total = 0.0
+def least_matches(threshold: float, n: int, limit: float = MISS) -> int:
+    """Fewest matches of n with which a pair goes on: P(similarity >= threshold | matches) is ``limit`` at least.
+
+    With a uniform prior the posterior is Beta(m + 1, n - m + 1), and its tail above
+    the threshold is the chance of m successes or fewer in n + 1 trials.
+    """
+    posterior = 0.0
     for m in range(n + 1):
-        total += math.comb(n, m) * threshold**m * (1 - threshold) ** (n - m)
-        if total > miss:
+        posterior += math.comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
+        if posterior >= limit:
             return m
     return n
 
 
+def missed(threshold: float, steps: list[int], least: list[int]) -> float:
+    """Probability that a pair at the threshold is pruned by any of the checks."""
+    alive, done, lost = {0: 1.0}, 0, 0.0
+    for n, m in zip(steps, least, strict=True):
+        new = [0.0] * (n + 1)
+        for x, p in alive.items():
+            for k in range(n - done + 1):
+                new[x + k] += p * math.comb(n - done, k) * threshold**k * (1 - threshold) ** (n - done - k)
+        lost += math.fsum(new[:m])
+        alive, done = {x: new[x] for x in range(m, n + 1)}, n
+    return lost
+
+
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text in order, one text after another, and where each begins."""
     data, offsets = buffer(texts)
@@ -116,6 +136,13 @@ def signatures(sets: np.ndarray, begins: np.ndarray, hashes: int, step: int = 1
     return out
 
 
+def band_keys(sig: np.ndarray, rows_in_band: int, bands: int) -> np.ndarray:
+    """Each signature's bucket in each band, one row for a signature."""
+    at = np.arange(len(sig)) * rows_in_band
+    each = (sig[:, b * rows_in_band : (b + 1) * rows_in_band].astype(np.uint64).ravel() + np.uint64(b << 32) for b in range(bands))
+    return np.stack([window_hash(x, at, rows_in_band) for x in each], axis=1)
+
+
 def profiles(docs: DataFrame, settings: Settings) -> DataFrame:
     """(doc_id, text_hash, set_id, n_shingles, signature, bands): set_id hashes the whole set (null if it is empty)."""
     rows_in_band, bands = settings.bands()
@@ -125,14 +152,7 @@ def profiles(docs: DataFrame, settings: Settings) -> DataFrame:
         n = np.diff(begins)
         own = np.flatnonzero(n)
         sig = signatures(sets, begins, rows_in_band * bands)
-        keys = [
-            window_hash(
-                sig[:, b * rows_in_band : (b + 1) * rows_in_band].astype(np.uint64).ravel() + np.uint64(b << 32),
-                np.arange(len(own)) * rows_in_band,
-                rows_in_band,
-            )
-            for b in range(bands)
-        ]
+        keys = band_keys(sig, rows_in_band, bands)
         place = np.full(len(n), -1)
         place[own] = np.arange(len(own))
         take = pa.array(place, mask=place < 0)
@@ -143,7 +163,7 @@ def profiles(docs: DataFrame, settings: Settings) -> DataFrame:
         ]
         width = 4 * rows_in_band * bands
         packed = pa.Array.from_buffers(pa.binary(width), len(own), [None, pa.py_buffer(sig.tobytes())])
-        lists = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(keys, axis=1).ravel().view(np.int64)), bands)
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel().view(np.int64)), bands)
         return {
             "doc_id": part.column("doc_id"),
             "text_hash": part.column("text_hash"),
@@ -160,8 +180,11 @@ def profiles(docs: DataFrame, settings: Settings) -> DataFrame:
 def checks(settings: Settings, batch: int = 16) -> tuple[list[int], list[int]]:
     """After how many hashes a pair is judged, and the fewest matches with which it goes on."""
     rows_in_band, bands = settings.bands()
-    steps = [*range(batch, rows_in_band * bands, batch), rows_in_band * bands]
-    return steps, [least_matches(settings.percent / 100, n, MISS / len(steps)) for n in steps]
+    steps, t = [*range(batch, rows_in_band * bands, batch), rows_in_band * bands], settings.percent / 100
+    limit = 0.5
+    while missed(t, steps, least := [least_matches(t, n, limit) for n in steps]) > MISS:
+        limit /= 2
+    return steps, least
 
 
 def pruned(pairs: DataFrame, settings: Settings) -> DataFrame:
@@ -230,7 +253,7 @@ def class_links(classes: DataFrame, docs: DataFrame, settings: Settings) -> Data
     which = classes.select("rep", "least.doc_id", "least.text_hash").join(needed, "rep", "left_semi")
     texts = docs.join(which, ["doc_id", "text_hash"]).select("rep", "text")
     sets = map_texts(texts, "text", "rep long, set binary", rows).distinct().checkpoint()
-    stars = buckets.filter(F.col("rep") > F.col("hub")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = buckets.filter(F.col("rep") > F.col("hub")).groupBy(F.col("rep").alias("b")).agg(F.min("hub").alias("a"))
     links = verified(stars, classes, sets, settings).checkpoint()
     found = components(links, "a", "b").checkpoint()
 
@@ -239,10 +262,10 @@ def class_links(classes: DataFrame, docs: DataFrame, settings: Settings) -> Data
     )
     several = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
     left = at.join(several.select("key"), "key", "left_semi").checkpoint()
-    return components(links.union(rest_links(left, classes, sets, settings)), "a", "b")
+    return components(links.union(rest_links(left, sets, settings)), "a", "b")
 
 
-def rest_links(left: DataFrame, classes: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+def rest_links(left: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
     """(a, b): links between components that still share a bucket; ``left`` has key, hub, rep and component.
 
     Classes that buckets connect form a cluster, dealt into blocks. Each pair of
@@ -251,13 +274,7 @@ def rest_links(left: DataFrame, classes: DataFrame, sets: DataFrame, settings: S
     new is left out, so a group gives no more rows than it has classes.
     """
     clusters = components(left.select("hub", "rep"), "hub", "rep").withColumnsRenamed({"id": "rep", "component": "cluster"})
-    items = (
-        left.select("rep", "component")
-        .distinct()
-        .join(clusters, "rep")
-        .join(classes.select("rep", "signature", "bands"), "rep")
-        .join(sets, "rep")
-    )
+    items = left.select("rep", "component").distinct().join(clusters, "rep").join(sets, "rep")
     sizes = items.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.octet_length("set")).alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ITEMS), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1))
     dealt = (
@@ -268,30 +285,27 @@ def rest_links(left: DataFrame, classes: DataFrame, sets: DataFrame, settings: S
             "cluster",
             F.least("block", "other").alias("i"),
             F.greatest("block", "other").alias("j"),
-            *("block", "rep", "component", "signature", "bands", "set"),
+            *("block", "rep", "component", "set"),
         )
     )
-    _, bands = settings.bands()
+    rows_in_band, bands = settings.bands()
     steps, least = checks(settings)
 
     def compare(group: pa.Table) -> pa.Table:
-        rep, component = (np.asarray(group.column(c)) for c in ("rep", "component"))
-        signature = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(len(rep), -1)
-        keys = np.asarray(group.column("bands").combine_chunks().flatten()).reshape(len(rep), bands)
+        rep, component = np.asarray(group.column("rep")), np.asarray(group.column("component")).copy()
         own = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
         n = np.array([len(x) for x in own])
+        signature = signatures(np.concatenate(own), np.append(0, np.cumsum(n)), rows_in_band * bands)
+        keys = band_keys(signature, rows_in_band, bands)
         block, i, j = (np.asarray(group.column(c)) for c in ("block", "i", "j"))
         left_side, right_side = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        root = dict.fromkeys(component.tolist())
-
-        def find(x: int) -> int:
-            while root[x] is not None:
-                x = root[x]
-            return x
-
+        # postings: which of the right side's classes have a shingle
+        shingle, owner = np.concatenate([own[k] for k in right_side]), np.repeat(right_side, n[right_side])
+        order = np.argsort(shingle, kind="stable")
+        shingle, owner = shingle[order], owner[order]
         a, b = [], []
         for x in left_side.tolist():
-            y = right_side[(component[right_side] != component[x])]
+            y = right_side[component[right_side] != component[x]]
             if i[0] == j[0]:
                 y = y[y > x]
             y = y[100 * np.minimum(n[y], n[x]) >= settings.percent * np.maximum(n[y], n[x])]
@@ -300,17 +314,17 @@ def rest_links(left: DataFrame, classes: DataFrame, sets: DataFrame, settings: S
             for upto, m in zip(steps, least, strict=True):
                 matches += (signature[y, done:upto] == signature[x, done:upto]).sum(axis=1)
                 y, matches, done = y[matches >= m], matches[matches >= m], upto
-            here = find(int(component[x]))
-            for k in y.tolist():
-                there = find(int(component[k]))
-                if there == here:
-                    continue
-                at = np.minimum(np.searchsorted(own[x], own[k]), len(own[x]) - 1)
-                both = int((own[x][at] == own[k]).sum())
-                if 100 * both >= settings.percent * (n[x] + n[k] - both):
+            if not len(y):
+                continue
+            begin, end = np.searchsorted(shingle, own[x]), np.searchsorted(shingle, own[x], side="right")
+            each = end - begin
+            at = np.repeat(begin - np.cumsum(each) + each, each) + np.arange(each.sum())
+            both = np.bincount(owner[at], minlength=len(rep))[y]
+            for k in y[100 * both >= settings.percent * (n[x] + n[y] - both)].tolist():
+                if component[k] != component[x]:  # a link that joins nothing new is left out
                     a.append(int(rep[x]))
                     b.append(int(rep[k]))
-                    root[there] = here
+                    component[component == component[k]] = component[x]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return dealt.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
