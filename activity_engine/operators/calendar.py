@@ -156,6 +156,16 @@ def trimmed_working_days(mwd: DataFrame) -> DataFrame:
     return mwd.select("month_commencing", "month_name_short", "fin_year", "working_days")
 
 
+def activity_by_working_day(attendance: DataFrame, cal: DataFrame) -> DataFrame:
+    """Attendances by calendar month and kind of day; dates outside the calendar's range have no labels."""
+    per_day = attendance.groupBy("appointment_date").agg(F.count(F.lit(1)).alias("attendances"))
+    labels = cal.select("date", "fin_year", "fin_month", "month_name_short", "working_day")
+    j = left_join(per_day, labels, {"appointment_date": "date"}, broadcast=True)
+    return j.groupBy("fin_year", "fin_month", "month_name_short", "working_day").agg(
+        F.sum("attendances").alias("attendances"), F.count(F.lit(1)).alias("days")
+    )
+
+
 def year_working_days(mwd: DataFrame, fin_year_label: str, name: str = "working_days_target") -> DataFrame:
     """Working days of each month of one financial year, keyed by month label."""
     return mwd.where(F.col("fin_year") == fin_year_label).select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dates import month_of_fin_month
 from ..functions.semantics import left_join, listed, pivot_strict, ratio, round_half_even, strict_sum, union_distinct
 from ..params import Params
 from ..sources.tables import Tables
@@ -60,7 +61,25 @@ def march_counterfactual(history: DataFrame, acutes: DataFrame, mwd: DataFrame,
     )
 
 
-def per_day_gap_v1(
+def per_day_long_v1(rows: DataFrame, params: Params) -> DataFrame:
+    """D34 in long form: the distinct rows with the wide form's variance appended as a
+    period of its own, and the date of the actual year's month that each belongs to."""
+    variance = v1_wide(rows, params).select(
+        "fin_month", "month", "provider", "icb", F.col("variance").alias("activity"), F.lit("variance").alias("period")
+    )
+    return union_distinct(rows, variance).withColumn(
+        "month_of_actual", month_of_fin_month(F.col("fin_month"), params.actual_fy_start_year)
+    )
+
+
+def v1_wide(rows: DataFrame, params: Params) -> DataFrame:
+    """The rows with a column for each period; ``variance = actual - ambition``."""
+    label = params.v2_target_label
+    wide = pivot_strict(rows, ["fin_month", "month", "provider", "icb"], "period", ["baseline", "actual", label], "activity")
+    return wide.withColumn("variance", F.col("actual") - F.col(label))
+
+
+def per_day_rows_v1(
     baseline_excl_march: DataFrame,
     march_cf: DataFrame,
     actuals: DataFrame,
@@ -69,8 +88,7 @@ def per_day_gap_v1(
     mwd: DataFrame,
     params: Params,
 ) -> DataFrame:
-    """Baseline, actual and ambition per working day of their own month, by
-    month label, provider and system; ``variance = actual - ambition``.
+    """The stacked rows of D34: activity per working day by month label, provider, system and period.
 
     The provider lookup is matched on the code alone (this method predates the
     composite lookup); each row keeps its own STP.
@@ -86,7 +104,7 @@ def per_day_gap_v1(
     rows = left_join(rows, pl, {"der_provider_code": "provider_code"})
     sl = tables.system_lookup.select("stp_code", "short_name")
     rows = left_join(rows, sl, ["stp_code"])
-    rows = rows.select(
+    return rows.select(
         "fin_month",
         F.col("month_name_short").alias("month"),
         F.col("provider_short_name").alias("provider"),
@@ -94,8 +112,6 @@ def per_day_gap_v1(
         "activity",
         "period",
     )
-    wide = pivot_strict(rows, ["fin_month", "month", "provider", "icb"], "period", ["baseline", "actual", label], "activity")
-    return wide.withColumn("variance", F.col("actual") - F.col(label))
 
 
 def specialty_split_v1(actuals: DataFrame, tables: Tables, mwd: DataFrame, params: Params) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates as fd
@@ -12,8 +15,11 @@ from ..functions.text import provider_code, title_case_nhs
 from ..operators import extract as ex
 from ..operators import fairshare as fs
 from ..params import Params, test_params
+from ..session import checkpoint_dir
+from ..sinks.writers import ORDER, add_tracking, manifest, publish, published, ranked, tracking_table, write_table
+from ..sources import files
 from .pipeline import Pipeline
-from .registry import QueryFn, _p, _q
+from .registry import QueryFn, _p, _q, finalize, pipeline
 
 
 # -- join-level queries (J1-J17) -------------------------------------------------
@@ -134,6 +140,79 @@ def scalar_format(pl: Pipeline) -> DataFrame:
     )
 
 
+# -- sinks and files read back (K2-K4, O1-O3, S1-S5) --------------------------------------
+def _ordered(attr: str, order: str) -> QueryFn:
+    """A final table with each row's place in its order, after rounding (so that equal values tie)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return ranked(finalize(getattr(pipeline(spark, sf_dir), attr)), ORDER[order])
+
+    return run
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def tracking_in_batches(pl: Pipeline) -> DataFrame:
+    """K4: the tracking table from one batch for each tracking year, merged by key; the last batch is added twice."""
+    spark = pl.t.attendance.sparkSession
+    path = _scratch(spark, "tracking")
+    fys = pl.p.tracking_fys
+    for fy in (*fys, fys[-1]):
+        one = ex.follow_up_tracking(pl.t, pl.p.with_(tracking_fys=(fy,)))
+        add_tracking(one, path, fy.replace("/", "-"))
+    return tracking_table(spark, path, one.columns)
+
+
+def published_specialty_table(pl: Pipeline) -> DataFrame:
+    """K2: the systems' specialty tables as a reader of the published folder gets them, with the manifest's counts."""
+    spark = pl.t.attendance.sparkSession
+    root, day = _scratch(spark, "published"), dt.date(2024, 1, 31)
+    publish(spark, finalize(pl.system_report("specialty_table")), root, "systems", day)
+    rows = published(spark, root, "systems", day)
+    counts = manifest(spark, root).where("rows > 0").select("report", F.col("rows").alias("report_rows"))
+    # one row for each report: regions and systems
+    return rows.withColumn("report", F.col("report").cast("string")).join(F.broadcast(counts), "report")
+
+
+def _csv_of_extract(pl: Pipeline) -> str:
+    """The actuals extract as the reference's CSV file, with cells that can't be read: text in place of every third
+    count, and an impossible date for counts of 2, 6, 10 and so on."""
+    path = _scratch(pl.t.attendance.sparkSession, "extract-csv")
+    e = pl.extract
+    bad = e.withColumn("text", F.when(F.col("activity") % 3 == 0, F.lit("n/a")).otherwise(F.col("activity").cast("string")))
+    bad = bad.withColumn(
+        "day", F.when(F.col("activity") % 4 == 2, F.lit("31/02/1999")).otherwise(F.date_format("month_commencing", "dd/MM/yyyy"))
+    )
+    out = bad.select(
+        F.col("day").alias("Month_commencing"),
+        F.col("treatment_function_code").alias("Treatment_Function_Code"),
+        F.col("treatment_function").alias("Treatment_Function"),
+        F.col("der_provider_code").alias("Der_Provider_Code"),
+        F.col("stp_code").alias("STP_Code"),
+        F.col("text").alias("Activity"),
+    )
+    write_table(out, path, fmt="csv")
+    return path
+
+
+def csv_extract_activity(pl: Pipeline) -> DataFrame:
+    """The extract read back from CSV; what can't be read is NULL."""
+    return files.read_activity_csv(pl.t.attendance.sparkSession, _csv_of_extract(pl))
+
+
+def csv_problems(pl: Pipeline) -> DataFrame:
+    """What could not be read, by column and text."""
+    found = files.csv_problems(pl.t.attendance.sparkSession, _csv_of_extract(pl), files.ACTIVITY_SCHEMA)
+    return found.groupBy("col", "expected", "actual").agg(F.count(F.lit(1)).alias("cells"), F.countDistinct("file", "row").alias("records"))
+
+
+def fixed_calendar_params() -> Params:
+    """A calendar of fixed dates that ends within a December, as the reference's does, inside the data's span."""
+    return test_params().with_(calendar_start=dt.date(1996, 1, 1), calendar_end=dt.date(2000, 12, 26))
+
+
 def provisional_params() -> tuple[Params, Params]:
     """The last month of the actual year as the provisional one, and one that a later month has settled."""
     p = test_params()
@@ -226,6 +305,21 @@ def build() -> dict[str, QueryFn]:
         q[f"report_system_{table}"] = _q(lambda pl, table=table: pl.system_report(table))
         q[f"report_trust_{table}"] = _q(lambda pl, table=table: pl.trust_report(table))
 
+    # orders (O1-O3), published and incremental tables (K2-K4), files read back
+    for attr, order in (
+        ("extract", "extract"), ("monthly_working_days", "monthly_working_days"), ("gap_by_month", "gap_by_month"),
+        ("cohort_rows", "cohort_rows"), ("fair_share", "fair_share"), ("gap_per_day_wide", "wide_by_april"),
+        ("specialty_gap_per_day_wide", "wide_by_april"), ("baseline", "planning_baseline"),
+    ):
+        q[f"ordered_{attr}"] = _ordered(attr, order)
+    q["tracking_in_batches"] = _q(tracking_in_batches)
+    q["published_specialty_table"] = _q(published_specialty_table)
+    q["csv_extract_activity"] = _q(csv_extract_activity)
+    q["csv_problems"] = _q(csv_problems)
+    q["activity_by_working_day"] = _p("activity_by_working_day", params=fixed_calendar_params())
+    q["per_day_long_v1"] = _p("per_day_long_v1")
+    q["dq_duplicated_cells"] = _p("dq_duplicated_cells")
+
     # data quality (D11, R guard)
     q["dq_months_reported"] = _p("dq_months_reported")
     q["dq_pivot_duplicates"] = _p("dq_pivot_duplicates")

@@ -82,7 +82,7 @@ def from_files(
     is used when there is no holiday file.
     """
     hol = files.read_holidays(spark, holidays_json) if holidays_json else holidays
-    return from_frames(
+    pl = from_frames(
         spark,
         files.read_activity_csv(spark, actuals_csv),
         files.read_baseline_csv(spark, baseline_csv),
@@ -94,3 +94,8 @@ def from_files(
         history=files.read_activity_csv(spark, history_csv) if history_csv else None,
         excl_march=files.read_activity_csv(spark, excl_march_csv) if excl_march_csv else None,
     )
+    activity = [x for x in (actuals_csv, three_years_csv, history_csv, excl_march_csv) if x]
+    pl.problems = files.csv_problems(spark, baseline_csv, files.BASELINE_SCHEMA)
+    for path in activity:
+        pl.problems = pl.problems.unionByName(files.csv_problems(spark, path, files.ACTIVITY_SCHEMA))
+    return pl

@@ -9,6 +9,8 @@ then a final SELECT that rounds doubles to 6 decimals like ``finalize``.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from ..params import FIN_MONTHS, Params, test_params
 from ..sources import testmap as tm
 
@@ -105,6 +107,22 @@ def rounded(cols) -> str:
     ) + ")"
 
 
+#: Columns from left to right of the tables that have a final order; ties are broken in this order.
+COLUMNS = {
+    "extract": ["month_commencing", "treatment_function_code", "treatment_function", "der_provider_code", "stp_code", "activity"],
+    "monthly_working_days": ["month_name_short", "month_num", "year_num", "month_commencing", "fin_year", "fin_month", "working_days"],
+    "gap_by_month": ["month_name_short", "fin_month", "provider_code", "baseline", "actual", "target", "variance"],
+    "cohort_rows": ["month_name_short", "fin_month", "icb", "provider", "treatment_function_code", "treatment_function",
+                    "speciality_activity", "total_activity", "baseline", "target", "variance", "proportion_of_total",
+                    "cohort_activity", "cohort_proportion", "monthly_reduction"],
+    "fair_share": ["icb", "provider", "treatment_function", "avg_monthly_activity", "share_of_monthly_variance",
+                   "avg_activity_per_wd", "share_of_daily_variance"],
+    "gap_per_day_wide": ["icb", "provider", *FIN_MONTHS],
+    "specialty_gap_per_day_wide": ["icb", "provider", "treatment_function", *FIN_MONTHS],
+    "baseline": ["orgcode", "orgtype", "month_commencing", "value"],
+}
+
+
 class Oracle:
     def __init__(self, p: Params | None = None):
         self.p = p or test_params()
@@ -227,11 +245,10 @@ FROM nation WHERE n_nationkey <> 10""",
         A("acutes", f"SELECT 'R' || {nn('n_nationkey')} AS provider_code FROM nation WHERE n_nationkey < 20")
 
         # calendar (D1, D2)
-        A(
-            "cal_bounds",
-            f"""SELECT make_date({fy_start('lo')}, 4, 1) AS start_date, make_date({fy_start('hi')} + 1, 3, 31) AS end_date
-FROM (SELECT min(CAST(l_shipdate AS DATE)) AS lo, max(CAST(l_shipdate AS DATE)) AS hi FROM lineitem) s""",
-        )
+        span = f"""SELECT make_date({fy_start('lo')}, 4, 1) AS start_date, make_date({fy_start('hi')} + 1, 3, 31) AS end_date
+FROM (SELECT min(CAST(l_shipdate AS DATE)) AS lo, max(CAST(l_shipdate AS DATE)) AS hi FROM lineitem) s"""
+        fixed = f"SELECT DATE {q(str(p.calendar_start))} AS start_date, DATE {q(str(p.calendar_end))} AS end_date"
+        A("cal_bounds", span if p.calendar_start is None else fixed)
         extra = " UNION ALL ".join(f"SELECT DATE {q(d)} AS date" for d in p.extra_holidays) or "SELECT NULL::DATE AS date WHERE false"
         A(
             "holidays",
@@ -741,6 +758,19 @@ UNION SELECT month_commencing, der_provider_code, stp_code, activity * CAST({p.t
             "v1_base",
             "v1_act",
         )
+        A(
+            "v1_named",
+            """SELECT c.fin_month, c.month_name_short AS month, pl.provider_short_name AS provider, sl.short_name AS icb,
+       r.activity, r.period
+FROM v1_rows r
+LEFT JOIN calendar c ON r.month_commencing IS NOT DISTINCT FROM c.date
+LEFT JOIN provider_lookup pl ON r.der_provider_code IS NOT DISTINCT FROM pl.provider_code
+LEFT JOIN system_lookup sl ON r.stp_code IS NOT DISTINCT FROM sl.stp_code""",
+            "v1_rows",
+            "calendar",
+            "provider_lookup",
+            "system_lookup",
+        )
         A(
             "v1_wide",
             f"""SELECT *, actual - {amb} AS variance FROM (
@@ -1074,6 +1104,38 @@ FROM planning WHERE planningref = {q(p.planning_ref)}""",
                 )
                 for kind in ("system", "trust")
             },
+            "csv_extract_activity": self.build(
+                """SELECT CASE WHEN activity % 4 <> 2 THEN month_commencing END AS month_commencing, treatment_function_code,
+  treatment_function, der_provider_code, stp_code, CASE WHEN activity % 3 <> 0 THEN CAST(activity AS DOUBLE) END AS activity
+FROM extract""",
+                "extract",
+            ),
+            "csv_problems": self.build(
+                """SELECT 'activity' AS col, 'a double' AS expected, 'n/a' AS actual, count(*) AS cells, count(*) AS records
+FROM extract WHERE activity % 3 = 0 HAVING count(*) > 0
+UNION ALL
+SELECT 'month_commencing', 'date like %d/%m/%Y', '31/02/1999', count(*), count(*)
+FROM extract WHERE activity % 4 = 2 HAVING count(*) > 0""",
+                "extract",
+            ),
+            "per_day_long_v1": self.build(
+                f"""SELECT fin_month, month, provider, icb,
+  CASE WHEN activity = 0 THEN CAST(0 AS DOUBLE) ELSE round(activity, 6) END AS activity, period,
+  CASE WHEN fin_month < 10 THEN make_date({p.actual_fy_start_year}, fin_month + 3, 1)
+       WHEN fin_month > 9 THEN make_date({p.actual_fy_start_year + 1}, fin_month - 9, 1) END AS month_of_actual
+FROM (SELECT fin_month, month, provider, icb, activity, period FROM v1_named
+      UNION SELECT fin_month, month, provider, icb, variance, 'variance' FROM v1_wide) u""",
+                "v1_named",
+                "v1_wide",
+            ),
+            "dq_duplicated_cells": self.build(
+                """SELECT icb, provider, treatment_function, month_name_short AS name, count(*) AS n_values,
+  round(min(wd_variance_by_spec), 6) AS lowest, round(max(wd_variance_by_spec), 6) AS highest,
+  round(CASE WHEN count(*) = count(wd_variance_by_spec) THEN sum(wd_variance_by_spec) END, 6) AS total
+FROM cmpd WHERE month_name_short IS NOT NULL
+GROUP BY icb, provider, treatment_function, month_name_short HAVING count(*) > 1""",
+                "cmpd",
+            ),
             "dq_months_reported": self.build(
                 "SELECT der_provider_code, count(*) AS n FROM hist_pm GROUP BY der_provider_code", "hist_pm"
             ),
@@ -1098,6 +1160,33 @@ def oracle_sql() -> dict[str, str]:
         out[f"{name}_year_scalars"] = cut["target_year_scalars"]
         out[f"{name}_gap_by_year"] = cut["gap_by_year"]
         out[f"{name}_fair_share"] = cut["fair_share"]
+    # final orders: NULLs last, ties by the other columns
+    by_april = [("icb", False), ("provider", False), ("Apr", True)]
+    orders = {
+        "extract": ("extract_activity", [("month_commencing", True)]),
+        "monthly_working_days": ("monthly_working_days", [("year_num", False), ("month_num", False), ("month_commencing", False)]),
+        "gap_by_month": ("gap_by_month", [("provider_code", False), ("fin_month", False)]),
+        "cohort_rows": ("cohort_rows", [("icb", False), ("provider", False), ("fin_month", False), ("treatment_function", False)]),
+        "fair_share": ("fair_share", [("icb", False), ("provider", False), ("share_of_daily_variance", True)]),
+        "gap_per_day_wide": ("gap_per_day_wide", by_april),
+        "specialty_gap_per_day_wide": ("specialty_gap_per_day_wide", by_april),
+        "baseline": ("planning_baseline", [("month_commencing", False)]),
+    }
+    for name, (source, keys) in orders.items():
+        ties = [c for c in COLUMNS[name] if c not in dict(keys)]
+        by = ", ".join([f'"{c}" {"DESC" if d else "ASC"} NULLS LAST' for c, d in keys] + [f'"{c}" ASC NULLS LAST' for c in ties])
+        out[f"ordered_{name}"] = f"SELECT *, row_number() OVER (ORDER BY {by}) AS sort_rank FROM ({out[source]}) final"
+    out["tracking_in_batches"] = out["follow_up_tracking_rolled"]
+    rows = out["report_system_specialty_table"]
+    out["published_specialty_table"] = f"SELECT *, count(*) OVER (PARTITION BY report) AS report_rows FROM ({rows}) x"
+    fixed = Oracle(p.with_(calendar_start=dt.date(1996, 1, 1), calendar_end=dt.date(2000, 12, 26)))
+    out["activity_by_working_day"] = fixed.build(
+        """SELECT c.fin_year, c.fin_month, c.month_name_short, c.working_day, count(*) AS attendances,
+       count(DISTINCT a.appointment_date) AS days
+FROM att a LEFT JOIN calendar c ON a.appointment_date = c.date GROUP BY ALL""",
+        "att",
+        "calendar",
+    )
     # the laid-out copy gives what the fact itself gives
     for name in ("extract_activity", "extracts_together", "follow_up_tracking", "gap_by_year"):
         out[f"prepared_{name}"] = out[name]

@@ -21,7 +21,7 @@ from ..operators import gap as gp
 from ..operators import legacy as lg
 from ..operators import quality as qa
 from ..operators import reports as rp
-from ..params import Params
+from ..params import FIN_MONTHS, Params
 from ..sources.tables import Tables
 
 
@@ -37,6 +37,8 @@ class Pipeline:
         self.target_fy = target_fy or params.target_wd_fy
         self.label = target_label or params.target_label
         self.by_icb = by_icb
+        #: Cells of the input files that could not be read, where the inputs are files.
+        self.problems: DataFrame | None = None
 
     def variant_v2(self) -> "Pipeline":
         """The older (v2) method: 2022-23 working days, 'ambition', cohort without icb (built once)."""
@@ -219,8 +221,16 @@ class Pipeline:
 
     @cached_property
     def per_day_gap_v1(self) -> DataFrame:
+        return lg.v1_wide(self.per_day_rows_v1, self.p)
+
+    @cached_property
+    def per_day_long_v1(self) -> DataFrame:
+        return lg.per_day_long_v1(self.per_day_rows_v1, self.p)
+
+    @cached_property
+    def per_day_rows_v1(self) -> DataFrame:
         counterfactual = lg.march_counterfactual(self.v1_extract("history"), self.t.acutes, self.monthly_working_days, self.p)
-        return lg.per_day_gap_v1(
+        return lg.per_day_rows_v1(
             self.v1_extract("excl_march"),
             counterfactual,
             self._before_excluded(self.v1_extract("actual")),
@@ -327,12 +337,22 @@ class Pipeline:
         """One of ``REPORT_TABLES``, the rows of each trust's report (K3)."""
         return rp.trust_feed(getattr(self, f"report_{table}"), self.report_scope)
 
+    @cached_property
+    def activity_by_working_day(self) -> DataFrame:
+        return cal_ops.activity_by_working_day(self.t.attendance, self.calendar)
+
     # -- data quality ----------------------------------------------------------------
     @cached_property
     def dq_months_reported(self) -> DataFrame:
         return qa.months_reported(lg.history_per_provider_month(
             gp.as_csv_actuals(self.extract_history), self.t.acutes, self.monthly_working_days))
 
+    @cached_property
+    def dq_duplicated_cells(self) -> DataFrame:
+        ids = ["icb", "provider", "treatment_function"]
+        lists = qa.pivot_lists(self.cohort_monthly_per_day, ids, "month_name_short", list(FIN_MONTHS), "wd_variance_by_spec")
+        return qa.duplicated_cells(lists, ids, list(FIN_MONTHS))
+
     @cached_property
     def dq_pivot_duplicates(self) -> DataFrame:
         parts = [

@@ -20,7 +20,7 @@ from pyspark.sql import SparkSession
 
 from ..params import Params, test_params
 from ..session import build_session, checkpoint_dir, configure
-from ..sinks.writers import ORDER, write_report_feeds, write_table
+from ..sinks.writers import ORDER, publish, write_table
 from ..sources.tables import Tables
 from ..sources.testmap import load_tables, prepare_fact
 from .files_pipeline import from_files
@@ -56,7 +56,7 @@ def write_reports(spark: SparkSession, pipeline: Pipeline, out_root: str, *, fmt
 
     def out(name: str, df, order=None, partition_by=None):
         path = f"{root}/{name}"
-        write_table(df, path, fmt=fmt, order=order, partition_by=partition_by)
+        write_table(df, path, fmt=fmt, order=order, partition_by=partition_by, rank=order is not None)
         written[name] = path
 
     out("baseline_and_goal", pl.baseline_and_goal)  # K1
@@ -73,7 +73,9 @@ def write_reports(spark: SparkSession, pipeline: Pipeline, out_root: str, *, fmt
     for table in REPORT_TABLES:
         suffix = "" if table == "gap_table" else f"_{table}"
         for kind, feed in (("systems", pl.system_report(table)), ("trusts", pl.trust_report(table))):  # K2, K3
-            written[f"{kind}{suffix}"] = write_report_feeds(feed, root, f"{kind}{suffix}", day, fmt)
+            written[f"{kind}{suffix}"] = publish(spark, feed, root, f"{kind}{suffix}", day, fmt)
+    if pl.problems is not None:
+        out("problems", pl.problems)  # cells of the CSV inputs that could not be read
     return written
 
 

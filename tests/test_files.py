@@ -61,3 +61,69 @@ def test_a_missing_column_fails(spark, tmp_path):
     path.write_text("stp_code,short_name\nQKS,Kent\n")
     with pytest.raises(ValueError, match="stp_name"):
         read_system_lookup(spark, str(path))
+
+
+HEADER = "Month_commencing,Treatment_Function_Code,Treatment_Function,Der_Provider_Code,STP_Code,Activity\n"
+
+
+def test_unparsable_cells_are_listed(spark, tmp_path):
+    from activity_engine.sources.files import ACTIVITY_SCHEMA, csv_problems
+
+    path = tmp_path / "actuals.csv"
+    path.write_text(
+        HEADER
+        + "01/04/2022,100,Surgery,RXH,QXX,12\n"
+        + "31/02/2022,100,Surgery,RTH,QYY,3\n"  # record 3: an impossible date
+        + "2022-05-01,100,Surgery,RTH,QYY,many\n"  # record 4: another form of date, a word for a number
+        + "01/05/2022,,\"\",NA,QYY,\n"  # empty fields are no problem
+        + "NA,100,Surgery,RTH,QYY,NA\n"
+        + "01/06/2022,100,Surgery\n"  # record 7: too few fields
+        + "01/06/2022,100,Surgery,RTH,QYY,1,extra\n"  # record 8: too many
+    )
+    rows = csv_problems(spark, str(path), ACTIVITY_SCHEMA).collect()
+    assert {r.file.rsplit("/", 1)[1] for r in rows} == {"actuals.csv"}
+    got = sorted((r.row, r.col or "", r.expected, r.actual) for r in rows)
+    assert got == [
+        (3, "month_commencing", "date like %d/%m/%Y", "31/02/2022"),
+        (4, "activity", "a double", "many"),
+        (4, "month_commencing", "date like %d/%m/%Y", "2022-05-01"),
+        (7, "", "6 columns", "01/06/2022,100,Surgery"),
+        (8, "", "6 columns", "01/06/2022,100,Surgery,RTH,QYY,1,extra"),
+    ]
+    data = read_activity_csv(spark, str(path)).collect()
+    assert len(data) == 7 and sum(r.month_commencing is None for r in data) == 3 and sum(r.activity is None for r in data) == 4
+
+
+def test_problems_keep_their_record_numbers_over_splits_and_files(spark, tmp_path):
+    from activity_engine.sources.files import ACTIVITY_SCHEMA, csv_problems
+
+    want = []
+    for name, n in (("a.csv", 5000), ("b.csv", 3000)):
+        lines = []
+        for k in range(n):
+            bad = k % 997 == 5
+            lines.append(f"01/04/2022,{k:03d},Surgery,RXH,QXX,{'x' + str(k) if bad else k}\n")
+            if bad:
+                want.append((name, k + 2, "activity", f"x{k}"))
+        (tmp_path / name).write_text(HEADER + "".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        found = csv_problems(spark, str(tmp_path), ACTIVITY_SCHEMA)
+        rows = found.collect()
+        assert spark.read.csv(str(tmp_path)).rdd.getNumPartitions() > 8
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.file.rsplit("/", 1)[1], r.row, r.col, r.actual) for r in rows) == sorted(want)
+
+
+def test_no_problems_and_an_empty_file(spark, tmp_path):
+    from activity_engine.sources.files import BASELINE_SCHEMA, csv_problems, read_tfc_list
+
+    path = tmp_path / "baseline.csv"
+    path.write_text("OrgCode,OrgType,month_commencing,Value\n")
+    assert csv_problems(spark, str(path), BASELINE_SCHEMA).count() == 0
+    path = tmp_path / "tfc.csv"
+    path.write_text("TFC_Code, Description\n010, Oral Surgery\n,NA\n")
+    assert [r.asDict() for r in read_tfc_list(spark, str(path)).collect()] == [
+        {"tfc_code": "010", "description": "Oral Surgery"}, {"tfc_code": None, "description": None}]
