@@ -38,6 +38,24 @@ def paired_by_id(conversations: DataFrame) -> DataFrame:
     )
 
 
+def paired_by_answer(conversations: DataFrame, answerer: str = "assistant") -> DataFrame:
+    """Each conversation up to its last answer as chosen, and the same with the next conversation's last answer as rejected.
+
+    A pair is numbered by its conversation; one whose next (by id) has no answer is left
+    out. Rows beside the last answer with its turn number but another role belong to both.
+    """
+    turn = F.coalesce(F.col("turn").cast("long"), F.lit(LAST)).alias("turn")
+    own = conversations.select(F.col("conv_id").cast("long").alias("pair_id"), turn, "role", "text").filter("pair_id is not null")
+    last = own.filter(F.col("role") == answerer).groupBy("pair_id").agg(F.max("turn").alias("last"))
+    upto = own.join(last, "pair_id").filter("turn <= last")
+    answer = (F.col("turn") == F.col("last")) & F.coalesce(F.col("role") == answerer, F.lit(False))
+    others = upto.filter(answer).select((F.col("pair_id") - 1).alias("pair_id"), "role", "text").distinct()
+    replaced = others.join(last, "pair_id").select("pair_id", F.lit(False).alias("chosen"), F.col("last").alias("turn"), "role", "text")
+    sides = upto.withColumn("side", F.explode(F.when(answer, F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))))
+    kept = sides.join(replaced.select("pair_id").distinct(), "pair_id", "left_semi")
+    return kept.select("pair_id", F.col("side").alias("chosen"), "turn", "role", "text").unionByName(replaced)
+
+
 def preference_turns(turns: DataFrame) -> DataFrame:
     """(pair_id, part, turn, role, rendered, loss) from (pair_id, chosen, turn, role, text); part is prompt, chosen or rejected."""
     own = turns.filter(F.col("pair_id").isNotNull() & F.col("chosen").isNotNull())

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +10,11 @@ from pyspark.sql import functions as F
 from . import bitplanes, bpe, chat, contextmix, decontam, langid, neardup, quality, runs, secrets, substring, tokencount, urls
 from .sql import ORACLE
 
-#: Folder of the public tokenizer files.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-
 
 def tokenizer_path(name: str) -> str:
-    return os.path.join(os.path.realpath(TOKENIZERS), name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -87,7 +85,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    return chat.preference_turns(chat.paired_by_id(turns))
+    return chat.preference_turns(chat.paired_by_answer(turns))
 
 
 def op11_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,18 @@ parsed AS (
     translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages),
-outcomes AS (SELECT doc_id AS page_id, (quality = 0 OR toxic = 1) AS bad FROM labels),
+shown AS (
+  SELECT page_id, d.doc_id
+  FROM (
+    SELECT page_id, TRY_CAST(regexp_extract(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/([0-9]+)(\.[A-Za-z0-9]+)?/?$', 1) AS BIGINT) AS named,
+      regexp_replace(replace(replace(replace(replace(replace(replace(
+        regexp_replace(regexp_replace(html, '^.*?<article[^>]*>([\x09-\x0d\x20]*<h1.*?</h1>)?', '', 's'), '<!--.*?-->|<[^>]*>', '', 'gs'),
+        '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&#39;', ''''), '&amp;', '&'), '[\x09-\x0d\x20]+', '', 'g') AS body
+    FROM pages) p
+  JOIN (SELECT DISTINCT doc_id, left(regexp_replace(text, '[\x09-\x0d\x20]+', '', 'g'), 200) AS start FROM documents) d ON d.doc_id = p.named
+  WHERE start <> '' AND starts_with(left(body, 200), start)),
+outcomes AS (
+  SELECT page_id, (quality = 0 OR toxic = 1) AS bad FROM (SELECT DISTINCT page_id, doc_id FROM shown) s JOIN labels USING (doc_id)),
 counted AS (
   SELECT host, count(bad) AS n, coalesce(sum(bad::INT), 0) AS k
   FROM parsed LEFT JOIN (SELECT * FROM outcomes WHERE bad IS NOT NULL) USING (page_id) GROUP BY host),
@@ -58,9 +69,19 @@ FROM parsed LEFT JOIN best USING (host, path) LEFT JOIN h_p USING (host)"""
 )
 
 OP10 = """
-WITH turns AS (
-  SELECT DISTINCT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS chosen, coalesce(turn, 9223372036854775807) AS turn, role, text
-  FROM conversations WHERE conv_id IS NOT NULL),
+WITH own AS (
+  SELECT DISTINCT conv_id, coalesce(turn, 9223372036854775807) AS turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+lasts AS (SELECT conv_id, max(turn) AS last FROM own WHERE role = 'assistant' GROUP BY conv_id),
+turns AS (
+  SELECT pair_id, side AS chosen, turn, role, text FROM (
+    SELECT o.conv_id AS pair_id, o.turn, o.role, o.text,
+      unnest(CASE WHEN o.turn = l.last AND o.role = 'assistant' THEN [true] ELSE [true, false] END) AS side
+    FROM own o JOIN lasts l USING (conv_id)
+    WHERE o.turn <= l.last AND EXISTS (SELECT 1 FROM lasts n WHERE n.conv_id = o.conv_id + 1)) x
+  UNION
+  SELECT a.conv_id - 1, false, here.last, a.role, a.text
+  FROM own a JOIN lasts l ON l.conv_id = a.conv_id AND l.last = a.turn JOIN lasts here ON here.conv_id = a.conv_id - 1
+  WHERE a.role = 'assistant'),
 merged AS (
   SELECT pair_id, turn, role, text, bool_or(chosen) AS in_chosen, bool_or(NOT chosen) AS in_rejected
   FROM turns GROUP BY ALL),

@@ -237,6 +237,31 @@ def test_chat(spark):
     assert pair.prompt == "<|user|>\nhi<|end|>\n" and [x.loss for x in pair.chosen] == [True, False]
 
 
+def test_pairs_by_answer(spark):
+    rows = [
+        (0, 0, "user", "hi"), (0, 1, "assistant", "early"), (0, 2, "user", "and?"), (0, 3, "assistant", "good"), (0, 3, "assistant", "good"),
+        (0, 4, "user", "late"), (1, 0, "user", "yo"), (1, 1, "assistant", "bad"), (2, 0, "user", "alone"), (None, 0, "assistant", "x"),
+        (5, 0, "user", "q"), (5, 1, "assistant", "same"), (6, 0, "assistant", "same"), (6, None, "user", "end"),
+    ]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, chosen int")
+    got = chat.preference_turns(chat.paired_by_answer(df))
+    by = {(r.pair_id, r.part, r.turn): (r.rendered, r.loss) for r in got.collect()}
+    user, answer = "<|user|>\n{}<|end|>\n", "<|assistant|>\n{}<|end|>\n"
+    assert by == {
+        (0, "prompt", 0): (user.format("hi"), False),
+        (0, "prompt", 1): (answer.format("early"), False),
+        (0, "prompt", 2): (user.format("and?"), False),
+        (0, "chosen", 3): (answer.format("good"), True),
+        (0, "rejected", 3): (answer.format("bad"), True),
+        (5, "prompt", 0): (user.format("q"), False),
+        (5, "prompt", 1): (answer.format("same"), False),  # both answers are one: nothing to prefer
+    }
+    pair = {r.pair_id: r for r in chat.assembled(got).collect()}[0]
+    assert pair.prompt == user.format("hi") + answer.format("early") + user.format("and?")
+    assert [x.rendered for x in (*pair.chosen, *pair.rejected)] == [answer.format("good"), answer.format("bad")]
+    assert chat.preference_turns(chat.paired_by_answer(df.filter("false"))).count() == 0
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import brute
+import duckdb
 import pytest
 
 from activity_engine.llm import neardup, queries, urls
@@ -62,6 +63,13 @@ def test_outcomes_belong_to_the_page_of_their_document(spark, tmp_path):
     assert len(verdicts) == len(pages)
     assert {r.host for r in verdicts if r.verdict == "block"} == {"spam.example.org"}
     assert sum(r.verdict == "block" for r in verdicts) == 41
+    # and the SQL blocks the same
+    con = duckdb.connect()
+    for name in ("documents", "pages", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    names = ["page_id", "host", "path", "rule", "verdict"]
+    sql = con.sql(f"SELECT {', '.join(names)} FROM ({queries.oracle_sql()['op8_url_reputation']}) x").fetchall()
+    assert sorted(map(repr, sql)) == sorted(repr(tuple(r[c] for c in names)) for r in verdicts)
 
 
 @pytest.mark.parametrize(("size", "percent"), [(3, 85), (5, 80)])
