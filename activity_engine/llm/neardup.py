@@ -262,7 +262,8 @@ def class_links(classes: DataFrame, docs: DataFrame, settings: Settings) -> Data
     )
     several = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
     left = at.join(several.select("key"), "key", "left_semi").checkpoint()
-    return components(links.union(rest_links(left, sets, settings)), "a", "b")
+    more = rest_links(left, sets, settings)
+    return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), "a", "b")
 
 
 def rest_links(left: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
