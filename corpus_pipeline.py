@@ -20,7 +20,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from activity_engine.llm import bpe, decontam, langid, neardup, secrets
@@ -28,23 +28,34 @@ from activity_engine.llm.queries import tokenizer_path
 from activity_engine.session import checkpoint_dir
 
 
+#: Rows in a batch that goes to Python and back. A stage passes whole rows with their texts, so Spark's 10,000 would
+#: keep some 100 MB a task outside the heap, on both sides.
+BATCH_ROWS = 1000
+
+
+def _bounded_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _bounded_batches(spark)
     found = langid.identify(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns if c not in ("doc_id", "text", "lang")}))
     kept = found.filter(F.col("lang_pred") != "und")
     return kept.select(*[F.col(c if c in ("doc_id", "text", "lang") else f"in_{c}").alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _bounded_batches(spark)
     found = neardup.grouped(docs.select("doc_id", "text"), neardup.Settings(size=5, percent=80))
     kept = found.filter("first and doc_id is not null").select("doc_id", F.col("text_hash").alias("_hash")).distinct()
     named = docs.withColumn("_hash", F.xxhash64("text")).join(kept, ["doc_id", "_hash"], "left_semi")
-    # rows of one kept id with one text are copies of each other
-    copies = Window.partitionBy("doc_id", "_hash", "text").orderBy(F.lit(1))
-    single = named.withColumn("_copy", F.row_number().over(copies)).filter("_copy = 1").drop("_copy", "_hash")
+    # rows of one kept id with one text are copies of each other; each task drops its own first
+    single = named.dropDuplicates(["doc_id", "_hash", "text"]).drop("_hash")
     return single.unionByName(docs.filter("doc_id is null")).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _bounded_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     own = docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns if c != "text"})
     kept = decontam.contaminated(own, benchmark).filter(~F.col("contaminated"))
@@ -62,6 +73,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _bounded_batches(spark)
     path = tokenizer_path("word_bpe_49k.json")
     ids = bpe.encode(docs.select("doc_id", "text"), path)
     decoded = bpe.decode(ids, path)
