@@ -10,7 +10,10 @@ by one.
 
 The benchmark is a stated query set. It is dealt into blocks of about
 BLOCK_WINDOWS windows, whatever its size; each block is broadcast on its own
-and all documents pass by it, so what is broadcast never grows with the data.
+and all documents pass by it. With several blocks, each one's hits are written
+(rows with a hit alone) and its broadcast is destroyed before the next is made,
+so one block is live at a time; the hits are then joined to the documents, which
+are written once for it.
 
 Defined cases: null texts and texts without words have no windows and no hits;
 items with a null id are no items; items with one id are one item; an empty
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -31,6 +35,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from activity_engine.session import checkpoint_dir
+
 from .words import Words, append, buffer, map_texts, slices, split, window_hash, window_starts
 
 WINDOW = 13
@@ -41,6 +47,9 @@ BLOCK_WINDOWS = 50_000
 NOT_WORD = np.array([b < 128 and not (48 <= b < 58 or 97 <= b < 123) for b in range(256)])
 LOWER = np.array([b + 32 if 65 <= b < 91 else b for b in range(256)], np.uint8)
 
+#: Numbers the rows while several blocks pass.
+ROW = "row_of_decontamination"
+
 FIELDS = "n_words long, n_hit long, hit_spans array<struct<start:int,stop:int>>, items array<string>"
 
 
@@ -176,18 +185,37 @@ def hits(docs: DataFrame, benchmark: DataFrame, column: str = "text", block_wind
     blocks = math.ceil(windows.count() / block_windows)
     if not blocks:
         return append(docs, column, FIELDS, none)
+    spark = docs.sparkSession
     dealt = windows.withColumn("block", F.pmod(F.xxhash64("item_id", "window"), F.lit(blocks)))
-    out = docs
-    for k in range(blocks):
+
+    def block(k: int):
         rows = dealt.filter(F.col("block") == k).select("item_id", "window").collect()  # about block_windows rows
-        out = pass_by(out, make_block(rows, docs, column), column, first=k == 0)
+        return spark.sparkContext.broadcast(make_block(rows, docs, column))
+
+    if blocks == 1:
+        out = pass_by(docs, block(0), column, first=True)
+    else:
+        base = f"{checkpoint_dir(spark)}/decontamination-{uuid.uuid4().hex}"
+        own = docs.withColumn(ROW, F.monotonically_increasing_id()).checkpoint()
+        for k in range(blocks):
+            shared = block(k)
+            found = pass_by(own.select(ROW, column), shared, column, first=True)
+            found.filter("n_hit > 0").select(ROW, "hit_spans", "items").write.parquet(f"{base}/{k}")
+            shared.destroy()
+        # a row's hits in the blocks: at most one row for each
+        old = spark.read.parquet(*[f"{base}/{k}" for k in range(blocks)]).groupBy(ROW)
+        old = old.agg(F.flatten(F.collect_list("hit_spans")).alias("hit_spans"), F.flatten(F.collect_list("items")).alias("items"))
+        left = own.drop("hit_spans", "items").join(old, ROW, "left")
+        none_yet = [F.coalesce(c, F.array().cast(old.schema[c].dataType)).alias(c) for c in ("hit_spans", "items")]
+        merged = left.select(*[f"`{c}`" for c in left.columns if c not in ("hit_spans", "items")], *none_yet)
+        nothing = spark.sparkContext.broadcast(Block(pa.array([], pa.large_string()), {}, {}, {}, {}))
+        out = pass_by(merged, nothing, column, first=False).drop(ROW)
     windows.unpersist()
     return out
 
 
-def pass_by(docs: DataFrame, block: Block, column: str, first: bool) -> DataFrame:
-    """Adds a block's hits to those that earlier blocks left in the columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+def pass_by(docs: DataFrame, shared, column: str, first: bool) -> DataFrame:
+    """Adds the hits of the block in the broadcast ``shared`` to those that the columns hold already (none if ``first``)."""
 
     def rows(part: pa.RecordBatch) -> dict:
         own = shared.value

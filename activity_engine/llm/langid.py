@@ -31,6 +31,9 @@ from pyspark.sql import functions as F
 from .words import append, buffer, mixed, slices
 
 DIMENSIONS = 1024
+#: Distinct n-grams of a slice whose vectors are kept together (64 MB), and n-grams bundled at a time (32 MB).
+KEPT_GRAMS = 1 << 16
+BUNDLED = 1 << 13
 SIZE = 3
 FOLDS = 3
 HELD_OUT = 1
@@ -105,10 +108,15 @@ def text_vectors(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     rows, text, gram, n = grams(texts)
     if not len(text):
         return
-    vectors = gram_vectors(rows)
+    vectors = gram_vectors(rows) if len(rows) <= KEPT_GRAMS else None
     cuts = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
     for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True):
-        v = n[a:b].astype(np.float32) @ vectors[gram[a:b]].astype(np.float32)
+        # a long text's n-grams are bundled some at a time
+        v = np.zeros(DIMENSIONS, np.float32)
+        for c in range(a, b, BUNDLED):
+            some = slice(c, min(b, c + BUNDLED))
+            each = gram_vectors(rows[gram[some]]) if vectors is None else vectors[gram[some]]
+            v += n[some].astype(np.float32) @ each.astype(np.float32)
         norm = float(np.sqrt(v @ v))
         if norm:
             yield int(text[a]), v / norm

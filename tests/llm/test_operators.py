@@ -185,6 +185,50 @@ def test_language(spark, docs, none):
     assert langid.identify(none.withColumn("lang", F.lit("x"))).count() == 0
 
 
+def test_language_vectors_and_cosines(spark, monkeypatch):
+    """Vectors of texts against n-grams bound and bundled one by one, and the verdicts against plain cosines."""
+    import unicodedata
+
+    import pyarrow as pa
+
+    def plain(text: str) -> np.ndarray:
+        low = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in f" {text} ".lower())
+        while "  " in low:
+            low = low.replace("  ", " ")
+        total = np.zeros(langid.DIMENSIONS)
+        for k in range(len(low) - langid.SIZE + 1):
+            gram = low[k : k + langid.SIZE]
+            if gram.strip():
+                points = np.array([0 if c == " " else ord(c) for c in gram])
+                bound = np.ones(langid.DIMENSIONS)
+                for j, v in enumerate(langid.letter_vectors(points)):
+                    bound *= np.roll(v, langid.SIZE - 1 - j)
+                total += bound
+        return total / (np.linalg.norm(total) or 1)
+
+    texts = [t or "" for _, t in TEXTS if t is None or len(t) < 3000] + ["一二三四 五六七八", "x", "123 !"]
+    want = [plain(t) for t in texts]
+    for kept, bundled in ((1 << 16, 1 << 13), (3, 5)):  # the second cuts every text's n-grams into pieces
+        monkeypatch.setattr(langid, "KEPT_GRAMS", kept)
+        monkeypatch.setattr(langid, "BUNDLED", bundled)
+        got = dict(langid.text_vectors(langid.padded(pa.array(texts))))
+        assert set(got) == {k for k, v in enumerate(want) if v.any()}
+        assert all(np.allclose(got[k], want[k], atol=1e-5) for k in got)
+    monkeypatch.undo()
+    rows = [(i, t, "ab"[i % 2]) for i, t in enumerate(texts)]
+    found = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)).collect()
+    import zlib
+
+    train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 3 != 1]
+    proto = {x: sum(want[i] for i in train if "ab"[i % 2] == x) for x in "ab"}
+    for r in found:
+        cosine = {x: float(p @ want[r.doc_id] / np.linalg.norm(p)) for x, p in proto.items()}
+        if not want[r.doc_id].any():
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        else:
+            assert abs(r.score - max(0.0, cosine[r.lang_pred])) < 1e-4 and cosine[r.lang_pred] >= max(cosine.values()) - 1e-4
+
+
 @pytest.mark.parametrize("block", [3, 50_000])
 def test_decontamination(spark, docs, none, block):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
