@@ -151,6 +151,15 @@ def monthly_working_days(cal: DataFrame) -> DataFrame:
     )
 
 
+def as_values(df: DataFrame) -> DataFrame:
+    """A small table computed now and put into plans as its values.
+
+    For tables with a row for each month of the calendar's range or fewer: every
+    branch that uses one would otherwise generate the calendar again.
+    """
+    return df.sparkSession.createDataFrame(df.toArrow())
+
+
 def trimmed_working_days(mwd: DataFrame) -> DataFrame:
     """The four columns the rebasing uses (month_commencing as a date)."""
     return mwd.select("month_commencing", "month_name_short", "fin_year", "working_days")

@@ -28,7 +28,7 @@ def specialty_share(actuals: DataFrame, acutes: DataFrame, cal: DataFrame) -> Da
         "stp_code",
         F.col("activity").alias("speciality_activity"),
         strict_sum_over("activity", w).alias("total_activity"),
-    ).withColumn("proportion_of_total", ratio("speciality_activity", "total_activity"))
+    )
     a = attach_calendar(a, "month_commencing", cal, ["month_name_short", "fin_month"])
     return a.select(
         "month_name_short",
@@ -39,7 +39,7 @@ def specialty_share(actuals: DataFrame, acutes: DataFrame, cal: DataFrame) -> Da
         "treatment_function",
         "speciality_activity",
         "total_activity",
-        "proportion_of_total",
+        ratio("speciality_activity", "total_activity").alias("proportion_of_total"),
     )
 
 
@@ -90,18 +90,21 @@ def cohort_flags(spec_gap: DataFrame, params: Params, *, by_icb: bool = True) ->
     # Every window here (and the cohort-row window and yearly sums after it) is keyed by a
     # superset of the provider: one exchange by provider serves them all.  A provider has at
     # most months x specialties rows, so even a hot provider is a small task.
-    f = spec_gap.repartition("provider")
-    f = f.withColumn("_spec_year", strict_sum_over("speciality_activity", Window.partitionBy(*keys)))
-    f = f.withColumn("_tally", F.count(F.lit(1)).over(pair))
-    f = f.withColumn("_first", F.row_number().over(one_per_total) == 1)
+    # Columns are added a layer at a time: each step analyses the plan below it once more.
+    f = spec_gap.repartition("provider").withColumns(
+        {
+            "_spec_year": strict_sum_over("speciality_activity", Window.partitionBy(*keys)),
+            "_tally": F.count(F.lit(1)).over(pair),
+            "_first": F.row_number().over(one_per_total) == 1,
+        }
+    )
     firsts = F.count(F.when(F.col("_first"), F.lit(1))).over(per_provider)
     first_totals = F.when(F.col("_first"), F.col("total_activity"))
-    f = f.withColumn("_prov_total", F.when(F.count(first_totals).over(per_provider) == firsts, F.sum(first_totals).over(per_provider)))
-    f = f.withColumn("_share", ratio("_spec_year", "_prov_total")).withColumn("_avg", ratio("_spec_year", "_tally"))
-    passes = (F.col("_tally") > params.min_month_tally) & (
-        (F.col("_share") >= params.min_share) | (F.col("_avg") >= params.min_avg_monthly)
-    )
-    f = f.withColumn("in_cohort", F.coalesce(passes, F.lit(False)))
+    total = F.when(F.count(first_totals).over(per_provider) == firsts, F.sum(first_totals).over(per_provider))
+    f = f.withColumn("_prov_total", total)
+    share, average = ratio("_spec_year", "_prov_total"), ratio("_spec_year", "_tally")
+    passes = (F.col("_tally") > params.min_month_tally) & ((share >= params.min_share) | (average >= params.min_avg_monthly))
+    f = f.withColumns({"_share": share, "_avg": average, "in_cohort": F.coalesce(passes, F.lit(False))})
     return f.withColumn("pair_in_cohort", F.max(F.col("in_cohort").cast("int")).over(pair) == 1)
 
 
@@ -136,8 +139,8 @@ def cohort_rows(flags: DataFrame) -> DataFrame:
     rows = cohort_members(flags)
     w = Window.partitionBy("month_name_short", "fin_month", "icb", "provider")
     rows = rows.withColumn("cohort_activity", strict_sum_over("speciality_activity", w))
-    rows = rows.withColumn("cohort_proportion", ratio("speciality_activity", "cohort_activity"))
-    return rows.withColumn("monthly_reduction", F.col("variance") * F.col("cohort_proportion"))
+    proportion = ratio("speciality_activity", "cohort_activity")
+    return rows.withColumns({"cohort_proportion": proportion, "monthly_reduction": F.col("variance") * proportion})
 
 
 def cohort_coverage(coh: DataFrame, *, by_icb: bool = True) -> DataFrame:
@@ -149,9 +152,7 @@ def cohort_coverage(coh: DataFrame, *, by_icb: bool = True) -> DataFrame:
 def cohort_monthly_per_day(rows: DataFrame, mwd: DataFrame, target_fy: str, target_label: str = "target") -> DataFrame:
     """Per-working-day activity and variance of each cohort row, and its share."""
     r = left_join(rows, year_working_days(mwd, target_fy, "wd_target"), ["month_name_short"], broadcast=True)
-    r = r.withColumn("activity_per_wd", ratio("speciality_activity", "wd_target"))
-    r = r.withColumn("variance_per_wd", ratio("variance", "wd_target"))
-    r = r.withColumn("wd_variance_by_spec", F.col("variance_per_wd") * F.col("cohort_proportion"))
+    variance_per_wd = ratio("variance", "wd_target")
     return r.select(
         "icb",
         "provider",
@@ -162,14 +163,14 @@ def cohort_monthly_per_day(rows: DataFrame, mwd: DataFrame, target_fy: str, targ
         "baseline",
         target_label,
         "variance",
-        "variance_per_wd",
+        variance_per_wd.alias("variance_per_wd"),
         "cohort_activity",
         "cohort_proportion",
         "monthly_reduction",
         "wd_target",
         "speciality_activity",
-        "activity_per_wd",
-        "wd_variance_by_spec",
+        ratio("speciality_activity", "wd_target").alias("activity_per_wd"),
+        (variance_per_wd * F.col("cohort_proportion")).alias("wd_variance_by_spec"),
     )
 
 
@@ -178,9 +179,7 @@ def _yearly(rows: DataFrame, scalars: DataFrame, target_label: str) -> DataFrame
     sums = ["total_activity", "baseline", target_label, "variance", "cohort_activity", "speciality_activity"]
     y = rows.groupBy(*keys).agg(*[strict_sum(c).alias(c) for c in sums])
     # one row of scalars (months and working days of the target year)
-    return y.crossJoin(F.broadcast(scalars)).withColumn(
-        "cohort_proportion", ratio("speciality_activity", "cohort_activity")
-    )
+    return y.crossJoin(F.broadcast(scalars))
 
 
 def fair_share(rows: DataFrame, scalars: DataFrame, target_label: str = "target", *, rounded: bool = True) -> DataFrame:
@@ -191,20 +190,16 @@ def fair_share(rows: DataFrame, scalars: DataFrame, target_label: str = "target"
     reported.  The four measures are rounded to 1 decimal (half-even).
     """
     y = _yearly(rows, scalars, target_label)
-    cp = F.col("cohort_proportion")
-    out = y.select(
-        "icb",
-        "provider",
-        "treatment_function",
-        ratio("speciality_activity", "month_count").alias("avg_monthly_activity"),
-        (ratio("variance", "month_count") * cp).alias("share_of_monthly_variance"),
-        ratio("speciality_activity", "total_wd").alias("avg_activity_per_wd"),
-        (ratio("variance", "total_wd") * cp).alias("share_of_daily_variance"),
-    )
+    cp = ratio("speciality_activity", "cohort_activity")
+    measures = {
+        "avg_monthly_activity": ratio("speciality_activity", "month_count"),
+        "share_of_monthly_variance": ratio("variance", "month_count") * cp,
+        "avg_activity_per_wd": ratio("speciality_activity", "total_wd"),
+        "share_of_daily_variance": ratio("variance", "total_wd") * cp,
+    }
     if rounded:
-        measures = ["avg_monthly_activity", "share_of_monthly_variance", "avg_activity_per_wd", "share_of_daily_variance"]
-        out = out.select("icb", "provider", "treatment_function", *[round_half_even(m, 1).alias(m) for m in measures])
-    return out
+        measures = {name: round_half_even(m, 1) for name, m in measures.items()}
+    return y.select("icb", "provider", "treatment_function", *[m.alias(name) for name, m in measures.items()])
 
 
 def fair_share_v2(rows: DataFrame, scalars: DataFrame, target_label: str = "ambition") -> DataFrame:
@@ -215,7 +210,7 @@ def fair_share_v2(rows: DataFrame, scalars: DataFrame, target_label: str = "ambi
         "provider",
         "treatment_function",
         ratio("speciality_activity", "total_wd").alias("avg_activity_per_wd"),
-        (ratio("variance", "total_wd") * F.col("cohort_proportion")).alias("avg_variance_from_ambition"),
+        (ratio("variance", "total_wd") * ratio("speciality_activity", "cohort_activity")).alias("avg_variance_from_ambition"),
     )
 
 

@@ -71,7 +71,9 @@ class Pipeline:
 
     @cached_property
     def monthly_working_days(self) -> DataFrame:
-        return cal_ops.monthly_working_days(self.calendar)
+        mwd = cal_ops.monthly_working_days(self.calendar)
+        # with a stored range the calendar is known before the plan is made
+        return mwd if self.t.calendar_range is None else cal_ops.as_values(mwd)
 
     @cached_property
     def target_scalars(self) -> DataFrame:
