@@ -306,6 +306,47 @@ def test_pairs_by_answer(spark):
     assert chat.preference_turns(chat.paired_by_answer(df.filter("false"))).count() == 0
 
 
+def masked(text: str) -> str:
+    out, pos = "", 0
+    for a, _, b, _ in brute.secret_spans(text):
+        if a >= pos:
+            out += text[pos:a] + "[SECRET]"
+        pos = max(pos, b)
+    return out + text[pos:]
+
+
+def test_pipeline_against_a_chain_of_plain_versions(spark, tmp_path):
+    """Copies, contaminated texts and texts without letters go, secrets are masked, and every clean row stays."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    item = prose(40)
+    rows = [(i, prose(60 + i), "en" if i % 2 else "fr") for i in range(40)]
+    rows += [(100 + i, rows[i][1], "en") for i in range(5)]  # exact copies
+    rows += [(200 + i, rows[10 + i][1] + " extra", "fr") for i in range(5)]  # near copies
+    rows += [(300, item + " " + prose(20), "en"), (301, prose(900) + " " + " ".join(item.split()[:13]), "en")]
+    rows += [(400, "123 456 !", "en"), (401, None, "en"), (402, "", "fr"), (403, "one two", "fr")]
+    rows += [(500, prose(50) + " password = hunter2hunter2 " + "0123456789abcdef" * 2, "en"), (None, prose(70), "en")]
+    documents = [(i, t, x, "src", len(t or "")) for i, t, x in rows]
+    for name, data, schema in (
+        ("documents", documents, "doc_id long, text string, lang string, source string, n_chars long"),
+        ("benchmark", [(1, item), (2, None)], "item_id long, text string"),
+    ):
+        spark.createDataFrame(data, schema).repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    left = [(i, t) for i, t, _ in rows if t and any(c.isalpha() for c in t)]
+    left = [x for x, r in zip(left, brute.near_rows(left, 5, 80), strict=True) if r[3]]
+    assert {300, 301} <= {i for i, _ in left} and not {100, 204} & {i for i, _ in left}
+    left = [x for x, r in zip(left, brute.benchmark_rows(left, [(1, item)]), strict=True) if not r[5]]
+    assert 300 not in {i for i, _ in left} and 301 in {i for i, _ in left}  # a window in a long text is no contamination
+    own = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    want = []
+    for i, t in left:
+        ids = own.encode(masked(t), add_special_tokens=False).ids
+        want.append((i, len(ids), ids, brute.sha(own.decode(ids, skip_special_tokens=False))))
+    got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids", "decoded_sha256").collect()
+    assert normal(got) == normal(want) and len(want) == 44
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline
 
