@@ -19,9 +19,10 @@ what is broadcast (lexicon of ``lexicon`` words at most, ``slots`` slots a conte
 64 gates, the map) is bounded by the settings. Words outside the lexicon are
 joined with their counts by a shuffle, one row for a document and word, and
 summed by document; so what is gathered grows with the corpus. The weights and
-the map alone are fitted on a bounded sample: ``fit_docs`` training documents
-(about; chosen by their id's hash; all if there are fewer), each without its own
-share in the slots it looks at. Tasks fit in parallel and their weights are averaged.
+the map are fitted on all training documents, each bit without its own share in the
+slots it looks at. Tasks fit in parallel, each learner takes ``fit_docs`` rows (a
+batch's slice more at most) before the next one begins anew, and the learners'
+weights are averaged by how often each gate was used.
 
 Defined cases: a null text is empty and has the end alone. Rows with a null id are
 scored but not learned from and not held out. Repeated rows count each. Without
@@ -58,15 +59,15 @@ GATES = LEVELS**CONTEXTS
 DEPTHS, STEPS = 16, 49
 #: What each slot holds of either bit at first.
 PRIOR = 0.4
-#: Tokens handled at a time.
-CHUNK = 16_384
+#: Tokens handled at a time: so few that their bits' arrays stay in the processor's cache.
+CHUNK = 2048
 
 
 class Settings(NamedTuple):
     lexicon: int = 1 << 16
     slots: int = 1 << 18
     topics: int = 256
-    fit_docs: int = 8192
+    fit_docs: int = 8192  # rows for each learner of the weights
     batch: int = 512  # tokens between two steps of the weights
     rate: float = 1.0
     folds: int = 7
@@ -107,8 +108,15 @@ class Lexicon(NamedTuple):
     log_counts: np.ndarray  # log10(count + 1) of each word, then of the end
     ends: int  # training rows
     first: np.ndarray  # of each symbol's path; one more entry at the end
-    nodes: np.ndarray
-    bits: np.ndarray
+    steps: np.ndarray  # 2 * node + bit
+
+    @property
+    def nodes(self) -> np.ndarray:
+        return self.steps >> 1
+
+    @property
+    def bits(self) -> np.ndarray:
+        return self.steps & 1
 
     @property
     def end(self) -> int:
@@ -119,8 +127,8 @@ class Lexicon(NamedTuple):
         return len(self.words) + 1
 
 
-def huffman(counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each symbol's path from the root: where it begins, its inner nodes and bits."""
+def huffman(counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Each symbol's path from the root: where it begins, and 2 * node + bit of its inner nodes."""
     heap = [(max(n, 1), k) for k, n in enumerate(counts)]
     heapq.heapify(heap)
     up: dict[int, tuple[int, int]] = {}
@@ -130,16 +138,15 @@ def huffman(counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         up[a], up[b] = (number, 0), (number, 1)
         heapq.heappush(heap, (n + m, number))
         number += 1
-    first, nodes, bits = [0], [], []
+    first, steps = [0], []
     for k in range(len(counts)):
         path = []
         while k in up:
             k, bit = up[k]
-            path.append((k - len(counts), bit))
-        nodes += [x for x, _ in reversed(path)]
-        bits += [x for _, x in reversed(path)]
-        first.append(len(nodes))
-    return np.array(first), np.array(nodes, np.int64), np.array(bits, np.int64)
+            path.append(2 * (k - len(counts)) + bit)
+        steps += reversed(path)
+        first.append(len(steps))
+    return np.array(first), np.array(steps, np.int32)
 
 
 def lexicon(counts: DataFrame, size: int) -> tuple[Lexicon, int, int, int, int]:
@@ -204,7 +211,7 @@ def tokens(words, own: Lexicon, topics: int) -> Tokens:
 
 
 class Bits(NamedTuple):
-    token: np.ndarray  # index of the token that each bit belongs to
+    first: np.ndarray  # of each token
     bit: np.ndarray
     depth: np.ndarray
     slots: list[np.ndarray]  # of each predictor
@@ -213,18 +220,27 @@ class Bits(NamedTuple):
 def bits_of(own: Lexicon, some: Tokens, a: int, b: int, slots: int) -> Bits:
     """Bits of the tokens from ``a`` to before ``b``."""
     symbol = some.symbol[a:b]
-    n = (own.first[1:] - own.first[:-1])[symbol]
-    token = np.repeat(np.arange(a, b), n)
-    depth = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
-    at = np.repeat(own.first[symbol], n) + depth
-    node = own.nodes[at]
-    spread = (node.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    start = own.first[symbol]
+    n = own.first[symbol + 1] - start
+    before = np.cumsum(n) - n
+    depth = np.arange(n.sum()) - np.repeat(before, n)
+    at = np.repeat(start, n)
+    at += depth
+    step = own.steps.take(at).astype(np.int64)
+    node = step >> 1
+    spread = node.astype(np.uint64)
+    spread += np.uint64(1)
+    spread *= np.uint64(0xD6E8FEB86659FD93)
     shift = np.uint64(64 - (slots.bit_length() - 1))
     places = [node]
     for context in some.contexts:
-        h = context[token] ^ spread
-        places.append((((h ^ (h >> np.uint64(29))) * _ODD) >> shift).astype(np.int64))
-    return Bits(token, own.bits[at], depth, places)
+        h = np.repeat(context[a:b], n)
+        h ^= spread
+        h ^= h >> np.uint64(29)
+        h *= _ODD
+        h >>= shift
+        places.append(h.view(np.int64))
+    return Bits(before, step & 1, depth, places)
 
 
 def sizes(own: Lexicon, slots: int) -> list[int]:
@@ -275,10 +291,10 @@ def gate(levels: list[np.ndarray]) -> np.ndarray:
 
 
 def mixed_logit(weights: np.ndarray, chosen: np.ndarray, logits: list[np.ndarray]) -> np.ndarray:
-    z = weights[PREDICTORS][chosen].copy()
+    z = weights[PREDICTORS].take(chosen)
     for w, x in zip(weights, logits, strict=False):
-        z += w[chosen] * x
-    return np.clip(z, -12, 12)
+        z += w.take(chosen) * x
+    return np.clip(z, -12, 12, out=z)
 
 
 def cell(depth: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -291,53 +307,73 @@ def first_weights() -> np.ndarray:
     return np.vstack([np.full((PREDICTORS, GATES), 0.3), np.zeros((1, GATES))])
 
 
-def fit(docs: DataFrame, column: str, own, tables, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and the adaptive map's refined logits, learned online from the given rows."""
-    kinds = "kind int, place int, a long, b long"
+def without_own(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The logit at each slot for a bit that was counted there, at 2 * slot + bit, and the slot's level, both without that bit."""
+    zeros, ones = table[:, 0], table[:, 1]
+    logits = np.empty((len(table), 2), np.float32)
+    logits[:, 0] = np.log((ones + PRIOR) / (np.maximum(zeros - 1, 0) + PRIOR))
+    logits[:, 1] = np.log((np.maximum(ones - 1, 0) + PRIOR) / (zeros + PRIOR))
+    return logits.ravel(), level(zeros + ones - 1).astype(np.uint8)
+
+
+def learned(docs: DataFrame, column: str, own, tables, settings: Settings) -> DataFrame:
+    """(kind, place, a, b): kind 0, for each weight, millionths times uses, and uses; kind 1, for each cell of the map, ones and bits."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, seen = Lexicon(*own.value), tables.value
-        weights, visits = first_weights(), np.zeros(GATES, np.int64)
-        cells = np.zeros((DEPTHS * STEPS, 2), np.int64)
+        lex = Lexicon(*own.value)
+        each = [without_own(x) for x in tables.value]
+        weights, visits, cells, rows = first_weights(), np.zeros(GATES, np.int64), np.zeros((DEPTHS * STEPS, 2), np.int64), 0
         for batch in batches:
             for part in slices(batch, column):
                 some = tokens(lowered(part.column(column)), lex, settings.topics)
-                for at in range(0, len(some.symbol), settings.batch):
-                    bits = bits_of(lex, some, at, min(at + settings.batch, len(some.symbol)), settings.slots)
-                    logits, levels = [], []
-                    for table, place in zip(seen, bits.slots, strict=True):
-                        pair = table[place]
-                        pair[np.arange(len(place)), bits.bit] -= 1  # without this bit's own share
-                        logits.append(np.log((pair[:, 1] + PRIOR) / (pair[:, 0] + PRIOR)))
-                        levels.append(level(pair.sum(axis=1)))
-                    chosen = gate(levels[1:])
-                    z = mixed_logit(weights, chosen, logits)
-                    place = cell(bits.depth, z)
-                    cells[:, 1] += np.bincount(place, minlength=len(cells))
-                    cells[:, 0] += np.bincount(place, bits.bit, minlength=len(cells)).astype(np.int64)
-                    wrong = bits.bit - 1 / (1 + np.exp(-z))
-                    n = np.bincount(chosen, minlength=GATES)
-                    # a step in proportion to the inputs' power, so that it can't overshoot however large the logits are
-                    power = np.bincount(chosen, 1 + sum(x * x for x in logits), GATES) / np.maximum(n, 1)
-                    step = settings.rate / ((n + 16) * (1 + power / 4))
-                    for k, x in enumerate([*logits, np.ones(len(z))]):
-                        weights[k] += step * np.bincount(chosen, wrong * x, GATES)
-                    visits += n
-        worth = np.minimum(visits, 1 << 16)  # bounded, so that the sum over many tasks fits
-        arrays = []
-        for k in range(len(weights)):
-            arrays.append((np.full(GATES, 0), k * GATES + np.arange(GATES), np.rint(weights[k] * 1e6).astype(np.int64) * worth, worth))
-        arrays.append((np.full(len(cells), 1), np.arange(len(cells)), cells[:, 0], cells[:, 1]))
-        kind, place, a, b = [np.concatenate(x) for x in zip(*arrays, strict=True)]
-        used = b > 0
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(kind[used].astype(np.int32)), pa.array(place[used].astype(np.int32)), pa.array(a[used]), pa.array(b[used])],
-            names=["kind", "place", "a", "b"],
-        )
-
-    each = docs.select(column).mapInArrow(learn, kinds).groupBy("kind", "place").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+                for at in range(0, len(some.symbol), CHUNK):
+                    bits = bits_of(lex, some, at, min(at + CHUNK, len(some.symbol)), settings.slots)
+                    logits = [x.take(2 * place + bits.bit) for (x, _), place in zip(each, bits.slots, strict=True)]
+                    chosen = gate([x.take(place) for (_, x), place in zip(each[1:], bits.slots[1:], strict=True)]).astype(np.intp)
+                    inputs = 1 + sum(x * x for x in logits)
+                    ends = np.append(bits.first[settings.batch :: settings.batch], len(chosen))
+                    for a, b in zip(np.append(0, ends), ends, strict=False):
+                        bit, some_gates, xs = bits.bit[a:b], chosen[a:b], [x[a:b] for x in logits]
+                        z = mixed_logit(weights.astype(np.float32), some_gates, xs)
+                        cells += np.bincount(2 * cell(bits.depth[a:b], z) + bit, minlength=2 * len(cells)).reshape(-1, 2)
+                        wrong = bit.astype(np.float32) - 1 / (1 + np.exp(-z))
+                        n = np.bincount(some_gates, minlength=GATES)
+                        # a step in proportion to the inputs' power, so that it can't overshoot however large the logits are
+                        power = np.bincount(some_gates, inputs[a:b], GATES) / np.maximum(n, 1)
+                        step = settings.rate / ((n + 16) * (1 + power / 4))
+                        for k, x in enumerate(xs):
+                            weights[k] += step * np.bincount(some_gates, wrong * x, GATES)
+                        weights[PREDICTORS] += step * np.bincount(some_gates, wrong, GATES)
+                        visits += n
+                rows += len(part)
+                if rows >= settings.fit_docs:
+                    yield _sums(weights, visits, cells)
+                    weights, visits, cells, rows = first_weights(), np.zeros(GATES, np.int64), np.zeros((DEPTHS * STEPS, 2), np.int64), 0
+        yield _sums(weights, visits, cells)
+
+    each = docs.select(column).mapInArrow(learn, "kind int, place int, a long, b long")
+    return each.groupBy("kind", "place").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
+def _sums(weights: np.ndarray, visits: np.ndarray, cells: np.ndarray) -> pa.RecordBatch:
+    """What one learner gives to the sums of ``learned``."""
+    worth = np.minimum(visits, 1 << 16)  # bounded, so that the sum over many tasks fits
+    arrays = []
+    for k in range(len(weights)):
+        arrays.append((np.full(GATES, 0), k * GATES + np.arange(GATES), np.rint(weights[k] * 1e6).astype(np.int64) * worth, worth))
+    arrays.append((np.full(len(cells), 1), np.arange(len(cells)), cells[:, 1], cells.sum(axis=1)))
+    kind, place, a, b = [np.concatenate(x) for x in zip(*arrays, strict=True)]
+    used = b > 0
+    return pa.RecordBatch.from_arrays(
+        [pa.array(kind[used].astype(np.int32)), pa.array(place[used].astype(np.int32)), pa.array(a[used]), pa.array(b[used])],
+        names=["kind", "place", "a", "b"],
+    )
+
+
+def fit(docs: DataFrame, column: str, own, tables, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and the adaptive map's refined logits, learned online from the given rows."""
     weights, cells = first_weights(), np.zeros((DEPTHS * STEPS, 2))
-    for r in each.collect():  # gates and cells: a bounded number
+    for r in learned(docs, column, own, tables, settings).collect():  # gates and cells: a bounded number
         if r.kind == 0:
             weights[r.place // GATES, r.place % GATES] = r.a / r.b / 1e6
         else:
@@ -363,14 +399,15 @@ def text_logs(model: Model, lex: Lexicon, some: Tokens, n_texts: int) -> np.ndar
     total = np.zeros(n_texts)
     for a in range(0, len(some.symbol), CHUNK):
         bits = bits_of(lex, some, a, min(a + CHUNK, len(some.symbol)), model.settings.slots)
-        chosen = gate([x[place] for x, place in zip(model.levels[1:], bits.slots[1:], strict=True)]).astype(np.intp)
-        z = mixed_logit(model.weights, chosen, [x[place] for x, place in zip(model.logits, bits.slots, strict=True)])
-        z = z + 0.5 * model.refined[cell(bits.depth, z)]
-        cost = np.log1p(np.exp(np.where(bits.bit == 1, -z, z).astype(np.float64)))
+        chosen = gate([x.take(place) for x, place in zip(model.levels[1:], bits.slots[1:], strict=True)]).astype(np.intp)
+        z = mixed_logit(model.weights, chosen, [x.take(place) for x, place in zip(model.logits, bits.slots, strict=True)])
+        z += 0.5 * model.refined.take(cell(bits.depth, z))
+        sign = np.array([1, -1], z.dtype).take(bits.bit)
+        cost = np.log(1 + np.exp((z * sign).astype(np.float64)))
         # texts ascend, so a chunk's texts are few
-        text = some.text[bits.token]
-        low = int(text[0]) if len(text) else 0
-        part = np.bincount(text - low, cost)
+        text = some.text[a : a + CHUNK]
+        low = int(text[0])
+        part = np.bincount(text - low, np.add.reduceat(cost, bits.first))
         total[low : low + len(part)] -= part
     return total
 
@@ -425,8 +462,7 @@ def score(docs: DataFrame, column: str = "text", key: str = "doc_id", settings:
     shared = spark.sparkContext.broadcast(tuple(own))
     tables = bit_counts(train, column, shared, settings)
     seen = spark.sparkContext.broadcast([x.astype(np.float32) for x in tables])
-    sample = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(max(1, own.ends))) < settings.fit_docs
-    weights, refined = fit(train.filter(sample), column, shared, seen, settings)
+    weights, refined = fit(train, column, shared, seen, settings)
     logits = [np.log((x[:, 1] + PRIOR) / (x[:, 0] + PRIOR)).astype(np.float32) for x in tables]
     model = Model(tuple(own), logits, [level(x.sum(axis=1)).astype(np.uint8) for x in tables], weights, refined, settings)
     names = {f.name.lower() for f in T._parse_datatype_string(f"{FIELDS}, {_PARTS}")}

@@ -119,6 +119,38 @@ def test_counts_of_bits(spark):
         assert Counter(map(tuple, table[table.any(axis=1)].astype(int).tolist())) == pairs
 
 
+def test_the_weights_are_learned_from_all_training_rows(spark, monkeypatch):
+    """Also where there are many more of them than one learner takes."""
+    rows = texts()
+    settings = cm.Settings(lexicon=12, topics=3, slots=1 << 12, fit_docs=7)
+    seen, fit = [], cm.fit
+
+    def noted(docs, column, own, tables, settings):
+        lex = cm.Lexicon(*own.value)
+        known = lex.words.to_pylist()
+        depth = lex.first[1:] - lex.first[:-1]
+        each = token_lists([(r.doc_id, r.text) for r in docs.collect()])
+        bits = sum(int(depth[lex.end if x is END else known.index(x) if x in known else lex.escape]) for w in each for x in w)
+        used = cm.learned(docs, column, own, tables, settings).groupBy("kind").agg(F.sum("b").alias("b")).collect()
+        seen.append((len(each), bits, {r.kind: r.b for r in used}))
+        return fit(docs, column, own, tables, settings)
+
+    monkeypatch.setattr(cm, "fit", noted)
+    cm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), settings=settings).count()
+    (n, bits, used), = seen
+    assert n == sum(i is not None and zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows)
+    # each bit is in the map once, and in one gate with its weights and bias
+    assert used == {0: bits * (cm.PREDICTORS + 1), 1: bits}
+
+
+def test_a_bit_is_judged_without_its_own_share():
+    logits, levels = cm.without_own(np.array([[0.0, 0.0], [1, 0], [3, 2], [0, 20]], np.float32))
+    p = cm.PRIOR
+    want = {2: 0.0, 4: math.log((2 + p) / (2 + p)), 5: math.log((1 + p) / (3 + p)), 7: math.log((19 + p) / p)}
+    assert all(math.isclose(logits[k], x, rel_tol=1e-6, abs_tol=1e-6) for k, x in want.items()) and np.isfinite(logits).all()
+    assert levels.tolist() == [0, 0, 2, 3]
+
+
 def test_choices_sum_to_one(spark):
     """After any beginning, the probabilities of all next tokens make one."""
     rows = texts(80)
