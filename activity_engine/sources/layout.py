@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -111,11 +112,18 @@ class PreparedFact:
         """Whether both tables were written to the end (the mark is written last)."""
         return _stored(self.spark, f"{self.root}/complete", "buckets int") is not None
 
-    def write(self, **tables: DataFrame) -> "PreparedFact":
-        """Both tables, one file for each bucket and year; a year is a part of the data, so none is one task."""
+    def write(self, **tables: DataFrame | Callable[[PreparedFact], DataFrame]) -> PreparedFact:
+        """Both tables, one file for each bucket and year; a year is a part of the data, so none is one task.
+
+        A table given as a function of this layout is made when its turn comes, of rows already dealt over the buckets.
+        """
         for name in self.TABLES:
-            laid_out = tables[name].withColumn("year_key", F.col("der_financial_year"))
-            one = laid_out.repartition(self.buckets, *BUCKET_KEY).write.mode("overwrite").partitionBy("der_financial_year")
+            given = tables[name]
+            rows = given(self) if callable(given) else given
+            laid_out = rows.withColumn("year_key", F.col("der_financial_year"))
+            if not callable(given):
+                laid_out = laid_out.repartition(self.buckets, *BUCKET_KEY)
+            one = laid_out.write.mode("overwrite").partitionBy("der_financial_year")
             one = one.bucketBy(self.buckets, *BUCKET_KEY).sortBy(*BUCKET_KEY).option("path", f"{self.root}/{name}")
             self.spark.sql(f"DROP TABLE IF EXISTS {self._name(name)}")  # of an external table: its files stay
             one.saveAsTable(self._name(name))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import activity_month, fin_year, first_of_month, fy_start_year
 from ..params import Params
 from ..session import checkpoint_dir
-from .layout import BUCKET_KEY, DateSpans, PreparedFact, state_of
+from .layout import BUCKET_KEY, DateSpans, PreparedFact, files_of, state_of
 from .tables import Scope, Tables
 
 # Fixed values of the mapping (FIXTURES.md section 2).
@@ -41,7 +41,9 @@ MISPLACED_NATION, MISPLACED_STP = 5, "Q1"  # provider lookup row with a wrong ST
 UNLISTED_NATION = 10  # left out of the provider lookup
 NON_SE_REGION = 4
 FIRST_REGION_CODE_KEYS = (0, 1, 2)  # region code 'Y0', others 'Y1'
-BUCKETS = 8  # of the prepared fact, unless stated
+BUCKETS = 8  # of the prepared fact at least, unless stated
+#: Bytes of stored lines for each of its buckets: a task sorts one bucket's rows, some 200 MB of them, in memory.
+BUCKET_BYTES = 16 << 20
 
 
 def _map(col: Column, pairs) -> Column:
@@ -93,16 +95,11 @@ def _keys_of(pairs, wanted) -> list[str]:
     return [k for k, v in pairs if v in wanted]
 
 
-def _fact_base(raw: _Raw, with_part: bool = True, scope: Scope = Scope()) -> DataFrame:
-    """lineitem joined to orders, part and supplier, projected to mapped columns.
+def _sides(raw: _Raw, scope: Scope = Scope()) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """lineitem, orders, part and supplier, projected to their keys and mapped columns.
 
     ``scope`` becomes predicates on the stored columns, which the Parquet scan
     can use; the mapped columns are expressions and can't be pushed that far.
-
-    All foreign keys resolve, so inner joins keep every line.  The dimension
-    sides are projected to derived codes first; sizes are left to the
-    optimizer (AQE turns a join into a broadcast only when the measured side
-    is under the threshold).
     """
     lines, orders = raw("lineitem"), raw("orders")
     if scope.dates:
@@ -117,7 +114,7 @@ def _fact_base(raw: _Raw, with_part: bool = True, scope: Scope = Scope()) -> Dat
         orders = orders.where(F.col("o_orderpriority").isNull() | (F.col("o_orderpriority") != LOW_PRIORITY))
     li = lines.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("opa_ident"),
-        "l_orderkey", "l_partkey", "l_suppkey",
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
         F.col("l_shipdate").cast("date").alias("appointment_date"),
         _map(F.col("l_returnflag"), RETURNFLAG_TO_FIRST_ATTENDANCE).alias("first_attendance"),
         F.when(F.col("l_discount") != 0, (F.round(F.col("l_discount") * 100).cast("int") % 3)).alias("der_number_procedure"),
@@ -140,11 +137,23 @@ def _fact_base(raw: _Raw, with_part: bool = True, scope: Scope = Scope()) -> Dat
         F.col("s_nationkey"),
         F.concat(F.lit("R"), _nn(F.col("s_nationkey")), sfx).alias("der_provider_code"),
     )
+    return li, o, p, s
+
+
+def _join(li: DataFrame, o: DataFrame, p: DataFrame | None, s: DataFrame) -> DataFrame:
+    """The sides joined. All foreign keys resolve, so inner joins keep every line.
+
+    Sizes are left to the optimizer (AQE turns a join into a broadcast only when
+    the measured side is under the threshold).
+    """
     base = li.join(o, li.l_orderkey == o.o_orderkey)
-    if with_part:
+    if p is not None:
         base = base.join(p, li.l_partkey == p.p_partkey)
-    base = base.join(s, li.l_suppkey == s.s_suppkey)
-    return base.withColumns(
+    return base.join(s, li.l_suppkey == s.s_suppkey)
+
+
+def _with_periods(lines: DataFrame) -> DataFrame:
+    return lines.withColumns(
         {
             "der_financial_year": fin_year("appointment_date", "/"),
             "der_activity_month": activity_month("appointment_date"),
@@ -152,6 +161,54 @@ def _fact_base(raw: _Raw, with_part: bool = True, scope: Scope = Scope()) -> Dat
     )
 
 
+def _fact_base(raw: _Raw, with_part: bool = True, scope: Scope = Scope()) -> DataFrame:
+    """lineitem joined to orders, part and supplier, with the mapped columns."""
+    li, o, p, s = _sides(raw, scope)
+    return _with_periods(_join(li, o, p if with_part else None, s))
+
+
+#: The mapped columns of few values: all that each can have.
+VALUES = {
+    "first_attendance": [v for _, v in RETURNFLAG_TO_FIRST_ATTENDANCE],
+    "attendance_status": [v for _, v in ORDERSTATUS_TO_ATTENDANCE_STATUS],
+    "administrative_category": ["01", "02"],
+    "treatment_function_code": [v for _, v in PART_TYPE_TO_TFC],
+    "core_hrg": ["WF01A", "AA01A"],
+}
+
+
+def _coded(side: DataFrame) -> DataFrame:
+    """The columns of ``VALUES`` as their value's place in its list, a byte."""
+    return side.withColumns(
+        {c: _map(F.col(c), [(v, k) for k, v in enumerate(VALUES[c])]).cast("byte") for c in side.columns if c in VALUES}
+    )
+
+
+def _decoded(lines: DataFrame) -> DataFrame:
+    return lines.withColumns({c: _map(F.col(c), list(enumerate(v))) for c, v in VALUES.items()})
+
+
+def _dealt_attendance(raw: _Raw, buckets: int) -> DataFrame:
+    """The attendance rows, with whether each has a cost (``costed``), dealt over the buckets of the cost key.
+
+    Every line goes through the joins' exchanges and this one, so it travels narrow:
+    keys, date and codes of a byte. What can be told from these is made after the last.
+    """
+    li, o, p, s = map(_coded, _sides(raw))
+    li = li.withColumn("costed", F.col("l_tax") > 0).drop("opa_ident", "l_tax", "l_linestatus")
+    ident = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    kept = [c for c in ATTENDANCE_COLUMNS if c not in ("opa_ident", "der_financial_year", "der_activity_month")]
+    lines = _join(li, o.drop("o_orderpriority"), p, s).select(ident.alias("opa_ident"), *kept, "costed")
+    dealt = lines.repartition(buckets, F.col("opa_ident"), fin_year("appointment_date", "/"))
+    return _with_periods(_decoded(dealt)).select(*ATTENDANCE_COLUMNS, "costed")
+
+
+def _cost_of(attendance: DataFrame) -> DataFrame:
+    """The cost table from a laid-out attendance table; as that is bucketed by the key, without an exchange."""
+    costed = attendance.where("costed").groupBy(*BUCKET_KEY, "der_financial_year")
+    return costed.agg(F.min("core_hrg").alias("hrg_code_other"))
+
+
 ATTENDANCE_COLUMNS = (
     "opa_ident", "appointment_date", "der_financial_year", "der_activity_month",
     "der_provider_code", "treatment_function_code", "first_attendance",
@@ -366,14 +423,23 @@ def prepare_fact(spark: SparkSession, sf_dir: str, out: str, params: Params | No
     This is the layout the real attendance fact has at scale: every extract
     filters on the financial year, which then prunes partitions instead of
     running a post-scan filter behind the four-table derivation, and the cost
-    join reads matching buckets.  ``buckets`` should make a year's bucket some
-    hundred MB.  ``out`` must be on the shared file system.
+    join reads matching buckets.  Each bucket is one task's, here and in that join, so
+    their number grows with the stored lines unless ``buckets`` states it.  The joins of the
+    derivation run once: the cost table is made of the attendance rows just written.
+    ``out`` must be on the shared file system.
     """
-    t = load_tables(spark, sf_dir, params)
-    PreparedFact(spark, out, buckets or BUCKETS).write(attendance=t.attendance, attendance_cost=t.attendance_cost)
+    raw = _Raw(spark, sf_dir)
+    fact = PreparedFact(spark, out, buckets or _buckets_for(spark, sf_dir))
+    fact.write(attendance=lambda own: _dealt_attendance(raw, own.buckets), attendance_cost=lambda own: _cost_of(own.table("attendance")))
     return out
 
 
+def _buckets_for(spark: SparkSession, sf_dir: str) -> int:
+    stored = files_of(spark, f"{sf_dir}/lineitem.parquet").agg(F.sum("length").alias("n")).first().n or 0
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    return min(max(BUCKETS, -(-stored // BUCKET_BYTES)), most)
+
+
 def prepared_for(spark: SparkSession, sf_dir: str, params: Params | None = None) -> str:
     """The folder of the prepared fact for the present state of the files; written when there is none yet."""
     tables = ("lineitem", "orders", "part", "supplier")

@@ -11,6 +11,7 @@ from activity_engine.params import test_params as make_params
 from activity_engine.plans.pipeline import Pipeline
 from activity_engine.plans.registry import pipeline, queries
 from activity_engine.session import ENGINE_CONF, configure
+from activity_engine.sources import testmap
 from activity_engine.sources.layout import DateSpans, PreparedFact, state_of
 from activity_engine.sources.testmap import SCHEMAS, load_tables, prepare_fact
 from conftest import SF_SMALL
@@ -99,6 +100,38 @@ def test_a_session_that_did_not_write_the_layout_names_its_buckets(spark, tmp_pa
     assert "SelectedBucketsCount: 3 out of 3" in formatted(spark, again.groupBy("opa_ident", "year_key").count())
 
 
+def test_the_layout_is_the_derived_fact_with_a_bucket_for_each_part_of_the_lines(spark, tmp_path, monkeypatch):
+    """The fact is joined and dealt once, narrow; buckets, each one task's, grow with the lines; the rows are the derived ones."""
+    folder, out = str(tmp_path / "tables"), str(tmp_path / "out")
+    lines = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    odd = lines.limit(40)
+    for c in ("l_shipdate", "l_returnflag", "l_discount", "l_tax", "l_linenumber"):
+        odd = odd.withColumn(c, F.when(F.col("l_orderkey") % 3 > 0, F.col(c)))
+    _with_lines(spark, folder, lines.unionByName(odd).unionByName(lines.limit(9)).repartition(2))
+    stored = sum(r.length for r in testmap.files_of(spark, f"{folder}/lineitem.parquet").collect())
+    monkeypatch.setattr(testmap, "BUCKET_BYTES", -(-stored // 11))
+    p = make_params()
+    prepare_fact(spark, folder, out, p)
+    derived, t = load_tables(spark, folder, p), load_tables(spark, folder, p, prepared=out)
+    assert "SelectedBucketsCount: 11 out of 11" in formatted(spark, t.attendance_cost.groupBy("opa_ident", "year_key").count())
+    for name in PreparedFact.TABLES:
+        want, got = getattr(derived, name), getattr(t, name)
+        assert got.where("not (year_key <=> der_financial_year)").count() == 0
+        got = got.select(*want.columns)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())), name
+        assert dict(got.dtypes) == dict(want.dtypes)
+
+
+def test_the_cost_table_is_made_of_the_attendance_rows(spark, tmp_path, no_broadcast, static_plans):
+    p = make_params()
+    prepare_fact(spark, SF_SMALL, str(tmp_path), p, buckets=4)
+    plan = testmap._cost_of(PreparedFact(spark, str(tmp_path), 4).table("attendance"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "Bucketed: true" in plan
+    # what travels to the buckets: no text but the provider's code
+    dealt = formatted(spark, testmap._dealt_attendance(testmap._Raw(spark, SF_SMALL), 4))
+    assert dealt.count("REPARTITION_BY_NUM") >= 1 and dealt.count("l_returnflag") > 0
+
+
 def test_an_unfinished_layout_is_not_taken(spark, tmp_path):
     fact = PreparedFact(spark, str(tmp_path / "x"), 2)
     assert not fact.complete
