@@ -334,9 +334,9 @@ def learned(docs: DataFrame, column: str, own, tables, settings: Settings) -> Da
                     ends = np.append(bits.first[settings.batch :: settings.batch], len(chosen))
                     for a, b in zip(np.append(0, ends), ends, strict=False):
                         bit, some_gates, xs = bits.bit[a:b], chosen[a:b], [x[a:b] for x in logits]
-                        z = mixed_logit(weights.astype(np.float32), some_gates, xs)
+                        z = mixed_logit(weights, some_gates, xs)
                         cells += np.bincount(2 * cell(bits.depth[a:b], z) + bit, minlength=2 * len(cells)).reshape(-1, 2)
-                        wrong = bit.astype(np.float32) - 1 / (1 + np.exp(-z))
+                        wrong = bit - 1 / (1 + np.exp(-z))
                         n = np.bincount(some_gates, minlength=GATES)
                         # a step in proportion to the inputs' power, so that it can't overshoot however large the logits are
                         power = np.bincount(some_gates, inputs[a:b], GATES) / np.maximum(n, 1)
