@@ -47,7 +47,7 @@ from pyspark.sql import types as T
 
 from activity_engine.session import checkpoint_dir
 
-from .words import SPACES, buffer, map_texts, slices, split
+from .words import SPACES, buffer, map_texts, pieces, slices
 
 #: Predictors beside the one without a context: the token before, the two before, the last very frequent one.
 CONTEXTS = 3
@@ -59,8 +59,11 @@ GATES = LEVELS**CONTEXTS
 DEPTHS, STEPS = 16, 49
 #: What each slot holds of either bit at first.
 PRIOR = 0.4
-#: Tokens handled at a time: so few that their bits' arrays stay in the processor's cache.
-CHUNK = 2048
+#: Tokens handled at a time: so few that their bits' arrays stay near the processor, and so many that what they look
+#: up in one predictor's table is often near too.
+CHUNK = 4096
+#: Zeros and ones of how many neighbouring slots are summed in one row.
+NEIGHBOURS = 8
 
 
 class Settings(NamedTuple):
@@ -85,20 +88,35 @@ def word_counts(docs: DataFrame, column: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, column):
-                words = lowered(part.column(column))
-                n = np.bincount(words.codes, minlength=len(words.distinct))
-                some = np.flatnonzero(n)
-                names = words.distinct.take(pa.array(some)).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([names, pa.array(n[some])], names=["word", "n"])
+                each = lowered(part.column(column))[0].value_counts()
+                yield pa.RecordBatch.from_arrays([each.field("values").cast(pa.string()), each.field("counts")], names=["word", "n"])
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([len(batch)])], names=["word", "n"])
 
     return docs.select(column).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def lowered(texts: pa.Array):
+def lowered(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of all texts, one after the other, and the index of each text's first; one more entry at the end."""
     data, offsets = buffer(texts)
-    # on the bytes: Arrow's own function garbles a cast slice
-    return split(data + 32 * ((data >= ord("A")) & (data <= ord("Z"))).astype(np.uint8), offsets, SPACES)
+    raw = data.tobytes()
+    word = np.frombuffer(raw.translate(_WORD), bool)
+    begin = offsets[:-1][offsets[:-1] < len(data)]
+    start = word.copy()
+    start[1:] &= ~word[:-1]
+    start[begin] = word[begin]
+    stop = word.copy()
+    stop[:-1] &= ~word[1:]
+    # a text's last byte ends its last word, though the next text may begin with one
+    stop[begin[begin > 0] - 1] = word[begin[begin > 0] - 1]
+    starts = np.flatnonzero(start)
+    ends = np.cumsum(np.flatnonzero(stop) + 1 - starts)
+    return pieces(np.frombuffer(raw.translate(_LOWER, _GAPS), np.uint8), np.append(0, ends)[:-1]), np.searchsorted(starts, offsets)
+
+
+#: Of each byte: whether it is part of a word, and the lower-case one.
+_WORD = bytes((~SPACES).astype(np.uint8))
+_LOWER = bytes(x + 32 * (ord("A") <= x <= ord("Z")) for x in range(256))
+_GAPS = bytes(np.flatnonzero(SPACES).astype(np.uint8))
 
 
 class Lexicon(NamedTuple):
@@ -179,68 +197,105 @@ class Tokens(NamedTuple):
     symbol: np.ndarray
     text: np.ndarray
     contexts: tuple[np.ndarray, ...]
+    before: tuple[np.ndarray, ...] = ()  # what the contexts are hashed from: the token before, the one before that, the topic
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def tokens(words, own: Lexicon, topics: int) -> Tokens:
-    found = pc.index_in(words.distinct, value_set=own.words) if len(own.words) else pa.nulls(len(words.distinct), pa.int32())
-    of_word = np.asarray(pc.fill_null(found, own.escape)).astype(np.int64)
-    lengths = np.diff(words.first)
+def tokens(words: pa.Array, first: np.ndarray, own: Lexicon, topics: int) -> Tokens:
+    found = pc.index_in(words, value_set=own.words) if len(own.words) else pa.nulls(len(words), pa.int32())
+    lengths = np.diff(first)
     text = np.repeat(np.arange(len(lengths)), lengths + 1)
-    last = words.first[1:] + np.arange(len(lengths))
+    last = first[1:] + np.arange(len(lengths))
     symbol = np.full(len(text), own.end, np.int64)
     inner = np.ones(len(text), bool)
     inner[last] = False
-    symbol[inner] = of_word[words.codes]
-    start = np.zeros(len(text), bool)
-    start[last - lengths] = True
-    at = np.arange(len(text))
-    begin = np.maximum.accumulate(np.where(start, at, 0))
+    symbol[inner] = np.asarray(pc.fill_null(found, own.escape))
+    start = last - lengths
+    one, two, topic = (np.ones(len(text), np.uint64) for _ in range(CONTEXTS))
+    one[1:] = symbol[:-1] + 2
+    one[start] = 1
+    two[1:] = one[:-1]
+    two[start] = 1
+    # the last very frequent word at least two tokens before
+    seen = np.maximum.accumulate(np.where((symbol < min(topics, own.end)), np.arange(len(text)), -1))
+    latest = np.full(len(text), -1)
+    latest[2:] = seen[:-2]
+    some = np.flatnonzero(latest >= np.repeat(start, lengths + 1))
+    topic[some] = symbol[latest[some]] + 2
+    return Tokens(symbol, text, (hashed(one), hashed(one, two), hashed(topic)), (one, two, topic))
+
+
+def hashed(one: np.ndarray, two: np.ndarray | None = None) -> np.ndarray:
+    return (one if two is None else one * np.uint64(0x100000001B3) + two) * _ODD
+
+
+def distinct(some: Tokens, symbols: int) -> list[tuple[Tokens, np.ndarray]]:
+    """For each context, its tokens with that context alone, those with the same one together, and how many they are."""
+    width = np.uint64((symbols + 2).bit_length())
+    if 3 * int(width) > 64:
+        return [(Tokens(some.symbol, some.text, (x,)), np.ones(len(some.symbol), np.int64)) for x in some.contexts]
+    one, two, topic = some.before
+    mask = (np.uint64(1) << width) - np.uint64(1)
+    out = []
+    for number in (one, one << width | two, topic):
+        key = np.sort(number << width | some.symbol.astype(np.uint64))
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        times, key = np.diff(first, append=len(key)), key[first]
+        number = key >> width
+        context = hashed(number >> width, number & mask) if len(out) == 1 else hashed(number)
+        out.append((Tokens((key & mask).astype(np.int64), first, (context,)), times))
+    return out
 
-    def before(k: int) -> np.ndarray:
-        return np.where(at - k >= begin, symbol[np.maximum(at - k, 0)] + 2, 1).astype(np.uint64)
 
-    one, two = before(1), before(2)
-    # the last very frequent word at least two tokens before
-    seen = np.maximum.accumulate(np.where((symbol < min(topics, own.end)), at, -1))
-    latest = np.where(at >= 2, seen[np.maximum(at - 2, 0)], -1)
-    topic = np.where(latest >= begin, symbol[np.maximum(latest, 0)] + 2, 1).astype(np.uint64)
-    return Tokens(symbol, text, (one * _ODD, (one * np.uint64(0x100000001B3) + two) * _ODD, topic * _ODD))
+class Paths(NamedTuple):
+    """What is needed of the symbols' paths; what a step's bit and node tell is at its number."""
+
+    first: np.ndarray  # of each symbol's path; one more entry at the end
+    steps: np.ndarray  # 2 * node + bit
+    row: np.ndarray  # of each step, where its depth begins in the adaptive map
+    spread: np.ndarray  # of each step, its node's share in a slot's hash
+
+
+def folded(h: np.ndarray) -> np.ndarray:
+    """Folding goes bit by bit: that of two values' exclusive or is theirs' exclusive or."""
+    return h ^ (h >> np.uint64(29))
+
+
+def paths(own: Lexicon) -> Paths:
+    depth = np.arange(len(own.steps)) - np.repeat(own.first[:-1], np.diff(own.first))
+    row = np.zeros(2 * (len(own.words) + 2), np.int64)
+    row[own.steps] = np.minimum(depth, DEPTHS - 1) * STEPS
+    node = np.arange(len(row), dtype=np.uint64) >> np.uint64(1)
+    return Paths(own.first, own.steps, row, folded((node + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)))
 
 
 class Bits(NamedTuple):
     first: np.ndarray  # of each token
-    bit: np.ndarray
-    depth: np.ndarray
-    slots: list[np.ndarray]  # of each predictor
+    step: np.ndarray  # 2 * node + bit
+    slots: list[np.ndarray]  # of each predictor with a context
 
 
-def bits_of(own: Lexicon, some: Tokens, a: int, b: int, slots: int) -> Bits:
-    """Bits of the tokens from ``a`` to before ``b``."""
-    symbol = some.symbol[a:b]
-    start = own.first[symbol]
-    n = own.first[symbol + 1] - start
+def bits_of(path: Paths, some: Tokens, a: int, slots: int) -> Bits:
+    """Bits of the ``CHUNK`` tokens from ``a`` on, or of those left."""
+    symbol = some.symbol[a : a + CHUNK]
+    start = path.first[symbol]
+    n = path.first[symbol + 1] - start
     before = np.cumsum(n) - n
-    depth = np.arange(n.sum()) - np.repeat(before, n)
-    at = np.repeat(start, n)
-    at += depth
-    step = own.steps.take(at).astype(np.int64)
-    node = step >> 1
-    spread = node.astype(np.uint64)
-    spread += np.uint64(1)
-    spread *= np.uint64(0xD6E8FEB86659FD93)
+    at = np.repeat(start - before, n)
+    at += np.arange(len(at))
+    step = path.steps.take(at).astype(np.int64)
+    spread = path.spread.take(step)
     shift = np.uint64(64 - (slots.bit_length() - 1))
-    places = [node]
+    places = []
     for context in some.contexts:
-        h = np.repeat(context[a:b], n)
+        h = np.repeat(folded(context[a : a + CHUNK]), n)
         h ^= spread
-        h ^= h >> np.uint64(29)
         h *= _ODD
         h >>= shift
         places.append(h.view(np.int64))
-    return Bits(before, step & 1, depth, places)
+    return Bits(before, step, places)
 
 
 def sizes(own: Lexicon, slots: int) -> list[int]:
@@ -252,28 +307,37 @@ def bit_counts(docs: DataFrame, column: str, own, settings: Settings) -> list[np
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = Lexicon(*own.value)
+        path = paths(lex)
         size = sizes(lex, settings.slots)
-        seen = [np.zeros(2 * n, np.int64) for n in size]
+        seen = [np.zeros(-(-n // NEIGHBOURS) * 2 * NEIGHBOURS, np.int64) for n in size]
+        symbols = np.zeros(len(lex.words) + 2, np.int64)
         for batch in batches:
             for part in slices(batch, column):
-                some = tokens(lowered(part.column(column)), lex, settings.topics)
-                for a in range(0, len(some.symbol), CHUNK):
-                    bits = bits_of(lex, some, a, min(a + CHUNK, len(some.symbol)), settings.slots)
-                    for table, place in zip(seen, bits.slots, strict=True):
-                        np.add.at(table, 2 * place + bits.bit, 1)
+                some = tokens(*lowered(part.column(column)), lex, settings.topics)
+                symbols += np.bincount(some.symbol, minlength=len(symbols))
+                for table, (each, times) in zip(seen[1:], distinct(some, len(symbols)), strict=True):
+                    for a in range(0, len(times), CHUNK):
+                        bits = bits_of(path, each, a, settings.slots)
+                        n = np.repeat(times[a : a + CHUNK], np.diff(bits.first, append=len(bits.step)))
+                        np.add.at(table, 2 * bits.slots[0] + (bits.step & 1), n)
+        # without a context, a symbol's occurrences all count at the same steps
+        np.add.at(seen[0], path.steps, np.repeat(symbols, np.diff(path.first)))
         for k, table in enumerate(seen):
-            pair = table.reshape(-1, 2)
-            some = np.flatnonzero(pair.any(axis=1))
-            arrays = [pa.array(np.full(len(some), k, np.int32)), pa.array(some.astype(np.int32)), pa.array(pair[some, 0]), pa.array(pair[some, 1])]
-            yield pa.RecordBatch.from_arrays(arrays, names=["k", "slot", "zeros", "ones"])
-
-    each = docs.select(column).mapInArrow(count, "k int, slot int, zeros long, ones long")
-    got = each.groupBy("k", "slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow()
-    out = [np.zeros((n, 2)) for n in sizes(Lexicon(*own.value), settings.slots)]
-    k, slot = np.asarray(got["k"]), np.asarray(got["slot"])
-    zeros, ones = np.asarray(got["zeros"]), np.asarray(got["ones"])
-    for j, table in enumerate(out):
-        table[slot[k == j], 0], table[slot[k == j], 1] = zeros[k == j], ones[k == j]
+            each = table.reshape(-1, 2 * NEIGHBOURS)
+            some = np.flatnonzero(each.any(axis=1))
+            arrays = [pa.array(np.full(len(some), k, np.int32)), pa.array(some.astype(np.int32)), *map(pa.array, each[some].T.copy())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["k", "block", *names])
+
+    names = [f"n{i}" for i in range(2 * NEIGHBOURS)]
+    each = docs.select(column).mapInArrow(count, f"k int, block int, {', '.join(f'{x} long' for x in names)}")
+    got = each.groupBy("k", "block").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
+    k, block = np.asarray(got["k"]), np.asarray(got["block"])
+    out = []
+    for j, n in enumerate(sizes(Lexicon(*own.value), settings.slots)):
+        table = np.zeros((-(-n // NEIGHBOURS), 2 * NEIGHBOURS))
+        for i, x in enumerate(names):
+            table[block[k == j], i] = np.asarray(got[x])[k == j]
+        out.append(table.reshape(-1, 2)[:n])
     return out
 
 
@@ -293,13 +357,17 @@ def gate(levels: list[np.ndarray]) -> np.ndarray:
 def mixed_logit(weights: np.ndarray, chosen: np.ndarray, logits: list[np.ndarray]) -> np.ndarray:
     z = weights[PREDICTORS].take(chosen)
     for w, x in zip(weights, logits, strict=False):
-        z += w.take(chosen) * x
+        own = w.take(chosen)
+        own *= x
+        z += own
     return np.clip(z, -12, 12, out=z)
 
 
-def cell(depth: np.ndarray, z: np.ndarray) -> np.ndarray:
+def cell(row: np.ndarray, z: np.ndarray) -> np.ndarray:
     """Place in the adaptive map."""
-    return np.minimum(depth, DEPTHS - 1) * STEPS + np.rint((z + 12) * ((STEPS - 1) / 24)).astype(np.int64)
+    out = np.rint((z + 12) * ((STEPS - 1) / 24)).astype(np.int64)
+    out += row
+    return out
 
 
 def first_weights() -> np.ndarray:
@@ -321,30 +389,43 @@ def learned(docs: DataFrame, column: str, own, tables, settings: Settings) -> Da
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = Lexicon(*own.value)
+        path = paths(lex)
         each = [without_own(x) for x in tables.value]
+        mark = path.row + DEPTHS * STEPS * (np.arange(len(path.row)) & 1)  # the map's cells of ones behind those of zeros
+        gates = np.arange(GATES + 1, dtype=np.uint8)
         weights, visits, cells, rows = first_weights(), np.zeros(GATES, np.int64), np.zeros((DEPTHS * STEPS, 2), np.int64), 0
         for batch in batches:
             for part in slices(batch, column):
-                some = tokens(lowered(part.column(column)), lex, settings.topics)
+                some = tokens(*lowered(part.column(column)), lex, settings.topics)
                 for at in range(0, len(some.symbol), CHUNK):
-                    bits = bits_of(lex, some, at, min(at + CHUNK, len(some.symbol)), settings.slots)
-                    logits = [x.take(2 * place + bits.bit) for (x, _), place in zip(each, bits.slots, strict=True)]
-                    chosen = gate([x.take(place) for (_, x), place in zip(each[1:], bits.slots[1:], strict=True)]).astype(np.intp)
-                    inputs = 1 + sum(x * x for x in logits)
+                    bits = bits_of(path, some, at, settings.slots)
+                    chosen = gate([x.take(place) for (_, x), place in zip(each[1:], bits.slots, strict=True)])
                     ends = np.append(bits.first[settings.batch :: settings.batch], len(chosen))
+                    # each batch's bits gate by gate, so that a gate's sums are over neighbours
+                    order = np.concatenate([a + np.argsort(chosen[a:b], kind="stable") for a, b in zip(np.append(0, ends), ends, strict=False)])
+                    chosen, step = chosen.take(order), bits.step.take(order)
+                    bit = step & 1
+                    logits = [each[0][0].take(step), *[x.take(2 * place.take(order) + bit) for (x, _), place in zip(each[1:], bits.slots, strict=True)]]
+                    power = (1 + sum(x * x for x in logits)).astype(float)
+                    inputs = np.ones((PREDICTORS + 1, len(chosen)))  # the last is the bias's
+                    for k, x in enumerate(logits):
+                        inputs[k] = x
+                    seen, z = bit.astype(float), np.empty(len(chosen))
                     for a, b in zip(np.append(0, ends), ends, strict=False):
-                        bit, some_gates, xs = bits.bit[a:b], chosen[a:b], [x[a:b] for x in logits]
-                        z = mixed_logit(weights, some_gates, xs)
-                        cells += np.bincount(2 * cell(bits.depth[a:b], z) + bit, minlength=2 * len(cells)).reshape(-1, 2)
-                        wrong = bit - 1 / (1 + np.exp(-z))
-                        n = np.bincount(some_gates, minlength=GATES)
+                        first = np.searchsorted(chosen[a:b], gates)
+                        n = np.diff(first)
+                        used = np.flatnonzero(n)
+                        first, n = first[used], n[used]
+                        xs = inputs[:, a:b]
+                        np.clip(np.einsum("kn,kn->n", np.repeat(weights[:, used], n, axis=1), xs), -12, 12, out=z[a:b])
+                        wrong = np.exp(-z[a:b])
+                        wrong += 1
+                        np.subtract(seen[a:b], np.divide(1, wrong, out=wrong), out=wrong)
                         # a step in proportion to the inputs' power, so that it can't overshoot however large the logits are
-                        power = np.bincount(some_gates, inputs[a:b], GATES) / np.maximum(n, 1)
-                        step = settings.rate / ((n + 16) * (1 + power / 4))
-                        for k, x in enumerate(xs):
-                            weights[k] += step * np.bincount(some_gates, wrong * x, GATES)
-                        weights[PREDICTORS] += step * np.bincount(some_gates, wrong, GATES)
-                        visits += n
+                        size = settings.rate / ((n + 16) * (1 + np.add.reduceat(power[a:b], first) / n / 4))
+                        weights[:, used] += size * np.add.reduceat(xs * wrong, first, axis=1)
+                        visits[used] += n
+                    cells += np.bincount(cell(mark.take(step), z), minlength=2 * len(cells)).reshape(2, -1).T
                 rows += len(part)
                 if rows >= settings.fit_docs:
                     yield _sums(weights, visits, cells)
@@ -394,16 +475,21 @@ class Model(NamedTuple):
     settings: Settings
 
 
-def text_logs(model: Model, lex: Lexicon, some: Tokens, n_texts: int) -> np.ndarray:
+def text_logs(model: Model, lex: Lexicon, some: Tokens, n_texts: int, path: Paths | None = None) -> np.ndarray:
     """Natural logarithm of each text's coded probability (escaped words' own share left out)."""
     total = np.zeros(n_texts)
+    path = path or paths(lex)
+    free, sign = np.repeat(model.logits[0], 2), np.array([1, -1], model.logits[0].dtype)
     for a in range(0, len(some.symbol), CHUNK):
-        bits = bits_of(lex, some, a, min(a + CHUNK, len(some.symbol)), model.settings.slots)
-        chosen = gate([x.take(place) for x, place in zip(model.levels[1:], bits.slots[1:], strict=True)]).astype(np.intp)
-        z = mixed_logit(model.weights, chosen, [x.take(place) for x, place in zip(model.logits, bits.slots, strict=True)])
-        z += 0.5 * model.refined.take(cell(bits.depth, z))
-        sign = np.array([1, -1], z.dtype).take(bits.bit)
-        cost = np.log(1 + np.exp((z * sign).astype(np.float64)))
+        bits = bits_of(path, some, a, model.settings.slots)
+        chosen = gate([x.take(place) for x, place in zip(model.levels[1:], bits.slots, strict=True)]).astype(np.intp)
+        logits = [free.take(bits.step), *[x.take(place) for x, place in zip(model.logits[1:], bits.slots, strict=True)]]
+        z = mixed_logit(model.weights, chosen, logits)
+        z += 0.5 * model.refined.take(cell(path.row.take(bits.step), z))
+        z *= sign.take(bits.step & 1)
+        cost = np.exp(z.astype(np.float64))
+        cost += 1
+        np.log(cost, out=cost)
         # texts ascend, so a chunk's texts are few
         text = some.text[a : a + CHUNK]
         low = int(text[0])
@@ -422,27 +508,33 @@ def coded(docs: DataFrame, column: str, model) -> DataFrame:
     fields = T._parse_datatype_string(f"{sums}, words array<string>, times array<int>")
     kept = [f for f in docs.schema if f.name != column]
 
+    ready = []  # in each task, made for its first slice
+
     def rows(part: pa.RecordBatch) -> dict:
         own = Model(*model.value)
         lex = Lexicon(*own.lexicon)
-        words = lowered(part.column(column))
-        some = tokens(words, lex, own.settings.topics)
+        if not ready:
+            ready.append(paths(lex))
+        words, first = lowered(part.column(column))
+        some = tokens(words, first, lex, own.settings.topics)
         inside = some.symbol <= lex.end
         logs = np.append(lex.log_counts, 0.0)[some.symbol]
         n = len(part)
         known = np.bincount(some.text, inside & ((some.symbol != lex.end) | (lex.ends > 0)), n)
-        word = np.delete(np.arange(len(some.symbol)), np.cumsum(np.diff(words.first) + 1) - 1)  # the tokens that are words
-        rare = some.symbol[word] == lex.escape
-        pair, times = np.unique(some.text[word][rare] * max(1, len(words.distinct)) + words.codes[rare], return_counts=True)
-        offsets = pa.array(np.searchsorted(pair // max(1, len(words.distinct)), np.arange(n + 1)), pa.int32())
-        names = words.distinct.take(pa.array(pair % max(1, len(words.distinct)))).cast(pa.string())
+        escaped = some.symbol == lex.escape
+        text = some.text[escaped]
+        rare = words.filter(pa.array(escaped[some.symbol != lex.end])).dictionary_encode()
+        many = max(1, len(rare.dictionary))
+        pair, times = np.unique(text * many + np.asarray(rare.indices), return_counts=True)
+        offsets = pa.array(np.searchsorted(pair // many, np.arange(n + 1)), pa.int32())
+        names = rare.dictionary.take(pa.array(pair % many)).cast(pa.string())
         return {f.name: part.column(f.name) for f in kept} | {
-            "n_tokens": np.diff(words.first) + 1,
+            "n_tokens": np.diff(first) + 1,
             "n_known": known.astype(np.int64),
             "base_score": np.bincount(some.text, logs, n),
-            "score": text_logs(own, lex, some, n) / np.log(10),
+            "score": text_logs(own, lex, some, n, ready[0]) / np.log(10),
             "n_bytes": np.asarray(pc.fill_null(pc.binary_length(part.column(column)), 0)).astype(np.int64),
-            "n_escaped": np.bincount(some.text[word][rare], minlength=n),
+            "n_escaped": np.bincount(text, minlength=n),
             "words": pa.ListArray.from_arrays(offsets, names),
             "times": pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
         }

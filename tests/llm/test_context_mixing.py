@@ -9,6 +9,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,31 @@ def test_counts_of_bits(spark):
         assert Counter(map(tuple, table[table.any(axis=1)].astype(int).tolist())) == pairs
 
 
+def test_equal_tokens_in_equal_contexts_are_counted_at_once(spark):
+    """However often a pair stands in a slice, its bits are hashed once for a context, with its number."""
+    rows = [x for x in texts(60) if x[0] is not None]
+    lex = cm.lexicon(cm.word_counts(spark.createDataFrame(rows, "doc_id long, text string"), "text"), 12)[0]
+    some = cm.tokens(*cm.lowered(pa.array([t for _, t in rows])), lex, 3)
+    n = len(lex.words) + 2
+    want = [Counter(zip(some.symbol.tolist(), x.tolist(), strict=True)) for x in some.contexts]
+    for (each, times), counted in zip(cm.distinct(some, n), want, strict=True):
+        found = zip(each.symbol.tolist(), each.contexts[0].tolist(), times.tolist(), strict=True)
+        assert sorted(found) == sorted((*x, k) for x, k in counted.items())
+        assert len(times) < len(some.symbol) / 4
+    # more symbols than three of which fit 64 bits: each token alone
+    for (each, times), counted in zip(cm.distinct(some, 1 << 22), want, strict=True):
+        assert Counter(zip(each.symbol.tolist(), each.contexts[0].tolist(), strict=True)) == counted and times.tolist() == [1] * len(some.symbol)
+
+
+def test_words_of_a_batch():
+    rows = ["", None, " A b", "b ", "C", "\t\n", "É\x0b\x0cé x\x1fY", "w" * 70000, "a", ""]
+    for part in (pa.array(rows), pa.array(rows).slice(2, 5), pa.array(["", None]), pa.array(["Z"])):
+        words, first = cm.lowered(part)
+        want = [brute.WORD.findall(brute.lower(t or "")) for t in part.to_pylist()]
+        assert words.to_pylist() == [x for w in want for x in w]
+        assert np.diff(first).tolist() == [len(w) for w in want] and first[0] == 0
+
+
 def test_the_weights_are_learned_from_all_training_rows(spark, monkeypatch):
     """Also where there are many more of them than one learner takes."""
     rows = texts()
